@@ -8,6 +8,8 @@ MODULES = (
     "sentencepiece_codec",
     "toxicity",
     "secret_scan",
+    "url_filter",
+    "chat_format",
 )
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,31 +61,31 @@ class Codec:
         if (self.bytes < 0).any():
             raise ValueError("the model has no byte pieces; texts could not be spelt in full")
         self.automaton.make_automaton()
-        self.known: dict[str, list[int]] = {}
-        self.mark_bytes = self.bytes[list(MARK.encode())].tolist()
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.mark_bytes = tuple(self.bytes[list(MARK.encode())].tolist())
 
-    def best(self, unit: str) -> list[int]:
-        """The best path over one unit."""
+    def best(self, unit: str) -> tuple[int, ...]:
+        """The best path over one unit: each piece that ends at a position relaxes the score there."""
         n = len(unit)
-        score, back = [0.0] + [-float("inf")] * n, [(0, -1)] * (n + 1)
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
-        for end, hit in self.automaton.iter(unit):
-            ends[end].append(hit)
-        for end in range(n):
-            most, step = score[end] + BYTE_SCORE, (1, -1)
-            for i, size, s in ends[end]:
-                at = score[end + 1 - size] + s
-                if at > most or (at == most and size > step[0]):
-                    most, step = at, (size, i)
-            score[end + 1], back[end + 1] = most, step
+        score, step, piece, settled = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1), 0
+        for end, (i, size, s) in self.automaton.iter(unit):
+            end += 1
+            while settled < end:  # a character spelt in bytes
+                settled += 1
+                score[settled] = score[settled - 1] + BYTE_SCORE
+            at = score[end - size] + s
+            if at > score[end] or (at == score[end] and size > step[end]):
+                score[end], step[end], piece[end] = at, size, i
         out: list[int] = []
         while n:
-            size, i = back[n]
-            out += [i] if i >= 0 else self.bytes[list(unit[n - 1].replace(MARK, " ").encode()[::-1])].tolist()
-            n -= size
-        return out[::-1]
-
-    def _units(self, body: str, out: list[int]) -> None:
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out += self.bytes[list(unit[n - 1].replace(MARK, " ").encode()[::-1])].tolist()
+            n -= step[n]
+        return tuple(reversed(out))
+
+    def _units(self, body: str, out: array) -> None:
         known = self.known
         for unit in UNIT.findall(body) if self.breaks else [body] * bool(body):
             ids = known.get(unit)
@@ -94,16 +95,16 @@ class Codec:
                     if len(known) >= REMEMBERED:
                         known.clear()
                     known[unit] = ids
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for i, part in enumerate(text.split(MARK)):  # a mark of the text itself is spelt in bytes, which no piece spans
-            if i:
-                out += self.mark_bytes
-            self._units(part.replace(" ", MARK) if i else MARK + part.replace(" ", MARK), out)
+            out.extend(ids)
+
+    def encode(self, text: str, out: array | None = None) -> array:
+        """Ids of the text, put behind those in `out`."""
+        out = array("i") if out is None else out
+        if text:
+            for i, part in enumerate(text.split(MARK)):  # a mark of the text itself is spelt in bytes, which no piece spans
+                if i:
+                    out.extend(self.mark_bytes)
+                self._units(part.replace(" ", MARK) if i else MARK + part.replace(" ", MARK), out)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -117,15 +118,13 @@ def codec(path: str) -> Codec:
 
 
 def _mapped(df: DataFrame, column: str, out: str, kind: str, function) -> DataFrame:
-    """df with the column `out`: function of the list of the column's values of a batch."""
+    """df with the column `out`: the Arrow array that function makes of the column's."""
     fields = [f for f in df.schema.fields if f.name != out]
-    arrow = pa.large_string() if kind == "string" else pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array(function(batch.column(column)), type=arrow)
             keep = [n for n in batch.schema.names if n != out]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], values.cast(pa.string()) if kind == "string" else values], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], function(batch.column(column))], names=[*keep, out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` {kind}"])
     return df.mapInArrow(run, schema)
@@ -134,9 +133,14 @@ def _mapped(df: DataFrame, column: str, out: str, kind: str, function) -> DataFr
 def encode_pieces(df: DataFrame, text: str = "text", out: str = "piece_ids", model: str = MODEL) -> DataFrame:
     """df with the array<int> column `out`; a column of that name is replaced."""
 
-    def encode(column: pa.Array) -> list:
-        own = codec(model)
-        return [None if t is None else own.encode(t) for t in column.to_pylist()]
+    def encode(column: pa.Array) -> pa.Array:
+        own, flat, ends = codec(model), array("i"), array("i", [0])
+        for value in column:
+            if value.is_valid:
+                own.encode(value.as_py(), flat)
+            ends.append(len(flat))
+        offsets = pa.array(np.frombuffer(ends, dtype=np.int32), mask=np.r_[~np.asarray(column.is_valid()), False], type=pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, dtype=np.int32) if len(flat) else [], type=pa.int32()))
 
     return _mapped(df, text, out, "array<int>", encode)
 
@@ -144,9 +148,9 @@ def encode_pieces(df: DataFrame, text: str = "text", out: str = "piece_ids", mod
 def decode_pieces(df: DataFrame, ids: str = "piece_ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """df with the string column `out`: the text that the pieces spell."""
 
-    def decode(column: pa.Array) -> list:
+    def decode(column: pa.Array) -> pa.Array:
         own = codec(model)
-        return [None if x is None else own.decode(x) for x in column.to_pylist()]
+        return pa.array([own.decode(x.values.to_pylist()) if x.is_valid else None for x in column], type=pa.string())
 
     return _mapped(df, ids, out, "string", decode)
 
