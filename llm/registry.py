@@ -10,6 +10,7 @@ MODULES = (
     "secret_scan",
     "url_filter",
     "chat_format",
+    "quality_rules",
 )
 
 
