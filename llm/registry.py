@@ -11,6 +11,7 @@ MODULES = (
     "url_filter",
     "chat_format",
     "quality_rules",
+    "license_scan",
 )
 
 
