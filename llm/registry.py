@@ -12,6 +12,7 @@ MODULES = (
     "chat_format",
     "quality_rules",
     "license_scan",
+    "decontaminate",
 )
 
 
