@@ -41,6 +41,10 @@ def fingerprints(hashes: str, size: int) -> Column:
     return grams, size - gram + 1
 
 
+# explode_outer keeps the planner from pushing a filter on the exploded array below the columns that it is made of,
+# where they would be computed anew for every element.
+
+
 def winnowed(df: DataFrame, size: int) -> DataFrame:
     """df with __fps, the distinct fingerprints of the words whose hashes are in __h."""
     grams, run = fingerprints("__h", size)
@@ -65,7 +69,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     sized = items.withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
     n = F.size("w") - F.col("size") + 1
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, F.col("size")), " "))
-    return sized.select("item_id", "size", F.explode(grams).alias("gram")).distinct()
+    return sized.select("item_id", "size", F.explode_outer(grams).alias("gram")).distinct()
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -76,13 +80,13 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str, tex
     for size in sizes:
         own = held.where(F.col("size") == size)
         item_side = own.select("gram").distinct().select(F.transform(F.split("gram", " "), lambda w: F.xxhash64(w)).alias("__h"))
-        marks = materialize(winnowed(item_side, size).select(F.explode("__fps").alias("fp")).distinct(), "bench-fingerprints")
-        docs = documents.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__w")).where(F.size("__w") >= size)
+        marks = materialize(winnowed(item_side, size).select(F.explode_outer("__fps").alias("fp")).distinct(), "bench-fingerprints")
+        docs = documents.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__w"))
         hashed = docs.select("__key", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
-        candidates = winnowed(hashed, size).select("__key", F.explode("__fps").alias("fp")).join(marks, "fp").select("__key").distinct()
+        candidates = winnowed(hashed, size).select("__key", F.explode_outer("__fps").alias("fp")).join(marks, "fp").select("__key").distinct()
         chosen = materialize(candidates, "bench-candidates")
         again = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(chosen, "__key").select("__key", words_of(F.col("__text")).alias("__w"))
-        at = again.select("__key", F.posexplode(windows("__w", size)).alias("at", "gram"))
+        at = again.select("__key", F.posexplode_outer(windows("__w", size)).alias("at", "gram"))
         per_gram = own.groupBy("gram").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
         found.append(at.join(materialize(per_gram, "bench-grams"), "gram").select("__key", "at", F.lit(size).alias("size"), "items"))
     if not found:
@@ -130,15 +134,19 @@ QUERIES = {"op9_decontamination": op9_decontamination}
 SQL = {
     "op9_decontamination": """
 WITH docs AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), items AS (
-  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), words AS (
+  SELECT doc_id, i, word FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs)
 ), places AS (
-  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram
-  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+  SELECT doc_id, i, size, CASE size """
+    + " ".join(f"WHEN {n} THEN " + " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER p" for j in range(1, n))]) for n in range(1, WINDOW + 1))
+    + """ END AS gram
+  FROM words, (SELECT DISTINCT size FROM windows) WINDOW p AS (PARTITION BY doc_id, size ORDER BY i)
 ), hits AS (
   SELECT doc_id, i, p.size, item_id FROM places p JOIN windows v ON p.gram = v.gram AND p.size = v.size
 ), covered AS (
