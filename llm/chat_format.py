@@ -1,11 +1,13 @@
 """Chat formatting into a prefix tree.
 
 Every turn is written `<s>role\\ntext</s>`; control strings inside role and text are
-escaped reversibly.  Conversations that share initial turns share nodes: a node's key
-is a chained hash of the turns so far, its path the keys from the root, and sorting
-by path is depth-first order.  Each distinct node is emitted once, with its place in
-the stream of code points, its position ids (those of its place in the conversation)
-and the intervals of the stream that it may attend to: its ancestors' and its own.
+escaped reversibly.  A turn's key is a chained hash of the turns so far, so that
+conversations that share initial turns share keys.  Conversations sorted by their
+keys are in depth-first order of the tree; a node belongs to the first conversation
+that has it and is emitted once, there.  Along a conversation the owners of its nodes
+change only where it branches off, so what it may attend to is one interval of the
+stream per owner, however many turns it has.  All tables have a row per turn or per
+interval; nothing grows with the square of a conversation's length.
 
 Defined results: rows of a conversation are taken by turn, ties by role and text
 (repeated rows stay repeated turns); a null turn comes first; a null role or text is
@@ -48,52 +50,47 @@ def unescape_role(role: str) -> str:
 
 
 def format_turns(rows: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, i (from 0), size (code points), key and path of its node, and `formatted`."""
+    """One row per turn, written: rank (of the conversation in depth-first order), conv_id, i, key, formatted, size."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     own = rows.select("conv_id", "turn", role.alias("role"), F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"), escape(text), F.lit(CLOSE)).alias("formatted"))
     whole = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "formatted"))).alias("turns"))
+    chained = lambda a, t: F.md5(F.concat(a["last"], t["formatted"]).cast("binary"))
     keys = F.aggregate(
         "turns",
         F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")),
-        lambda a, t: F.struct(
-            F.md5(F.concat(a["last"], t["formatted"]).cast("binary")).alias("last"),
-            F.concat(a["all"], F.array(F.md5(F.concat(a["last"], t["formatted"]).cast("binary")))).alias("all"),
-        ),
+        lambda a, t: F.struct(chained(a, t).alias("last"), F.concat(a["all"], F.array(chained(a, t))).alias("all")),
         lambda a: a["all"],
     )
-    turns = whole.select("conv_id", keys.alias("keys"), "turns").select("conv_id", "keys", F.posexplode("turns").alias("i", "t"))
-    return turns.select(
-        "conv_id",
-        "i",
-        F.element_at("keys", F.col("i") + 1).alias("key"),
-        F.array_join(F.slice("keys", F.lit(1), F.col("i") + 1), "").alias("path"),
-        F.col("t.formatted").alias("formatted"),
-        (F.col("i") + 1 == F.size("keys")).alias("leaf"),
-    )
-
-
-def prefix_tree(turns: DataFrame) -> DataFrame:
-    """The stream: key, path, formatted, start, size, position and ancestors (array of {start, size}, root first, itself last)."""
-    nodes = turns.groupBy("key").agg(F.min("path").alias("path"), F.min("formatted").alias("formatted"))
-    spread = nodes.repartitionByRange("path").sortWithinPartitions("path")
-    placed = materialize(spread.select("*", F.char_length("formatted").cast("long").alias("size"), F.spark_partition_id().alias("part")), "chat-nodes")
-    sums = placed.groupBy("part").agg(F.sum("size").alias("n"))  # a row per partition
-    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.sum("size").over(Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    stream = materialize(placed.withColumn("within", within).join(F.broadcast(before), "part").select("key", "path", "formatted", (F.col("before") + F.col("within")).alias("start"), "size"), "chat-stream")
-    # ancestors: every node asks for the places of the keys on its path
-    wanted = stream.select(F.col("key").alias("node"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("path") / 32).cast("int") - 1), lambda j: F.substring("path", j * 32 + 1, F.lit(32)))).alias("depth", "key"))
-    asked = wanted.join(stream.select("key", "start", "size"), "key")
-    lists = asked.groupBy(F.col("node").alias("key")).agg(F.sort_array(F.collect_list(F.struct("depth", "start", "size"))).alias("found"))
-    return stream.join(lists, "key").select(
-        "key",
-        "path",
-        "formatted",
-        "start",
-        "size",
-        F.aggregate(F.slice("found", F.lit(1), F.size("found") - 1), F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("position"),
-        F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"))).alias("ancestors"),
-    )
+    keyed = whole.select("conv_id", keys.alias("keys"), F.transform("turns", lambda t: t["formatted"]).alias("turns"))
+    spread = keyed.repartitionByRange("keys").sortWithinPartitions("keys", "conv_id")
+    ranked = spread.select(F.monotonically_increasing_id().alias("rank"), "conv_id", "keys", "turns")
+    turns = ranked.select("rank", "conv_id", F.posexplode(F.arrays_zip("keys", "turns")).alias("i", "t"))
+    return materialize(turns.select("rank", "conv_id", "i", F.col("t.keys").alias("key"), F.col("t.turns").alias("formatted"), F.char_length("t.turns").cast("long").alias("size")), "chat-turns")
+
+
+def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stream, attention).
+
+    stream, a row per distinct node: segment (rank of its owner), i, start (place in the stream), position (place in
+    the conversation), formatted.  attention, a row per conversation and interval: rank, first and last turn, segment,
+    start and size; its rows up to a node's segment are what the node attends to.
+    """
+    owners = materialize(turns.groupBy("key").agg(F.min("rank").alias("segment")), "chat-owners")
+    owned = materialize(turns.select("rank", "i", "key", "size").join(owners, "key").select("rank", "i", "segment", "size"), "chat-owned")
+    emitted = owned.where("segment = rank").groupBy("rank").agg(F.sum("size").alias("n"))
+    parted = materialize(emitted.withColumn("part", F.shiftright("rank", 33)), "chat-emitted")
+    sums = parted.groupBy("part").agg(F.sum("n").alias("sum"))  # a row per partition of the sort
+    before = sums.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = materialize(parted.withColumn("within", within).join(before, "part").select(F.col("rank").alias("segment"), (F.col("before") + F.col("within")).alias("start")), "chat-starts")
+    runs = owned.groupBy("rank", "segment").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.sum("size").alias("size"))
+    attention = materialize(runs.join(starts, "segment").select("rank", "first", "last", "segment", "start", "size"), "chat-attention")
+    # a node's place: its segment's start and position and the sizes of the segment's nodes before it
+    held = Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    nodes = turns.join(owned.where("segment = rank").select("rank", "i"), ["rank", "i"], "left_semi").withColumn("inside", F.sum("size").over(held) - F.col("size"))
+    lead = attention.groupBy("rank").agg(F.sum(F.when(F.col("segment") != F.col("rank"), F.col("size")).otherwise(0)).alias("shared"), F.max(F.when(F.col("segment") == F.col("rank"), F.col("start"))).alias("start"))
+    stream = nodes.join(lead, "rank").select(F.col("rank").alias("segment"), "i", (F.col("start") + F.col("inside")).alias("start"), (F.col("shared") + F.col("inside")).alias("position"), "formatted")
+    return materialize(stream, "chat-stream"), attention
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -105,12 +102,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_back(leaves: DataFrame, stream: DataFrame) -> DataFrame:
-    """conv_id and `formatted`: what the stream holds under the attention intervals of each conversation's last node."""
-    intervals = leaves.select("conv_id", "key").join(stream.select("key", "ancestors"), "key").select("conv_id", F.posexplode("ancestors").alias("i", "at"))
-    parts = intervals.select("conv_id", "i", F.col("at.start").alias("start")).join(stream.where("size > 0").select("start", "formatted"), "start")
+def read_back(stream: DataFrame, attention: DataFrame) -> DataFrame:
+    """rank and `formatted` of each conversation: what the stream holds under its intervals."""
+    wanted = attention.select("rank", "segment", F.explode(F.sequence("first", "last")).alias("i"))
+    parts = wanted.join(stream.select("segment", "i", "formatted"), ["segment", "i"])
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "formatted"))), lambda x: x["formatted"]), "")
-    return parts.groupBy("conv_id").agg(joined.alias("formatted"))
+    return parts.groupBy("rank").agg(joined.alias("formatted"))
 
 
 DIGEST_TYPE = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -133,9 +130,10 @@ ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = materialize(format_turns(rows.unionByName(spark.createDataFrame(ADDED, rows.schema))), "chat-turns")
-    stream = materialize(prefix_tree(turns), "chat-tree")
-    return read_back(turns.where("leaf"), stream).mapInPandas(digests, DIGEST_TYPE)
+    turns = format_turns(rows.unionByName(spark.createDataFrame(ADDED, rows.schema)))
+    stream, attention = prefix_tree(turns)
+    names = turns.where("i = 0").select("rank", "conv_id")
+    return read_back(stream, attention).join(names, "rank").select("conv_id", "formatted").mapInPandas(digests, DIGEST_TYPE)
 
 
 QUERIES = {"op10_chat_format": op10_chat_format}
