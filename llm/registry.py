@@ -13,6 +13,7 @@ MODULES = (
     "quality_rules",
     "license_scan",
     "decontaminate",
+    "substring_dedup",
 )
 
 
