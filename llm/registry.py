@@ -14,6 +14,7 @@ MODULES = (
     "license_scan",
     "decontaminate",
     "substring_dedup",
+    "jaccard_join",
 )
 
 
