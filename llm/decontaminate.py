@@ -109,9 +109,9 @@ def _covered(hits: str) -> Column:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents without the hit ones."""
-    hit = find_contamination(documents.where(F.col(key).isNotNull()).dropDuplicates([key]), benchmark, key, text).select(key)
-    return documents.join(materialize(hit, "bench-hit"), key, "left_anti")
+    """documents without the hit ones (rows without a key cannot be named and stay)."""
+    hit = find_contamination(documents.where(F.col(key).isNotNull()), benchmark, key, text).select(key)
+    return documents.join(materialize(hit, "bench-hit"), key, "left_anti").select(*documents.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,6 +279,28 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     return _sets(docs, None).join(ids, same, "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
+def keep_one_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """documents without those whose component has a smaller document; rows without a key stay.
+
+    A fixed-size table of the dropped ids lets most documents pass where they are; only
+    those that it cannot rule out are joined with the exact list.
+    """
+    found = near_duplicates(documents.select(key, text), key, text)
+    dropped = materialize(found.where(F.col("component_id") < F.col(key)).select(F.col(key).cast("long").alias("doc")).distinct(), "jaccard-dropped")
+    sent = documents.sparkSession.sparkContext.broadcast(_membership(dropped, "doc"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(key).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            known = np.asarray(batch.column(key).is_valid())
+            yield batch.append_column("__maybe", pa.array(_maybe(sent.value, ids) & known))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "__maybe boolean"])
+    both = documents.mapInArrow(marked, schema)
+    unsure = both.where("__maybe").join(dropped, F.col(key).cast("long") == F.col("doc"), "left_anti")
+    return both.where("not __maybe").unionByName(unsure).select(*documents.columns)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
