@@ -150,7 +150,7 @@ def decode_pieces(df: DataFrame, ids: str = "piece_ids", out: str = "decoded", m
 
     def decode(column: pa.Array) -> pa.Array:
         own = codec(model)
-        return pa.array([own.decode(x.values.to_pylist()) if x.is_valid else None for x in column], type=pa.string())
+        return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in column], type=pa.string())
 
     return _mapped(df, ids, out, "string", decode)
 
