@@ -306,4 +306,23 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_jaccard_join": op4_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_jaccard_join": """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (SELECT doc_id, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS s FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)) WHERE s IS NOT NULL
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * k >= 75 * (p.n + q.n - k)
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = d.doc_id) AS component_id FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+}

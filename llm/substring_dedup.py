@@ -188,4 +188,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_substring_dedup": """
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+), windows AS (
+  SELECT doc_id, i, """
+    + " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER p" for j in range(1, SPAN))])
+    + """ AS gram FROM words WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), first AS (
+  SELECT gram, min(doc_id) AS least FROM windows WHERE gram IS NOT NULL GROUP BY gram
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM (SELECT v.doc_id, v.i, unnest(range(0, 50)) AS j FROM windows v JOIN first f ON v.gram = f.gram AND f.least < v.doc_id)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = words.doc_id AND g.i = words.i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+}
