@@ -76,7 +76,7 @@ def html_to_text(html) -> Column:
     t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/h[1-6]|/ul|/ol|/li|/tr|/title)[^>]*>", "\n")
     t = decode_entities(F.regexp_replace(t, r"(?s)<[^>]*>", ""))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" *\n *", "\n")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def first_heading(markdown) -> Column:

@@ -139,7 +139,7 @@ def parse_cues(text: Column) -> Column:
         lambda b: F.struct(
             F.round(seconds(F.regexp_extract(b, f"{stamp} --> ", 1)), 3).alias("start"),
             F.round(seconds(F.regexp_extract(b, f" --> {stamp}", 1)), 3).alias("end"),
-            F.trim(F.regexp_replace(F.regexp_replace(b, f"(?s)^.*?--> {stamp}[^\n]*\n?", ""), "<[^>]+>", "")).alias("text"),
+            F.regexp_replace(F.regexp_replace(F.regexp_replace(b, f"(?s)^.*?--> {stamp}[^\n]*\n?", ""), "<[^>]+>", ""), r"^\s+|\s+$", "").alias("text"),
         ),
     )
 
