@@ -62,7 +62,7 @@ def format_turns(rows: DataFrame) -> DataFrame:
         lambda a: a["all"],
     )
     keyed = whole.select("conv_id", keys.alias("keys"), F.transform("turns", lambda t: t["formatted"]).alias("turns"))
-    spread = keyed.repartitionByRange("keys").sortWithinPartitions("keys", "conv_id")
+    spread = keyed.repartitionByRange("keys", "conv_id").sortWithinPartitions("keys", "conv_id")
     ranked = spread.select(F.monotonically_increasing_id().alias("rank"), "conv_id", "keys", "turns")
     turns = ranked.select("rank", "conv_id", F.posexplode(F.arrays_zip("keys", "turns")).alias("i", "t"))
     return materialize(turns.select("rank", "conv_id", "i", F.col("t.keys").alias("key"), F.col("t.turns").alias("formatted"), F.char_length("t.turns").cast("long").alias("size")), "chat-turns")
