@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from recordmill.queries import feeds, texts
+from recordmill.queries import feeds, pipelines, texts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = {**feeds.QUERIES, **texts.QUERIES}, {**feeds.SQL, **texts.SQL}
+QUERIES, SQL = {**feeds.QUERIES, **texts.QUERIES, **pipelines.QUERIES}, {**feeds.SQL, **texts.SQL, **pipelines.SQL}
 
 
 @pytest.fixture(scope="module")
