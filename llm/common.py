@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
         at = own
     if not at:
         at = tempfile.mkdtemp(prefix="llm_shared_")
+        atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -34,7 +37,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage in storage that outlives executors, and gives the planner
     the true size, so that a later join broadcasts it only below the session's
-    threshold and is dealt out evenly by adaptive execution otherwise.
+    threshold and is dealt out evenly by adaptive execution otherwise.  Tables stay
+    for as long as their readers may come back; the folder's owner clears it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -12,8 +12,8 @@ Fingerprints and windows of the benchmark are written as a table and joined; the
 planner broadcasts them only below the session's size threshold.
 
 Defined results: a null or empty text has no words; an item without words has no
-window; texts are read whole; repeated rows of documents give equal rows each;
-repeated items count under their own item_id, a null item_id not at all; an empty
+window; texts are read whole; repeated rows of documents give equal rows each; a
+document without doc_id cannot be named in a result and counts as clean; repeated items count under their own item_id, a null item_id not at all; an empty
 benchmark leaves every document clean.  Further columns stay.
 """
 

@@ -103,14 +103,13 @@ def _sets(docs: DataFrame, level: np.ndarray | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
             buf, bounds = texts_as_bytes(batch.column("text"))
             for a, b in blocks(bounds):
                 owner, h = shingle_sets(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 n = np.bincount(owner, minlength=b - a)
                 place = np.r_[0, np.cumsum(n)]
                 sums = lambda x: np.diff(np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)][place])
-                out = {"doc": pa.array(ids[a:b]), "n": pa.array(n), "one": pa.array(signed(sums(mix(h)))), "two": pa.array(signed(sums(mix(h ^ np.uint64(0xABCDEF)))))}
+                out = {"doc": batch.column("doc").slice(a, b - a), "n": pa.array(n), "one": pa.array(signed(sums(mix(h)))), "two": pa.array(signed(sums(mix(h ^ np.uint64(0xABCDEF)))))}
                 if sent is not None:
                     order = np.lexsort((h, sent.value[bucket(h)], owner))
                     size = np.where(n > 0, n - -(-n * SIMILAR // 100) + 1, 0)
@@ -232,8 +231,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of every document whose key is not null."""
-    docs = documents.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    """key, n_shingles and component_id of every document (component_id null where the key is)."""
+    everything = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = everything.where("doc is not null")
     level = rarity(docs)
     same = ["n", "one", "two"]
     least = _sets(docs, level).where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "prefix", "tokens", "bits")).alias("x"))
@@ -276,7 +276,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     final = materialize(components(links.unionByName(more)), "jaccard-final")
     ids = classes.select(*same, F.col("doc").alias("head")).join(final.withColumnRenamed("doc", "head"), "head", "left").select(*same, F.coalesce("component", "head").alias("component_id"))
     ids = materialize(ids, "jaccard-ids")
-    return _sets(docs, None).join(ids, same, "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
+    return _sets(everything, None).join(ids, same, "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

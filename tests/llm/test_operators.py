@@ -89,6 +89,8 @@ def test_jaccard_join_against_brute_force(spark):
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]], r
     assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
+    nameless = jaccard_join.near_duplicates(docs(spark, [(None, "a b c d e f"), (2, "a b c d e f")])).orderBy("doc_id").collect()
+    assert [tuple(r) for r in nameless] == [(None, 2, None), (2, 2, 2)]
     kept = sorted(r["doc_id"] or -1 for r in jaccard_join.keep_one_each(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)])).collect())
     assert kept == [-1, 1, 3]
 
