@@ -12,9 +12,10 @@ so that passages which many documents share stand last.
 3. Within each posting every group is paired with a few pivots; pairs are filtered
    by size, expanded to members, filtered by a bit vector (the bits that differ are
    at most the elements that differ) and verified on the whole texts.
-4. Links give components; for completeness every pair of members of one posting
-   that is still in different components is filtered and verified as well.  Pairs
-   within a component are not: they could add no link between components.
+4. Links give components; for completeness the members of one posting that are still
+   in different components are joined on it, under the size filter and a short bit
+   vector as the join's condition, and what passes is verified as well.  Pairs within
+   a component are not: they could add no link between components.
 
 Defined results: a null or empty text has an empty set, linked with nothing; a text
 of fewer words is one shingle; rows with a null doc_id are left out of the join and
@@ -38,7 +39,9 @@ from .textkernel import blocks, grams, mix, signed, texts_as_bytes, words_of
 
 #: Parameters: words of a shingle, least similarity in per cent, pivots of a posting, entries of the count table and of
 #: the membership tables (bits), both of fixed size.
-SHINGLE, SIMILAR, PIVOTS, COUNTS, BITS = 5, 75, 4, 1 << 20, 1 << 24
+SHINGLE, SIMILAR, PIVOTS, COUNTS, BITS = 5, 75, 8, 1 << 20, 1 << 24
+#: Words of 64 bits in the short bit vector of the last join.
+CODE = 8
 
 
 def shingle_sets(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +87,14 @@ def bit_vector(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8).tobytes()
 
 
+def code_of(owner: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
+    """Per text the parities of its elements in 64 * CODE bits, as a list of CODE integers."""
+    width = 64 * CODE
+    at = owner * width + (h >> np.uint64(3) & np.uint64(width - 1)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=n * width) & 1).astype(np.uint8)).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * CODE, type=pa.int32()), pa.array(packed))
+
+
 def differing_bits(a: bytes, b: bytes) -> int:
     """Bits that differ when the longer vector is folded to the shorter one: no more than the elements that differ."""
     x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
@@ -94,7 +105,7 @@ def differing_bits(a: bytes, b: bytes) -> int:
 
 
 SET_TYPE = "doc long, n long, one long, two long"
-PREFIX_TYPE = f"{SET_TYPE}, prefix long, tokens array<long>, bits binary"
+PREFIX_TYPE = f"{SET_TYPE}, prefix long, tokens array<long>, bits binary, code array<long>"
 
 
 def _sets(docs: DataFrame, level: np.ndarray | None) -> DataFrame:
@@ -120,9 +131,10 @@ def _sets(docs: DataFrame, level: np.ndarray | None) -> DataFrame:
                     out |= {
                         "prefix": pa.array(signed(prefix)),
                         "tokens": pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(signed(tokens))),
+                        "code": code_of(owner, h, b - a),
                         "bits": pa.array([bit_vector(h[place[i] : place[i + 1]]) for i in range(b - a)], type=pa.binary()),
                     }
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict({k: out[k] for k in ("doc", "n", "one", "two", "prefix", "tokens", "bits", "code") if k in out})
 
     return docs.mapInArrow(run, SET_TYPE if level is None else PREFIX_TYPE)
 
@@ -236,21 +248,24 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     docs = everything.where("doc is not null")
     level = rarity(docs)
     same = ["n", "one", "two"]
-    least = _sets(docs, level).where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "prefix", "tokens", "bits")).alias("x"))
-    classes = materialize(least.select(*same, "x.doc", "x.prefix", "x.tokens", "x.bits"), "jaccard-classes")
+    least = _sets(docs, level).where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "prefix", "tokens", "bits", "code")).alias("x"))
+    classes = materialize(least.select(*same, "x.doc", "x.prefix", "x.tokens", "x.bits", "x.code"), "jaccard-classes")
     groups = classes.groupBy("n", "prefix").agg(F.min("doc").alias("g"))
     members = materialize(classes.select("doc", "n", "prefix").join(groups, ["n", "prefix"]).select("doc", "n", "g"), "jaccard-members")
-    heads = classes.join(members.where("doc = g").select("doc", "g"), "doc").select("g", "n", "tokens")
+    others = materialize(members.where("doc <> g").select("doc"), "jaccard-others")
+    heads = classes.join(others, "doc", "left_anti").select(F.col("doc").alias("g"), "n", "tokens")
+    shared = _postings(heads, None).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = materialize(shared, "jaccard-shared")
+    posted = materialize(_postings(heads, _membership(shared, "token")).join(shared, "token"), "jaccard-posted")
 
     def pivot(i: int) -> Column:
         order = F.col("g") if i == 0 else F.xxhash64("g", F.lit(i))
-        return F.min(F.struct(order.alias("o"), "g"))["g"].alias(f"p{i}")
+        return F.min(F.struct(order.alias("o"), "g"))["g"]
 
-    counted = _postings(heads, None)
-    shared = counted.groupBy("token").agg(F.count(F.lit(1)).alias("held"), *[pivot(i) for i in range(PIVOTS)]).where("held > 1")
-    shared = materialize(shared, "jaccard-shared")
-    posted = materialize(_postings(heads, _membership(shared, "token")).join(shared, "token"), "jaccard-posted")
-    star = posted.select("g", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p")).where("g <> p").distinct()
+    couples = posted.where("held = 2").groupBy("token").agg(F.min("g").alias("p"), F.max("g").alias("g")).select("g", "p")
+    crowds = posted.where("held > 2").select("token", "g")
+    pivots = materialize(crowds.groupBy("token").agg(F.array_distinct(F.array(*[pivot(i) for i in range(PIVOTS)])).alias("ps")), "jaccard-pivots")
+    star = couples.unionByName(crowds.join(pivots, "token").select("g", F.explode("ps").alias("p"))).where("g <> p").distinct()
     head_size = members.where("doc = g").select(F.col("g").alias("p"), F.col("n").alias("np"))
     expanded = star.join(members.select(F.col("doc").alias("m"), "n", "g"), "g").join(head_size, "p").where(_sizes_fit("n", "np")).select(F.col("m").alias("x"), F.col("p").alias("y"))
     inside = members.where("doc <> g").select(F.col("doc").alias("x"), F.col("g").alias("y"))
@@ -264,13 +279,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     crowd = own.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.xxhash64("g", F.lit("group")).alias("token"), "g")
     everyone = posted.select("token", "g").unionByName(crowd).join(own, "g").select("token", "doc", "n", "c")
     several = everyone.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    apart = materialize(everyone.join(materialize(several, "jaccard-several"), "token"), "jaccard-apart")
-    kinds = apart.groupBy("token", "c").agg(F.min("n").alias("small"), F.max("n").alias("big"))
-    kinds = materialize(kinds, "jaccard-kinds")
-    other = kinds.select("token", F.col("c").alias("d"), F.col("small").alias("small2"), F.col("big").alias("big2"))
-    meet = kinds.join(other, "token").where((F.col("c") < F.col("d")) & (100 * F.col("big") >= SIMILAR * F.col("small2")) & (100 * F.col("big2") >= SIMILAR * F.col("small")))
-    one = meet.select("token", "c", "d").join(apart.select("token", "c", F.col("doc").alias("x"), F.col("n").alias("nx")), ["token", "c"])
-    two = one.join(apart.select("token", F.col("c").alias("d"), F.col("doc").alias("y"), F.col("n").alias("ny")), ["token", "d"]).where(_sizes_fit("nx", "ny"))
+    apart = everyone.join(materialize(several, "jaccard-several"), "token").join(classes.select("doc", "code"), "doc")
+    apart = materialize(apart, "jaccard-apart")
+    left = apart.select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("code").alias("kx"))
+    right = apart.select(F.col("token").alias("t"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("code").alias("ky"))
+    bits = sum((F.bit_count(F.get("kx", F.lit(i)).bitwiseXOR(F.get("ky", F.lit(i)))) for i in range(CODE)), F.lit(0))
+    close = (100 + SIMILAR) * bits <= (100 - SIMILAR) * (F.col("nx") + F.col("ny"))
+    two = left.join(right, (F.col("token") == F.col("t")) & (F.col("cx") < F.col("cy")) & _sizes_fit("nx", "ny") & close)
     rest = materialize(ordered(two.select("x", "y")).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     more = verified(rest, classes, docs)
     final = materialize(components(links.unionByName(more)), "jaccard-final")
