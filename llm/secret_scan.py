@@ -2,8 +2,10 @@
 
 Two first-order character models are trained from labelled samples: random strings
 (keys and tokens) and ordinary identifiers and words.  A candidate is a run of
-16 or more characters of base-64 and URL alphabets; it is a secret when the mean
-log-likelihood ratio per character exceeds a threshold and it mixes letters and digits.
+16 or more characters of base-64 and URL alphabets, less the spans of fixed patterns.
+Its secrets are the stretches of words and separators whose summed log-likelihood
+ratio exceeds the threshold per character by most, if they hold 16 characters; so a
+key is found behind a long path or name too, and whatever letters or digits it has.
 
 Defined results: a null text has no span, an empty one neither; a text is scanned
 whole whatever its length; spans are in code points, end exclusive; equal rows give
@@ -12,6 +14,7 @@ equal results; further columns of the input are kept and never read.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -28,7 +31,9 @@ from .common import table
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+PIECE = re.compile(rb"[A-Za-z0-9]+|[+/_=-]")
 KINDS = ("assign", "access", "hex", "markov")
 WORDS_BEFORE_VALUE = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -40,6 +45,12 @@ local lock manager message method model module name network node number object o
 path pattern point position process property query queue random range read record region request reset result return
 row schema screen search select server session shape size source stack start state status stream string style system
 table target task template text thread time title update user value vector version view width window word write""".split()
+#: Words of running text in several languages, as they stand glued together in documents.
+ORDINARY += """the that which through whose light night thought though strength knowledge question between world people would could should right water known work house why what when where
+aber nicht werden schaft keit heit lich ung ein eine und der die das mit von auf nach durch zwischen gesellschaft entwicklung verwaltung rechnung versicherung nachricht wirtschaft
+zeitung strasse schule arbeit haus stadt buch wort sprache schnell wasser zeichen pfeil schutz
+que una para por los las del con cuando donde tiempo ciudad trabajo palabra mensaje nombre respuesta pregunta pueblo llave corazon ayuda desarrollo mente cion
+les des dans pour avec sur plus tout faire ville travail maison temps jour eau vaux aux eux reponse gouvernement toujours quelque parole oiseau heureux beaucoup aujourd""".split()
 #: Parameters: mean log-likelihood ratio (nats per character) above which a candidate is random.
 THRESHOLD = 0.75
 ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -48,7 +59,7 @@ ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-
 def samples(n: int = 4000, seed: int = 5) -> list[tuple[bytes, int]]:
     """Labelled training strings: 1 random, 0 ordinary."""
     rng = random.Random(seed)
-    sets = [ALPHABET[:62], ALPHABET, b"0123456789abcdef", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62]]
+    sets = [ALPHABET[:62], ALPHABET, b"0123456789abcdef", ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:52], ALPHABET[:26], ALPHABET[26:52]]
     out = []
     for i in range(n):
         letters = sets[i % len(sets)]
@@ -81,9 +92,46 @@ def ratio(candidate: bytes) -> float:
 
 
 def random_string(candidate: bytes) -> bool:
-    """Both letters and digits, three digits at least, and likelier random than ordinary."""
-    digits = sum(48 <= c <= 57 for c in candidate)
-    return 3 <= digits < len(candidate) and any(c > 64 for c in candidate) and ratio(candidate) > THRESHOLD
+    """Likelier random than ordinary."""
+    return ratio(candidate) > THRESHOLD
+
+
+def random_parts(run: bytes) -> list[tuple[int, int]]:
+    """Limits of the stretches of words and separators that are random.
+
+    They are all maximal scoring subsequences (Ruzzo and Tompa, in linear time) of the
+    ratio above the threshold.  The run itself is one if none of them is long enough.
+    """
+    codes = np.frombuffer(b"\x00" + run, dtype=np.uint8)
+    sums = np.r_[0.0, np.cumsum(models()[codes[:-1], codes[1:]] - THRESHOLD)].tolist()
+    best: list[tuple[int, int, int]] = []  # start, end, place of the last one before that starts from a lower sum
+    for m in PIECE.finditer(run):
+        start, end = m.span()
+        if sums[end] <= sums[start]:
+            continue
+        while True:
+            j = len(best) - 1
+            while j >= 0 and sums[best[j][0]] >= sums[start]:
+                j = best[j][2]
+            if j < 0 or sums[best[j][1]] >= sums[end]:
+                best.append((start, end, j))
+                break
+            start = best[j][0]
+            del best[j:]
+    parts = [(a + len(run[a:b]) - len(run[a:b].lstrip(b"=")), b) for a, b, _ in best]  # padding never leads
+    parts = [(a, b) for a, b in parts if b - a >= LEAST]
+    return parts or [(0, len(run))] * (sums[-1] > 0)
+
+
+def _outside(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a:b outside the sorted, disjoint spans in `taken`."""
+    for i in range(bisect.bisect_right(taken, a, key=lambda x: x[1]), len(taken)):
+        s, e = taken[i]
+        if s >= b:
+            break
+        yield a, s
+        a = e
+    yield a, b
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, int]]:
@@ -101,10 +149,15 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     if candidates:
         for a, b in candidates:
             found += [(a + m.start(), a + m.end(), 2) for m in HEX.finditer(raw[a:b])]
-        taken = sorted(x[:2] for x in found)
-        for a, b in candidates:
-            if not any(s < b and a < e for s, e in taken) and random_string(raw[a:b]):
-                found.append((a, b, 3))
+        taken: list[tuple[int, int]] = []
+        for s, e in sorted(x[:2] for x in found):
+            if taken and s <= taken[-1][1]:
+                s, e = taken[-1][0], max(e, taken.pop()[1])
+            taken.append((s, e))
+        for run in candidates:
+            for a, b in _outside(*run, taken):
+                if b - a >= LEAST:
+                    found += [(a + s, a + e, 3) for s, e in random_parts(raw[a:b])]
     if not found:
         return []
     found.sort(key=lambda x: (x[0], x[2], x[1]))

@@ -194,6 +194,26 @@ def test_secrets_base_and_models(spark):
     assert secret_scan.scan_secrets(docs(spark, [])).count() == 0 and secret_scan.redact(None) is None
 
 
+def test_secrets_of_any_alphabet_and_within_runs():
+    import random
+
+    rng = random.Random(31)
+    alphabets = (secret_scan.ALPHABET[:62], secret_scan.ALPHABET[:52], secret_scan.ALPHABET[:26], secret_scan.ALPHABET[26:52])
+    key = lambda letters, n: bytes(rng.choice(letters) for _ in range(n)).decode()
+    for n, least in ((16, 0.9), (24, 0.95), (32, 0.97)):
+        for letters in alphabets:
+            assert sum(secret_scan.spans_of(f"see {key(letters, n)} here") != [] for _ in range(300)) / 300 >= least, (n, letters)
+    held = secret_scan.samples(2000, seed=77)
+    assert sum(secret_scan.random_string(x) for x, y in held if y) / sum(y for _, y in held) > 0.95
+    assert sum(secret_scan.random_parts(x) != [] for x, y in held if not y) / sum(not y for _, y in held) < 0.02
+    path, hidden = "account/documents/template/message_index/pattern-header/" * 4, "qZxWvKpTgHjYbNcRfLmD"
+    assert secret_scan.spans_of(path + hidden) == [(len(path), len(path) + len(hidden), 3)]
+    assert secret_scan.spans_of("the_name_of_request=" + hidden) == [(20, 20 + len(hidden), 3)]
+    hex_key = "0123456789abcdef" * 2
+    assert secret_scan.spans_of(f"{hex_key}/{hidden}") == [(0, 32, 2), (32, 33 + len(hidden), 3)]  # a key may begin with a slash
+    assert secret_scan.spans_of("thanonontioniner nichtchzulichein dieeinaukeitkeit 4952935900253052") == []
+
+
 def test_sentencepiece_round_trip_and_best_paths(spark):
     rows = texts() + [(90, "\U0010FFFD▁▁ a\u0000b"), (91, " "), (92, "日本語 テスト"), (93, "ab" * 5000)]
     back = sentencepiece_codec.decode_pieces(sentencepiece_codec.encode_pieces(docs(spark, rows))).collect()
