@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The model, the near-copy components and the Viterbi paths are not SQL; tests/llm holds stages against brute force.
+#: The model, the near-copy components and the merges of pieces are not SQL; tests/llm holds stages against brute force.
 ORACLE_SQL = None

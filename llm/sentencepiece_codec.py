@@ -1,24 +1,29 @@
-"""SentencePiece encoding and decoding: Aho-Corasick over the pieces and a single-pass Viterbi.
+"""SentencePiece encoding and decoding: merges in the model's order, or Viterbi over an Aho-Corasick automaton.
 
-The automaton follows its output links at every position, and each piece that ends
-there relaxes the best score of the prefix.  A character that no piece covers is
-spelt in byte pieces.  Blanks are written as the mark U+2581 in front of a word; a
+The scores of a BPE model are ranks of merges: of all neighbours whose joined text is
+a piece, the pair of the highest score is joined first, the leftmost of ties.  Those
+of a unigram model are log probabilities: the automaton follows its output links at
+every position, and each piece that ends there relaxes the best score of the prefix.
+A character that no piece covers is spelt in byte pieces.  Blanks are written as the mark U+2581 in front of a word; a
 mark that stands in the text itself is spelt in bytes, so that decoding gives back
 the very text.  If no piece of the vocabulary holds a mark behind another character
-(checked when it is loaded), best paths break at word limits, and each distinct
+(checked when it is loaded), words are solved apart, and each distinct
 word of a batch is solved once.
 
 Defined results: null gives null ids; an empty text gives an empty list; texts are
-encoded whole; equal scores go to the path whose last piece is longer.
+encoded whole; equal scores of paths go to the one whose last piece is longer.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -35,6 +40,9 @@ BYTE_SCORE = -1e6
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Most distinct words that a task remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Units of at most so many characters keep the scores of their neighbours in a list, longer ones in a heap.
+SHORT = 64
+BPE, USER_DEFINED, UNUSED = 2, 4, 5
 
 
 class Codec:
@@ -42,13 +50,20 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        bpe = proto.trainer_spec.model_type == BPE
+        if bpe and any(p.type in (USER_DEFINED, UNUSED) for p in proto.pieces):
+            raise ValueError("merges around user-defined or unused pieces are not built")
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = np.full(256, -1, dtype=np.int32)
         self.value: list[bytes] = [b""] * n
         self.automaton = ahocorasick.Automaton()
+        self.score: dict[str, float] = {}
+        self.ids: dict[str, int] = {}
         self.breaks = True
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
@@ -56,11 +71,13 @@ class Codec:
                 self.value[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and piece:
                 self.value[i] = piece.replace(MARK, " ").encode()
-                self.automaton.add_word(piece, (i, len(piece), float(model.get_score(i))))
+                self.ids[piece], self.score[piece] = i, float(model.get_score(i))
+                self.automaton.add_word(piece, (i, len(piece), self.score[piece]))
                 self.breaks &= MARK not in piece.lstrip(MARK)
         if (self.bytes < 0).any():
             raise ValueError("the model has no byte pieces; texts could not be spelt in full")
         self.automaton.make_automaton()
+        self.solve = self.merged if bpe else self.best
         self.known: dict[str, tuple[int, ...]] = {}
         self.mark_bytes = tuple(self.bytes[list(MARK.encode())].tolist())
 
@@ -85,12 +102,62 @@ class Codec:
             n -= step[n]
         return tuple(reversed(out))
 
+    def merged(self, unit: str) -> tuple[int, ...]:
+        """The unit's characters joined in the order of the merges' scores."""
+        parts = self._joined(unit) if len(unit) <= SHORT else self._joined_by_heap(unit)
+        ids = tuple(map(self.ids.get, parts))
+        if None not in ids:
+            return ids
+        out: list[int] = []
+        for part, i in zip(parts, ids, strict=True):
+            if i is None:
+                out += self.bytes[list(part.replace(MARK, " ").encode())].tolist()
+            else:
+                out.append(i)
+        return tuple(out)
+
+    def _joined(self, unit: str) -> list[str]:
+        get, never, parts = self.score.get, float("-inf"), list(unit)
+        gain = list(map(get, map(add, unit, unit[1:]), repeat(never)))
+        while gain and (most := max(gain)) > never:
+            i = gain.index(most)
+            part = parts[i] = parts[i] + parts.pop(i + 1)
+            del gain[i]
+            if i:
+                gain[i - 1] = get(parts[i - 1] + part, never)
+            if i < len(gain):
+                gain[i] = get(part + parts[i + 1], never)
+        return parts
+
+    def _joined_by_heap(self, unit: str) -> list[str]:
+        get, parts, n = self.score.get, list(unit), len(unit)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(a: int, b: int) -> None:
+            if a >= 0 and b < n and (s := get(parts[a] + parts[b])) is not None:
+                heapq.heappush(heap, (-s, a, parts[a] + parts[b]))
+
+        for a in range(n - 1):
+            offer(a, a + 1)
+        while heap:
+            _, a, text = heapq.heappop(heap)
+            b = after[a]
+            if not parts[a] or b >= n or len(parts[a]) + len(parts[b]) != len(text):
+                continue  # one of the two has been joined otherwise
+            parts[a], parts[b], after[a] = text, "", after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            offer(before[a], a)
+            offer(a, after[a])
+        return [x for x in parts if x]
+
     def _units(self, body: str, out: array) -> None:
         known = self.known
         for unit in UNIT.findall(body) if self.breaks else [body] * bool(body):
             ids = known.get(unit)
             if ids is None:
-                ids = self.best(unit)
+                ids = self.solve(unit)
                 if len(unit) <= 64:
                     if len(known) >= REMEMBERED:
                         known.clear()

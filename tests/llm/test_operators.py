@@ -234,6 +234,24 @@ def test_sentencepiece_round_trip_and_best_paths(spark):
     assert sentencepiece_codec.encode_pieces(docs(spark, [])).count() == 0
 
 
+def test_sentencepiece_ids_are_the_models_own(spark):
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec, rng = sentencepiece_codec.codec(sentencepiece_codec.MODEL), random.Random(2)
+    rows = [(i, t) for i, t in texts() if t is not None] + [(90, "und die Entwicklung"), (91, "  a   b "), (92, "日本語 テスト \U0010FFFD"), (93, "ab" * 5000), (94, " " * 300 + "x")]
+    rows += [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").collect()]
+    for i, t in rows:
+        t = t.replace(sentencepiece_codec.MARK, "")  # the library takes a mark in the text for a blank
+        assert list(codec.encode(t)) == library.encode(t), i
+    assert codec.pieces[codec.encode("und")[0]] == "▁und" and len(codec.encode("und")) == 1
+    for n in (0, 1, 2, 30, 64, 200):
+        unit = "".join(rng.choice("anterisß") for _ in range(n))
+        assert codec._joined(unit) == codec._joined_by_heap(unit)
+
+
 def test_toxicity_learns_unseen_spellings(spark):
     import random
 
