@@ -20,6 +20,26 @@ def with_rank(df: DataFrame, by: list[str], order: list, out: str = "rank") -> D
     return df.withColumn(out, F.row_number().over(_w(by, order)).cast("long"))
 
 
+def placed(df: DataFrame, by: list[str], coarse: list[tuple[Column, bool]], fine: list, out: str) -> DataFrame:
+    """1-based place of every row within `by`, ordered by the coarse columns (with True: descending), then the fine ones.
+
+    Rows are numbered within groups of equal coarse columns and moved on by the sizes of
+    the groups before, so that no task holds more than one group's rows.  Nulls are last.
+    """
+    names = [f"__c{i}" for i in range(len(coarse))]
+    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, (_, down) in zip(names, coarse, strict=True)]
+    rows = df.withColumns({c: column for c, (column, _) in zip(names, coarse, strict=True)})
+    before = F.sum("__n").over(_w(by, order).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0)))
+    keys = [*by, *names]
+    sizes = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    numbered = with_rank(rows, keys, fine, "__place").join(sizes, same)
+    return numbered.withColumn(out, F.col("__before") + F.col("__place")).select(*[c for c in df.columns if c != out], out)
+
+
 def first_wins(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """One row per key, the first in order."""
     return with_rank(df, key, order, "__rank").where("__rank = 1").drop("__rank")

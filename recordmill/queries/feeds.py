@@ -140,6 +140,19 @@ def kway_merge(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).orderBy(F.col("ts").cast("date").desc(), "event_type", "event_id").limit(500).select("event_id", "event_type")
 
 
+@query("""SELECT event_id, event_type, turn, row_number() OVER (PARTITION BY turn ORDER BY event_type) AS place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS turn FROM events)""")
+def round_robin_all(spark: SparkSession, d: str) -> DataFrame:
+    """As round_robin_feed, over whole streams: the turn and the place in it of every row."""
+    turns = O.placed(events(spark, d), ["event_type"], [(F.col("ts").cast("date"), False)], ["ts", "event_id"], "turn")
+    return O.with_rank(turns.select("event_id", "event_type", "turn"), ["turn"], ["event_type"], "place")
+
+
+@query("""SELECT event_id, event_type, row_number() OVER (ORDER BY CAST(ts AS DATE) DESC, event_type, event_id) AS place FROM events""")
+def kway_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    """As kway_merge, over whole streams: the merged place of every row."""
+    return O.placed(events(spark, d), [], [(F.col("ts").cast("date"), True), (F.col("event_type"), False)], ["event_id"], "place").select("event_id", "event_type", "place")
+
+
 @query("""SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3""")
 def top_n_per_group(spark: SparkSession, d: str) -> DataFrame:
     return O.with_rank(table(spark, d, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"]).where("rank <= 3").select("o_custkey", "o_orderkey", "rank")

@@ -118,3 +118,24 @@ def test_streams(spark, tmp_path):
     assert sorted(tuple(r) for r in changes.collect()) == [(1, "a", "new"), (1, "b", "updated"), (2, "a", "new")]
     counts = STREAM.run_now(STREAM.window_counts(stream(), "ts", "1 day", ["k"]), "counts", str(tmp_path / "c3"), "complete")
     assert sorted(r["n"] for r in counts.collect()) == [1, 1, 2]
+
+
+def test_merges_place_every_row(spark):
+    from recordmill.queries import feeds
+
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    assert n > 500
+    assert sorted(r["place"] for r in feeds.QUERIES["kway_merge_all"](spark, d).collect()) == list(range(1, n + 1))
+    assert feeds.QUERIES["round_robin_all"](spark, d).select("turn", "place").distinct().count() == n
+
+
+def test_places_with_nulls_and_ties(spark):
+    from recordmill.operators import ordered
+
+    rows = [("a", 1, 5), ("a", None, 4), ("a", 2, 3), (None, 2, 2), ("b", 2, 1), ("a", 1, 6), (None, None, 7)]
+    df = spark.createDataFrame(rows, "s string, day int, id int")
+    got = {r["id"]: r["p"] for r in ordered.placed(df, ["s"], [(F.col("day"), True)], ["id"], "p").collect()}
+    assert got == {3: 1, 5: 2, 6: 3, 4: 4, 2: 1, 7: 2, 1: 1}
+    got = {r["id"]: r["p"] for r in ordered.placed(df, [], [(F.col("day"), True), (F.col("s"), False)], ["id"], "p").collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [3, 1, 2, 5, 6, 4, 7] and sorted(got.values()) == list(range(1, 8))
