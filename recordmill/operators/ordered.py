@@ -5,6 +5,9 @@ None relies on the order of partitions: every one takes the columns that order r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,28 +60,51 @@ def strongest_in_time_order(df: DataFrame, by: list[str], strength: str, order:
 
 
 def even_sample(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
-    """n evenly spaced rows of each group, first and last included."""
+    """n evenly spaced rows of each group, first and last included (with n = 1 the first)."""
     placed = with_rank(df, by, order, "__at").withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (round_half_up(i * (F.col("__n") - 1) / (n - 1)) + 1).cast("long"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (round_half_up(i * (F.col("__n") - 1) / max(1, n - 1)) + 1).cast("long"))
     return placed.where((F.col("__n") <= n) | F.array_contains(wanted, F.col("__at"))).drop("__at", "__n")
 
 
+def newest_first(at: str, order: list) -> list:
+    """Ordering by time, latest first; rows without one keep the feed's order behind the dated ones."""
+    return [F.col(at).isNull().asc(), F.col(at).desc(), *order]
+
+
+def most_votes(votes: str, order: list) -> list:
+    """Ordering by votes, unknown ones last of all."""
+    return [F.coalesce(F.col(votes), F.lit(-1)).desc(), *order]
+
+
+def season_order(year: str, season: str, order: list) -> list:
+    """Latest year, and within it fall, summer, spring, winter; unknown ones last."""
+    place = F.array_position(F.array(*map(F.lit, ("winter", "spring", "summer", "fall"))), F.lower(F.col(season)))
+    return [F.col(year).desc_nulls_last(), F.nullif(place, F.lit(0)).desc_nulls_last(), *order]
+
+
+def best_links(df: DataFrame, by: list[str], link: str, score: str, order: list, n: int) -> DataFrame:
+    """The n best links of each group, one row of each link; ties stay in the page's order."""
+    once = first_wins(df.where(F.col(score) > 0), [*by, link], [F.col(score).desc(), *order])
+    return top_per_group(once, by, [F.col(score).desc(), *order], n)
+
+
 def fair_share(df: DataFrame, group: str, order: list, cap: int) -> DataFrame:
     """A cap over all groups: each in turn gets ceil(left / groups left), what it does not use rolls on.
 
-    Works on one row per group; the number of groups is that of the sources of a run.
+    Works on one row per group; the number of groups is that of the sources of a run.  A null group comes first.
     """
+    kind = df.schema[group].dataType.simpleString()
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size")).agg(F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), "size"))).alias("all"))
-    start = F.struct(F.lit(cap).cast("long").alias("left"), F.array().cast("array<struct<g:string,quota:bigint>>").alias("out"))
+    start = F.struct(F.lit(cap).cast("long").alias("left"), F.array().cast(f"array<struct<g:{kind},quota:bigint>>").alias("out"))
 
     def share(a: Column, x: Column) -> Column:
         groups_left = F.size("all") - F.size(a["out"])
         quota = F.least(x["size"], F.ceil(a["left"] / groups_left)).cast("long")
-        return F.struct((a["left"] - quota).alias("left"), F.concat(a["out"], F.array(F.struct(x["g"].cast("string").alias("g"), quota.alias("quota")))).alias("out"))
+        return F.struct((a["left"] - quota).alias("left"), F.concat(a["out"], F.array(F.struct(x["g"].alias("g"), quota.alias("quota")))).alias("out"))
 
     quotas = sizes.select(F.explode(F.aggregate("all", start, share)["out"]).alias("q")).select(F.col("q.g").alias("__g"), F.col("q.quota").alias("__quota"))
     ranked = with_rank(df, [group], order, "__rank")
-    return ranked.join(quotas, F.col(group).cast("string") == F.col("__g")).where("__rank <= __quota").drop("__g", "__quota", "__rank")
+    return ranked.join(quotas, F.col(group).eqNullSafe(F.col("__g"))).where("__rank <= __quota").drop("__g", "__quota", "__rank")
 
 
 def round_robin(df: DataFrame, source: str, order: list, out: str = "position") -> DataFrame:
@@ -138,15 +164,24 @@ def until_exhausted(df: DataFrame, by: list[str], order: list, price: Column, ca
 
 
 def thinned(df: DataFrame, by: list[str], at: str, gap: float) -> DataFrame:
-    """Greedy thinning: a row stays if it is at least `gap` after the last one that stayed."""
-    lists = df.groupBy(*by).agg(F.sort_array(F.collect_set(F.col(at).cast("double"))).alias("__all"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
+    """Greedy thinning: a row stays if it is at least `gap` after the last one of its group that stayed.
 
-    def keep(a: Column, x: Column) -> Column:
-        good = a["last"].isNull() | (x - a["last"] >= gap)
-        return F.struct(F.when(good, x).otherwise(a["last"]).alias("last"), F.when(good, F.concat(a["out"], F.array(x))).otherwise(a["out"]).alias("out"))
-
-    return lists.select(*by, F.explode(F.aggregate("__all", start, keep)["out"]).alias(at))
+    Rows stream through a task in order, with the last kept time as the only state; null times are left out.
+    """
+    rows = df.select(*by, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull())
+    in_order = rows.repartition(*by).sortWithinPartitions(*by, at) if by else rows.coalesce(1).sortWithinPartitions(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, 0.0
+        for batch in batches:
+            keep = []
+            for i, (t, *own) in enumerate(zip(batch.column(at).to_pylist(), *[batch.column(c).to_pylist() for c in by], strict=True)):
+                if own != group or t - last >= gap:
+                    group, last = own, t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, type=pa.int64()))
+
+    return in_order.mapInArrow(run, rows.schema)
 
 
 def batches_of(df: DataFrame, order: list, size: int, by: list[str] | None = None, out: str = "batch") -> DataFrame:
