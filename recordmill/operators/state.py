@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +15,36 @@ def only_new(current: DataFrame, seen: DataFrame, key: list[str], mark: str | No
     return current.join(seen.select(*on).distinct(), on, "left_anti")
 
 
-def next_seen(current: DataFrame, seen: DataFrame, key: list[str], when: str, most: int, refresh: bool = True) -> DataFrame:
-    """The seen set after a run, the most recent `most` keys; with refresh a key seen again becomes recent."""
-    both = seen.select(*key, when).unionByName(current.select(*key, when))
-    last = both.groupBy(*key).agg((F.max if refresh else F.min)(when).alias(when))
+def next_seen(current: DataFrame, seen: DataFrame, key: list[str], when: str, most: int, refresh: bool = True, mark: str | None = None) -> DataFrame:
+    """The seen set after a run, the most recent `most` keys; with refresh a key seen again becomes recent.
+
+    `mark` (a fingerprint) is kept with each key, as its latest row has it.
+    """
+    columns = [*key, when, *([mark] if mark else [])]
+    both = seen.select(*columns).unionByName(current.select(*columns))
+    marks = [F.max_by(mark, when).alias(mark)] if mark else []
+    last = both.groupBy(*key).agg((F.max if refresh else F.min)(when).alias(when), *marks)
     return last.orderBy(F.col(when).desc(), *key).limit(most)
 
 
+def state_key(params: dict, limits: tuple[str, ...] = (), digits: int = 16) -> str:
+    """Name of a query's state: a hash of the parameters that define it, in key order, lists as sets, without its limits."""
+    plain = lambda v: sorted(map(plain, v), key=json.dumps) if isinstance(v, (list, tuple, set)) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+    own = {k: plain(v) for k, v in params.items() if k not in limits and v is not None}
+    return hashlib.sha256(json.dumps(own, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:digits]
+
+
+def with_baseline(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """current with `baseline`: true for every row of a first run (there is no earlier state)."""
+    first = previous.limit(1).agg((F.count(F.lit(1)) == 0).alias("baseline"))
+    return current.crossJoin(first)  # one row
+
+
+def removed(previous: DataFrame, current: DataFrame, key: list[str], seen_at: str, most: int) -> DataFrame:
+    """Known rows that are not listed any more, longest unseen first, at most `most`."""
+    return previous.join(current.select(*key).distinct(), key, "left_anti").orderBy(seen_at, *key).limit(most)
+
+
 def prune_dated(seen: DataFrame, when: str, days: int) -> DataFrame:
     """Keys no older than `days` before the newest."""
     newest = seen.agg(F.max(when).alias("__newest"))

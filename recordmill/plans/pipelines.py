@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import discount_percent
+from ..functions.predicates import scan_cap
 from ..operators import enrich, ordered, series, state
 from ..sources.adapters import Adapter, read_adapters
 
@@ -54,3 +56,38 @@ def hot_boards(boards: list[DataFrame], most: int) -> DataFrame:
 def best_page(pages: DataFrame, site: str, score: Column, order: list) -> DataFrame:
     """The page of highest score of each site."""
     return ordered.first_wins(pages.withColumn("score", score), [site], [F.col("score").desc(), *order])
+
+
+def listing_changes(current: DataFrame, previous: DataFrame, key: list[str], mark: str, seen_at: str, most_removed: int, complete: bool = True) -> DataFrame:
+    """Rows of new and updated listings and, after a complete crawl, those gone longest, each with its `change`."""
+    told = state.change_feed(current, previous, key, mark, complete=False).where("change <> 'unchanged'")
+    changed = current.join(told, key)
+    if not complete:
+        return changed
+    gone = state.removed(previous, current, key, seen_at, most_removed).withColumn("change", F.lit("removed"))
+    return changed.unionByName(gone, allowMissingColumns=True)
+
+
+def job_sites(sites: list[Adapter], wanted: Column, key: list[str], order: list, most: int) -> DataFrame:
+    """Several sites in one shape, filtered, each key once per site, under one cap that they share fairly."""
+    rows = ordered.first_wins(read_adapters(sites, {}).where(wanted), ["source", *key], order)
+    return ordered.fair_share(rows, "source", order, most)
+
+
+def archive(posts: DataFrame, seen: DataFrame, by: list[str], key: str, at: str, since: str, known_in_a_row: int) -> DataFrame:
+    """New posts of each archive, newest first, up to so many in a row that are too old or known."""
+    known = posts.join(seen.select(F.col(key), F.lit(True).alias("__known")).distinct(), key, "left")
+    old = (F.col(at) < F.lit(since).cast("timestamp_ntz")) | F.coalesce("__known", F.lit(False))
+    return ordered.stop_after_streak(known, by, [F.col(at).desc(), key], old, known_in_a_row).drop("__known")
+
+
+def capped_reviews(reviews: DataFrame, by: list[str], order: list, wanted: Column, most: int) -> DataFrame:
+    """The first `most` wanted reviews of each app among those that are read for so many."""
+    scanned = ordered.top_per_group(reviews, by, order, scan_cap(most))
+    return ordered.top_per_group(scanned.where(wanted), by, order, most)
+
+
+def product_search(current: DataFrame, seen: DataFrame, key: list[str], order: list, price: str, original: str) -> DataFrame:
+    """Products of a search, each once and only new ones, with the per cent that is taken off."""
+    fresh = state.only_new(ordered.first_wins(current, key, order), seen, key)
+    return fresh.withColumn("percent", discount_percent(price, original))

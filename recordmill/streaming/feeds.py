@@ -25,22 +25,36 @@ def window_counts(stream: DataFrame, at: str, length: str, by: list[str], late:
     return counted.select(F.col("window.start").alias("period"), *by, "n")
 
 
-def changes(stream: DataFrame, key: str, mark: str) -> DataFrame:
-    """key, mark and change (new, updated) whenever a key's fingerprint differs from the last one."""
+def changes(stream: DataFrame, key: str, mark: str, at: str, forget_days: int = 90) -> DataFrame:
+    """key, mark and change (new, updated) whenever a key's fingerprint differs from the last one, by event time within a batch.
+
+    Keys that are not heard of for `forget_days` leave the state and count as new again; rows later than that are dropped.
+    """
+    shape = {f.name: f.dataType.simpleString() for f in stream.schema}
+    keep_ms = forget_days * 86_400_000
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        columns = [key, mark, "change"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        last, newest = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values([at, mark], kind="stable")
         out = []
-        for batch in batches:
-            for value in batch[mark]:
-                if value != last:
-                    out.append((k[0], value, "new" if last is None else "updated"))
-                    last = value
+        for value in rows[mark]:
+            if value is not None and value != last:
+                out.append((k[0], value, "new" if last is None else "updated"))
+                last = value
+        newest = max(newest, int(pd.Timestamp(rows[at].max()).timestamp() * 1000))
         if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, mark, "change"])
+            state.update((last, newest))
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame(out, columns=columns)
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, {mark} string, change string", "last string", "append", GroupStateTimeout.NoTimeout)
+    schema = f"`{key}` {shape[key]}, `{mark}` {shape[mark]}, change string"
+    grouped = stream.select(key, mark, at).withWatermark(at, f"{forget_days} days").groupBy(key)
+    return grouped.applyInPandasWithState(step, schema, f"last {shape[mark]}, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_now(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
