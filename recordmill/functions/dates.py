@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,12 +29,56 @@ def add_fractional_months(date, months: float) -> Column:
     return F.date_add(F.add_months(col(date), whole), int((months - whole) * 30.44 + 0.5))
 
 
+#: IANA names of time zones.
+ZONES = sorted(available_timezones())
+
+
+def _zoned(convert, at, zone) -> Column:
+    """zone: a name, or a column of names; null where it is none."""
+    if isinstance(zone, str):
+        return convert(col(at), zone) if zone in ZONES else F.lit(None).cast("timestamp")
+    return F.when(zone.isin(ZONES), convert(col(at), F.when(zone.isin(ZONES), zone).otherwise("UTC")))
+
+
 def local_wall_clock(utc, zone) -> Column:
-    return F.from_utc_timestamp(col(utc), zone)
+    return _zoned(F.from_utc_timestamp, utc, zone)
 
 
 def local_to_utc(local, zone) -> Column:
-    return F.to_utc_timestamp(col(local), zone)
+    """Wall clock to UTC; a time that a change of clocks skips is taken as if it had not."""
+    return _zoned(F.to_utc_timestamp, local, zone)
+
+
+def days_between(start, end) -> Column:
+    """Whole days from one date to another."""
+    return F.datediff(col(end), col(start)).cast("long")
+
+
+def add_days(date, n: int) -> Column:
+    return F.date_add(col(date), n)
+
+
+def epoch_millis(ms) -> Column:
+    """Milliseconds since 1970 to a timestamp; null when not above 0."""
+    return F.when(col(ms) > 0, F.timestamp_millis(col(ms).cast("long")))
+
+
+def instant(value) -> Column:
+    """Epoch seconds or an ISO text to a timestamp, else null."""
+    text = col(value).cast("string")
+    return F.coalesce(F.when(text.rlike(r"^\d{1,11}$"), from_epoch(text.try_cast("long"))), F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp")))
+
+
+def english_date(text) -> Column:
+    """'28 Oct 2025' or '28 October 2025' to a date, else null."""
+    day, month, year = (F.regexp_extract(col(text), r"^\s*(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\.?,?\s+(\d{4})\s*$", i) for i in (1, 2, 3))
+    return F.when(day != "", F.try_to_date(F.concat_ws(" ", F.lpad(day, 2, "0"), F.initcap(month), year), "dd MMM yyyy"))
+
+
+def descending_dates(latest: str, n: int) -> Column:
+    """An array of the n dates that end at `latest`, newest first."""
+    end = F.lit(latest).cast("date")
+    return F.reverse(F.sequence(F.date_sub(end, n - 1), end))
 
 
 def week_start(ts) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..types import col
 
 BLANKS = r"[ \t\n\x0B\f\r]+"
+#: Letters and digits whose compatibility decomposition is one ASCII letter or digit and marks, what they fold to, and the marks.
+_FOLDED = {c: d for c in map(chr, range(0x80, 0x2FFF)) for d in ["".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))] if len(d) == 1 and d.isascii() and d.isalnum()}
+_MARKS = "".join(c for c in map(chr, range(0x300, 0x2FFF)) if unicodedata.combining(c))
 #: Named entities that are decoded.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
@@ -33,11 +38,11 @@ def none_to_null(text) -> Column:
 
 
 def slug(text, longest: int | None = None) -> Column:
-    """Small ASCII letters and digits joined by '-'; '+' and '#' are spelt out, '&' separates."""
+    """Small ASCII letters and digits joined by '-'; accents go, '+' and '#' are spelt out, '&' separates."""
     t = F.lower(col(text))
     for a, b in (("&", " "), ("+", " plus "), ("#", " sharp ")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.translate(t, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    t = F.translate(t, "".join(_FOLDED) + _MARKS, "".join(_FOLDED.values()))
     t = F.regexp_replace(F.regexp_replace(t, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     if longest:
         t = F.regexp_replace(F.substring(t, 1, longest), "-+$", "")
@@ -62,8 +67,23 @@ def letter_word_count(text) -> Column:
     return F.regexp_count(col(text), F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*")).cast("long")
 
 
+def _numeric_entities(t: Column) -> Column:
+    """&#8364; and &#x20AC; to their characters; numbers that are none stay as they are."""
+
+    def decoded(part: Column) -> Column:
+        hexed = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
+        number = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(part, r"^(\d{1,7});", 1)).try_cast("int")
+        good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(32)), 8, "0")), "UTF-32")
+        return F.when(F.coalesce(good, F.lit(False)), F.concat(char, F.regexp_replace(part, r"^[xX]?[0-9A-Fa-f]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(t, "&#")
+    return F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(decoded(x))), "")).otherwise(t)
+
+
 def decode_entities(text) -> Column:
-    t = col(text)
+    """Named and numeric entities; unknown ones stay."""
+    t = _numeric_entities(col(text))
     for a, b in ENTITIES.items():
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
@@ -138,3 +158,11 @@ def pretty_enum(text) -> Column:
 def excess_words(text, declared) -> Column:
     """A preview has fewer than 95 % of the declared words."""
     return word_count(text) < 0.95 * col(declared)
+
+
+def any_keyword(keywords: list[str], *columns) -> Column:
+    """Any keyword stands in the columns' texts, without case; no keywords: all fit."""
+    if not keywords:
+        return F.lit(True)
+    hay = F.lower(F.concat_ws(" ", *[col(c) for c in columns]))
+    return F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(hay, k))

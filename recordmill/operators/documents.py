@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import timecode
 
 SKIPPED = {"script", "style", "noscript", "template", "head", "svg"}
+IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "nav", "header", "footer", "title", "main", "aside", "dd", "dt"}
 
 
@@ -72,6 +73,8 @@ class _Page(HTMLParser):
         self.lines, self.links, self.skip, self.at = [""], [], [], None
 
     def handle_starttag(self, tag, attrs):
+        if self.skip and self.skip[-1] == "head" and tag not in IN_HEAD:
+            self.skip.pop()  # the end of a head may be left out
         if tag in SKIPPED:
             self.skip.append(tag)
         if tag in BLOCKS:
@@ -80,8 +83,8 @@ class _Page(HTMLParser):
             self.at = (dict(attrs).get("href") or "", len(self.lines), len(self.lines[-1]))
 
     def handle_endtag(self, tag):
-        if self.skip and tag == self.skip[-1]:
-            self.skip.pop()
+        if tag in self.skip:  # inner ones that were never closed end with it
+            del self.skip[self.skip.index(tag) :]
         if tag in BLOCKS:
             self.lines.append("")
         if tag == "a" and self.at:

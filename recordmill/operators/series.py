@@ -22,10 +22,19 @@ def leaderboard(df: DataFrame, at: str, period: str, item: str, score: Column, n
 
 
 def rolling(df: DataFrame, by: list[str], at: str, hours: int, value: Column, out: str) -> DataFrame:
-    """Sum over the last hours up to each row."""
-    seconds = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(*by).orderBy(seconds).rangeBetween(-hours * 3_600_000_000, 0)
-    return df.withColumn(out, F.sum(value).over(w))
+    """Sum over the last hours up to each row.
+
+    Rows are dealt out by group and bucket of that many hours, each also to the bucket after it, so that a window never
+    leaves its bucket's partition and a group with many rows is worked on by many tasks.  A null time has a null sum.
+    """
+    length = hours * 3_600_000_000
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    a = df.withColumn("__at", micros).withColumn("__value", value)
+    bucket = F.floor(F.col("__at") / length)
+    a = a.withColumn("__bucket", F.explode_outer(F.when(F.col("__at").isNotNull(), F.array(bucket, bucket + 1)))).withColumn("__own", F.coalesce(F.col("__bucket") == bucket, F.lit(True)))
+    w = Window.partitionBy(*by, "__bucket").orderBy("__at").rangeBetween(-length, 0)
+    summed = a.withColumn(out, F.when(F.col("__at").isNotNull(), F.sum("__value").over(w)))
+    return summed.where("__own").drop("__at", "__value", "__bucket", "__own")
 
 
 def anchored_batches(terms: DataFrame, term: str, order: str, size: int = 5) -> DataFrame:

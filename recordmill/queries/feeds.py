@@ -54,25 +54,25 @@ def only_new_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return ST.only_new(o.where(F.col("o_orderdate") >= cut), o.where(F.col("o_orderdate") < cut), ["id"], "fp").select("o_orderkey", "id", "fp")
 
 
-@query(f"""WITH prev AS (SELECT event_type, user_id, ts FROM events WHERE ts < TIMESTAMP '{CUT}'), marks AS (SELECT event_type, max(ts) AS mark FROM prev GROUP BY event_type)
+@query(f"""WITH prev AS (SELECT event_type, event_id, ts FROM events WHERE ts < TIMESTAMP '{CUT}' AND value >= 20), marks AS (SELECT event_type, max(ts) AS mark FROM prev GROUP BY event_type)
 SELECT c.event_id, c.event_type, c.user_id FROM events c LEFT JOIN marks m USING (event_type)
 WHERE c.ts >= TIMESTAMP '{CUT2}' AND (mark IS NULL OR c.ts >= mark - INTERVAL 7 DAY)
-  AND NOT EXISTS (SELECT 1 FROM prev p WHERE p.event_type = c.event_type AND p.user_id = c.user_id)""")
+  AND NOT EXISTS (SELECT 1 FROM prev p WHERE p.event_type = c.event_type AND p.event_id = c.event_id)""")
 def watermark_monitor(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
-    previous, current = e.where(F.col("ts") < F.lit(CUT).cast("timestamp_ntz")), e.where(F.col("ts") >= F.lit(CUT2).cast("timestamp_ntz"))
-    return ST.watermark_monitor(current, previous, ["event_type"], "user_id", "ts").select("event_id", "event_type", "user_id")
+    previous, current = e.where((F.col("ts") < F.lit(CUT).cast("timestamp_ntz")) & (F.col("value") >= 20)), e.where(F.col("ts") >= F.lit(CUT2).cast("timestamp_ntz"))
+    return ST.watermark_monitor(current, previous, ["event_type"], "event_id", "ts").select("event_id", "event_type", "user_id")
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders")
     last = lambda df: O.first_wins(df, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]).select("o_custkey", N.fingerprint("o_orderstatus", "o_orderpriority").alias("fp"))
-    return last(o.where("o_orderkey % 3 <> 0")), last(o.where("o_orderkey % 3 <> 1"))
+    return last(o.where("o_orderdate >= '1996-01-01'")), last(o.where("o_orderdate < '1997-06-01'"))
 
 
 _SNAPS = """WITH base AS (SELECT *, '=' || o_orderstatus || '|=' || o_orderpriority AS mark FROM orders),
-cur AS (SELECT o_custkey, substr(sha256(mark), 1, 12) AS fp FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM base WHERE o_orderkey % 3 <> 0) WHERE r = 1),
-prev AS (SELECT o_custkey, substr(sha256(mark), 1, 12) AS fp FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM base WHERE o_orderkey % 3 <> 1) WHERE r = 1)
+cur AS (SELECT o_custkey, substr(sha256(mark), 1, 12) AS fp FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM base WHERE o_orderdate >= TIMESTAMP '1996-01-01') WHERE r = 1),
+prev AS (SELECT o_custkey, substr(sha256(mark), 1, 12) AS fp FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM base WHERE o_orderdate < TIMESTAMP '1997-06-01') WHERE r = 1)
 """
 
 
@@ -96,10 +96,10 @@ def rank_changes(spark: SparkSession, d: str) -> DataFrame:
     return ST.rank_changes(ranked.where("y = 1996"), ranked.where("y = 1995"), ["p_brand"], "item", "rank", visible=10, least=2)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice >= 400000)")
 def not_found_rows(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "customer").select("c_custkey", "c_name")
-    return ST.missing_wanted(wanted, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return ST.missing_wanted(wanted, table(spark, d, "orders").where("o_totalprice >= 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("""WITH a AS (SELECT *, value < 60 AS old, sum(CASE WHEN value < 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS island FROM events),

@@ -32,11 +32,6 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _sql_values(rows: list[tuple]) -> str:
-    lit = lambda v: "NULL" if v is None else f"CAST({v} AS BIGINT)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-
-
 _SQUASH = "nullif(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '')"
 
 
@@ -65,8 +60,7 @@ def tracking_free_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id FROM documents WHERE contains(lower(source || ' ' || lang || ' ' || text), 'token') OR contains(lower(source || ' ' || lang || ' ' || text), 'license')""")
 def keyword_any(spark: SparkSession, d: str) -> DataFrame:
-    hay = F.lower(F.concat_ws(" ", "source", "lang", "text"))
-    return table(spark, d, "documents").where(F.exists(F.array(F.lit("token"), F.lit("license")), lambda k: F.contains(hay, k))).select("doc_id")
+    return table(spark, d, "documents").where(T.any_keyword(["token", "License"], "source", "lang", "text")).select("doc_id")
 
 
 _SLUG = "nullif(regexp_replace(regexp_replace(lower(replace(replace(replace(x, '&', ' '), '+', ' plus '), '#', ' sharp ')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')"
@@ -90,29 +84,30 @@ def money_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", shown.alias("shown"), N.money(shown).alias("amount"), ((F.floor((1 - F.col("c_acctbal") / 10000) * 1000 + 0.5)) / 10).alias("saved"))
 
 
-_NUMBERS = [("10.6M", 10600000), ("6.43K", 6430), ("24 240", 24240), ("x", None), ("1,204", 1204), ("2B", 2000000000)]
-
-
-@query("SELECT * FROM (" + _sql_values(_NUMBERS) + ") t(shown, n)")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey * 10 WHEN 1 THEN o_custkey * 10000 WHEN 2 THEN 24000 + o_custkey END AS n FROM orders""")
 def compact_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(a,) for a, _ in _NUMBERS], "shown string").select("shown", N.compact("shown").alias("n"))
-
+    """Customer numbers written with K, with M, with blanks, and as words."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey")
+    shown = F.when(k == 0, F.concat((c / 100).cast("decimal(12,2)").cast("string"), F.lit("K"))).when(k == 1, F.concat((c / 100).cast("decimal(12,2)").cast("string"), F.lit("m"))).when(k == 2, F.concat(F.format_number(24000 + c, 0))).otherwise("many")
+    return table(spark, d, "orders").select("o_orderkey", N.compact(shown).alias("n"))
 
-_PAY = [("$80K - $120K", 80000, 120000, "USD"), ("€50,000-€70,000", 50000, 70000, "EUR"), ("competitive", None, None, None)]
 
-
-@query("SELECT * FROM (" + _sql_values(_PAY) + ") t(shown, low, high, currency)")
+@query("""SELECT p_partkey, CASE WHEN p_size <> 9 THEN CAST(p_size AS BIGINT) * 1000 END AS low, CASE WHEN p_size <> 9 THEN 50000 + CAST(p_size AS BIGINT) * 1000 END AS high, CASE WHEN p_size = 9 THEN NULL WHEN p_size % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency FROM part""")
 def pay_ranges(spark: SparkSession, d: str) -> DataFrame:
-    p = N.pay_range("shown")
-    return values(spark, [(x[0],) for x in _PAY], "shown string").select("shown", p["low"].alias("low"), p["high"].alias("high"), p["currency"].alias("currency"))
-
-
-_TIMES = [("1:02:03", 3723), ("02:05", 125), ("77", 77), ("abc", None), ("1:2:3:4", None)]
+    size = F.col("p_size")
+    dollars = F.concat(F.lit("$"), size.cast("string"), F.lit("K - $"), (50 + size).cast("string"), F.lit("K"))
+    euros = F.concat(F.lit("€"), F.format_number(size * 1000, 0), F.lit("-€"), F.format_number(50_000 + size * 1000, 0))
+    p = N.pay_range(F.when(size == 9, "competitive").when(size % 2 == 0, dollars).otherwise(euros))
+    return table(spark, d, "part").select("p_partkey", p["low"].alias("low"), p["high"].alias("high"), p["currency"].alias("currency"))
 
 
-@query("SELECT * FROM (" + _sql_values(_TIMES) + ") t(shown, seconds)")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN s WHEN 1 THEN s % 3600 WHEN 2 THEN s END AS seconds FROM (SELECT event_id, user_id * 61 + event_id % 7000 AS s FROM events)""")
 def durations(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0],) for x in _TIMES], "shown string").select("shown", D.duration_seconds("shown").alias("seconds"))
+    """Seconds as HH:MM:SS, as MM:SS, as a number and as words."""
+    s, k = F.col("user_id") * 61 + F.col("event_id") % 7000, F.col("event_id") % 4
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    shown = F.when(k == 0, F.concat_ws(":", F.floor(s / 3600).cast("string"), two(F.floor(s / 60) % 60), two(s % 60))).when(k == 1, F.concat_ws(":", two(F.floor(s / 60) % 60), two(s % 60))).when(k == 2, F.concat(F.lit(" "), s.cast("string"))).otherwise("1:2:3:4")
+    return table(spark, d, "events").select("event_id", D.duration_seconds(shown).alias("seconds"))
 
 
 @query("""SELECT event_id, printf('%02d:%02d:%02d,%03d', m // 3600000, (m // 60000) % 60, (m // 1000) % 60, m % 1000) AS code, CASE WHEN m // 3600000 = 0 THEN (m // 60000) || 'm' WHEN (m // 60000) % 60 = 0 THEN (m // 3600000) || 'h' ELSE (m // 3600000) || 'h ' || ((m // 60000) % 60) || 'm' END AS spoken
@@ -128,53 +123,50 @@ def date_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", D.week_start("o_orderdate").cast("string").alias("week"), F.trunc(day, "month").cast("string").alias("month"), D.add_fractional_months(day, 0.5).cast("string").alias("due"), D.last_days(day, "1996-01-01", 30).alias("recent"))
 
 
-_SEASONS = [("Summer 2025", "S25"), ("winter 2024", "W24"), ("Spring 2026", "X26"), ("Fall 2023", "F23"), ("2025", None)]
-
-
-@query("SELECT * FROM (" + _sql_values(_SEASONS) + ") t(shown, code)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN CASE (month(o_orderdate) - 1) // 3 WHEN 0 THEN 'W' WHEN 1 THEN 'X' WHEN 2 THEN 'S' ELSE 'F' END || strftime(o_orderdate, '%y') END AS code FROM orders""")
 def season_codes(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0],) for x in _SEASONS], "shown string").select("shown", D.season_code("shown").alias("code"))
+    names = F.array(*map(F.lit, ("winter", "Spring", "SUMMER", "Fall")))
+    shown = F.when(F.col("o_orderkey") % 9 != 0, F.concat_ws(" ", F.get(names, F.quarter("o_orderdate") - 1), F.year("o_orderdate").cast("string"))).otherwise(F.year("o_orderdate").cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", D.season_code(shown).alias("code"))
 
 
-_TIDY = [("  a \n b ", "a b", "en-US", "en"), ("N/A", None, "PT", "pt"), (" ", None, None, None), ("[redacted]", None, "x", None)]
-
-
-@query("SELECT * FROM (" + _sql_values([(a, b, c, e) for a, b, c, e in _TIDY]) + ") t(shown, tidy, code, base)")
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR source = '' THEN NULL ELSE source || ' x' END AS tidy, lang AS base FROM documents""")
 def tidy_text(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0], x[2]) for x in _TIDY], "shown string, code string").select("shown", T.none_to_null("shown").alias("tidy"), "code", T.base_language("code").alias("base"))
-
+    k = F.col("doc_id") % 15
+    shown = F.when(k == 0, " N/A ").when(k == 5, "[Redacted]").when(k == 10, " \n\t").otherwise(F.concat(F.lit("  "), "source", F.lit(" \n\t x ")))
+    return table(spark, d, "documents").select("doc_id", T.none_to_null(shown).alias("tidy"), T.base_language(F.concat(F.upper("lang"), F.lit("-US"))).alias("base"))
 
-_LISTS = [("a, B,b ,, A,c", "a|B|c"), ("", ""), ("x", "x")]
 
-
-@query("SELECT * FROM (" + _sql_values(_LISTS) + ") t(shown, items)")
+@query("""SELECT p_partkey, p_brand || '|' || p_type || CASE WHEN lower(p_type) = lower(p_brand) THEN '' ELSE '' END || '|' || p_size AS items FROM part""")
 def comma_lists(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0],) for x in _LISTS], "shown string").select("shown", F.array_join(T.comma_list("shown"), "|").alias("items"))
-
+    shown = F.concat_ws(",", "p_brand", F.concat(F.lit(" "), F.upper("p_brand")), F.concat(F.lit("  "), "p_type"), F.lit(" "), F.col("p_size").cast("string"), F.lower("p_type"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.comma_list(shown), "|").alias("items"))
 
-_ENUMS = [("SIZE_51_200", "51-200"), ("ONSITE_OR_REMOTE", "onsiteOrRemote"), ("FULL", "full")]
 
-
-@query("SELECT * FROM (" + _sql_values(_ENUMS) + ") t(shown, label)")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey || '-' || c_custkey ELSE lower(c_mktsegment) || 'OrRemote' END AS label FROM customer""")
 def enum_labels(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0],) for x in _ENUMS], "shown string").select("shown", T.pretty_enum("shown").alias("label"))
-
-
-_MAILS = [("info (at) example [dot] org", "info@example.org"), ("a@b.c", "a@b.c"), ("sales {AT} x (dot) y (dot) z", "sales@x.y.z")]
+    size = F.concat_ws("_", F.lit("SIZE"), F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
+    shown = F.when(F.col("c_custkey") % 2 == 0, size).otherwise(F.concat("c_mktsegment", F.lit("_OR_REMOTE")))
+    return table(spark, d, "customer").select("c_custkey", T.pretty_enum(shown).alias("label"))
 
 
-@query("SELECT * FROM (" + _sql_values(_MAILS) + ") t(shown, address)")
+@query("""SELECT c_custkey, 'sales' || c_custkey || '@shop.n' || c_nationkey || '.org' AS address FROM customer""")
 def clear_emails(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0],) for x in _MAILS], "shown string").select("shown", T.clear_email("shown").alias("address"))
+    """Addresses hidden with (at) and [dot], and plain ones."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    hidden = F.concat(F.lit("sales"), k, F.lit(" (AT) shop [dot] n"), n, F.lit("{.}org"))
+    plain = F.concat(F.lit("sales"), k, F.lit("@shop.n"), n, F.lit(".org"))
+    return table(spark, d, "customer").select("c_custkey", T.clear_email(F.when(F.col("c_custkey") % 3 == 0, plain).otherwise(hidden)).alias("address"))
 
 
 _RULES = [("limited|llc", "company"), ("foundation|non.?profit", "non-profit"), ("partnership|llp", "partnership")]
-_KINDS = [("Limited Liability Company", "company"), ("NONPROFIT corp", "non-profit"), ("Limited Partnership", "company"), ("General partnership", "partnership"), ("Trust", "other")]
 
 
-@query("SELECT * FROM (" + _sql_values(_KINDS) + ") t(kind, category)")
+@query("""SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'company' WHEN 1 THEN 'non-profit' WHEN 2 THEN 'company' ELSE 'other' END AS category FROM supplier""")
 def entity_categories(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0],) for x in _KINDS], "kind string").select("kind", T.category_of("kind", _RULES, "other").alias("category"))
+    """The first rule that fits: a limited partnership is a company."""
+    kinds = F.array(*map(F.lit, ("Domestic LLC", "Non-Profit corporation", "Limited Partnership", "Trust")))
+    return table(spark, d, "supplier").select("s_suppkey", T.category_of(F.get(kinds, F.col("s_nationkey") % 4), _RULES, "other").alias("category"))
 
 
 @query("""SELECT p_partkey, CAST(greatest(floor(p_size * 40 * s / 2 + 0.5) * 2, 2) AS BIGINT) AS width, CAST(greatest(floor(p_retailprice * s / 2 + 0.5) * 2, 2) AS BIGINT) AS height, CAST(greatest(1, ceil((p_retailprice - 1.0) / 60 - 1e-9)) AS BIGINT) AS minutes, CAST(least(5, greatest(1, floor(p_size * 2 / 20.0 + 0.5))) AS BIGINT) AS stars
@@ -201,22 +193,29 @@ def json_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", A.at(A.guarded_json(F.concat(F.lit(")]}'\n"), "props")), "$.k", "long").alias("k"))
 
 
-_ROBOTS = [("a.org", "/", True), ("a.org", "/private", False), ("a.org", "/private/open$", True), ("b.org", "/*.pdf$", False), ("b.org", "/x?y", False)]
-_PATHS = [("a.org", "/private/x", False), ("a.org", "/private/open", True), ("a.org", "/news", True), ("b.org", "/a/b.pdf", False), ("b.org", "/a.pdf?x", True), ("b.org", "/x?y=1", False), ("c.org", "/", True)]
+_ROBOTS = [("/", True), ("/en/", False), ("/en/*5$", True), ("/de/*7", False), ("/fr/", False), ("/fr/", True), ("/x?y", False)]
+_PATH = "nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)', 1), '')"
 
 
-@query("SELECT host, path, allowed = 1 AS allowed FROM (" + _sql_values([(h, p, int(a)) for h, p, a in _PATHS]) + ") t(host, path, allowed)")
+@query(f"""SELECT page_id, CASE WHEN host IS NULL OR p IS NULL THEN NULL WHEN p LIKE '/en/%5' THEN true WHEN p LIKE '/en/%' THEN false WHEN p LIKE '/de/%7%' THEN false ELSE true END AS allowed
+FROM (SELECT page_id, {_PATH} AS p, nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1), '') AS host FROM pages)""")
 def robots_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = values(spark, _ROBOTS, "host string, rule string, allow boolean")
-    return A.robots_decision(values(spark, [x[:2] for x in _PATHS], "host string, path string"), rules, "host", "path").select("host", "path", "allowed")
-
-
-_IPS = [("10.1.2.3", True), ("8.8.8.8", False), ("192.168.0.1", True), ("172.31.0.1", True), ("172.32.0.1", False), ("127.0.0.1", True), ("host", False)]
+    """Every page under one set of rules of its host."""
+    pages = table(spark, d, "pages").select("page_id", U.host("url").alias("host"), F.nullif(U.path("url"), F.lit("")).alias("path"))
+    rules = pages.select("host").where("host is not null").distinct().crossJoin(F.broadcast(values(spark, _ROBOTS, "rule string, allow boolean")))
+    decided = A.robots_decision(pages.where("host is not null and path is not null").select("host", "path").distinct(), rules, "host", "path")
+    return pages.join(decided, ["host", "path"], "left").select("page_id", "allowed")
 
 
-@query("SELECT ip, private = 1 AS private FROM (" + _sql_values([(a, int(b)) for a, b in _IPS]) + ") t(ip, private)")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 11 = 0 THEN false ELSE a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) END AS private
+FROM (SELECT *, CASE l_partkey % 8 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 WHEN 3 THEN 100 WHEN 4 THEN 169 WHEN 5 THEN 127 ELSE l_partkey % 223 END AS a, CASE l_partkey % 8 WHEN 2 THEN 167 + l_suppkey % 3 WHEN 4 THEN 253 + l_suppkey % 3 ELSE l_orderkey % 256 END AS b FROM lineitem)""")
 def private_addresses(spark: SparkSession, d: str) -> DataFrame:
-    return values(spark, [(x[0],) for x in _IPS], "ip string").select("ip", A.private_ip(F.col("ip")).alias("private"))
+    """Addresses made of the keys of line items, near and in the private ranges; some are names."""
+    k, s, o = F.col("l_partkey") % 8, F.col("l_suppkey"), F.col("l_orderkey")
+    a = F.when(k == 0, 10).when(k == 1, 172).when(k == 2, 192).when(k == 3, 100).when(k == 4, 169).when(k == 5, 127).otherwise(F.col("l_partkey") % 223)
+    b = F.when(k == 2, 167 + s % 3).when(k == 4, 253 + s % 3).otherwise(o % 256)
+    ip = F.when(o % 11 == 0, "host.example").otherwise(F.concat_ws(".", a.cast("string"), b.cast("string"), (s % 256).cast("string"), F.lit("7")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", A.private_ip(ip).alias("private"))
 
 
 @query()

@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import dates as D
 from recordmill.functions import numbers as N
+from recordmill.functions import predicates as P
+from recordmill.functions import references as R
 from recordmill.functions import text as T
 from recordmill.functions import urls as U
 from recordmill.sources import adapters as A
+from recordmill.sources import embedded as EM
 from recordmill.types import number, round_half_up, shaped
 
 CASES = [
@@ -41,6 +44,49 @@ CASES = [
     (lambda c: A.at(A.guarded_json(c), "$[1].a", "long"), ")]}'\n[0, {\"a\": 5}]", 5),
     (lambda c: A.at(A.page_json(c, "__DATA__"), "$.x"), '<script id="__DATA__" type="j">{"x": "y"}</script>', "y"),
     (lambda c: F.size(A.sitemap_entries(c)), "<url><loc>a</loc></url><url><loc>b</loc><lastmod>1</lastmod></url><url><loc>a</loc></url>", 2),
+    (lambda c: N.compact(c), "10.6M", 10600000),
+    (lambda c: N.compact(c), "24 240", 24240),
+    (lambda c: N.compact(c), "x", None),
+    (lambda c: N.compact(c), "2B", 2000000000),
+    (lambda c: N.pay_range(c)["low"], "$80K - $120K", 80000),
+    (lambda c: N.pay_range(c)["currency"], "€50,000-€70,000", "EUR"),
+    (lambda c: N.pay_range(c)["low"], "competitive", None),
+    (lambda c: D.duration_seconds(c), "1:02:03", 3723),
+    (lambda c: D.duration_seconds(c), "1:2:3:4", None),
+    (lambda c: D.season_code(c), "Spring 2026", "X26"),
+    (lambda c: D.season_code(c), "2025", None),
+    (lambda c: T.none_to_null(c), "N/A", None),
+    (lambda c: T.none_to_null(c), "[redacted]", None),
+    (lambda c: T.base_language(c), "PT", "pt"),
+    (lambda c: F.array_join(T.comma_list(c), "|"), "a, B,b ,, A,c", "a|B|c"),
+    (lambda c: T.pretty_enum(c), "SIZE_51_200", "51-200"),
+    (lambda c: T.pretty_enum(c), "FULL", "full"),
+    (lambda c: T.clear_email(c), "sales {AT} x (dot) y (dot) z", "sales@x.y.z"),
+    (lambda c: T.slug(c), "Šibenik Łódź Ⅳ ﬁ", "sibenik-odz"),
+    (lambda c: T.slug(c), "Cafe\u0301", "cafe"),
+    (lambda c: T.decode_entities(c), "5 &#8364; &#x20AC; &#128512; &#0; &#55296; &amp;#65;", "5 € € 😀 &#0; &#55296; &#65;"),
+    (lambda c: D.local_wall_clock(c.try_cast("timestamp"), "Asia/Tokyo").cast("string"), "2024-01-01 00:00:00", "2024-01-01 09:00:00"),
+    (lambda c: D.local_wall_clock(c.try_cast("timestamp"), "Mars/Base").cast("string"), "2024-01-01 00:00:00", None),
+    (lambda c: D.local_to_utc(F.lit("2024-01-01 09:00:00").cast("timestamp"), c).cast("string"), "Nowhere", None),
+    (lambda c: D.english_date(c).cast("string"), "28 Oct 2025", "2025-10-28"),
+    (lambda c: D.english_date(c).cast("string"), "99 Xyz 2025", None),
+    (lambda c: D.instant(c).cast("string"), "1700000000", "2023-11-14 22:13:20"),
+    (lambda c: F.size(D.descending_dates("2024-03-01", 3)), "", 3),
+    (lambda c: R.tagged(c, "app")["id"], "com.example.app", "com.example.app"),
+    (lambda c: R.tagged(c, "message")["id"], "https://t.me/s/chan/12?x", "chan/12"),
+    (lambda c: R.tagged(c, "deviation")["kind"], "https://www.deviantart.com/someone", "user"),
+    (lambda c: R.short_id(c), "https://a.b/job/Engineer-Pune-x7Ya", "x7Ya"),
+    (lambda c: R.listing_url(R.listing_search(c)["role"], R.listing_search(c)["place"], R.listing_search(c)["page"], "https://w.com"), "https://w.com/role/l/dev/rome?page=3", "https://w.com/role/l/dev/rome?page=3"),
+    (lambda c: R.listing_search(c)["place"], "https://w.com/role/r/dev", "remote"),
+    (lambda c: R.file_name(c, F.lit("https://a.b/x/y.pdf")), "attachment; filename*=UTF-8''na%20me.pdf", "na me.pdf"),
+    (lambda c: R.file_name(c, F.lit("https://a.b/x/y%20z.pdf")), "inline", "y z.pdf"),
+    (lambda c: P.is_challenge(c), "<title>Just a moment...</title>", True),
+    (lambda c: P.page_kind(c, [("group", "members"), ("channel", "subscribers")]), "12 subscribers", "channel"),
+    (lambda c: P.allowed_url(c, ["a.org"], ["login"]), "https://x.a.org/login?x", False),
+    (lambda c: P.allowed_url(c, ["a.org"], ["login"]), "https://x.a.org/p/1", True),
+    (lambda c: EM.decoded_body(F.encode(c, "UTF-8"), F.lit("text/html")), "naïve", "naïve"),
+    (lambda c: EM.decoded_body(F.unhex(c), F.lit("text/html; charset=latin1")), "E4", "ä"),
+    (lambda c: EM.decoded_body(F.unhex(c), F.lit(None).cast("string")), "E4", "ä"),
     (lambda c: F.size(A.feed_items(c, "item", "title string")), "<rss><item><title>a</title></item><item><title>b</title></item></rss>", 2),
 ]
 

@@ -114,7 +114,7 @@ def test_streams(spark, tmp_path):
     df.select("k", "f", F.col("t").cast("timestamp").alias("ts")).coalesce(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
     stream = lambda: STREAM.read_stream(spark, str(tmp_path / "in"), "k long, f string, ts timestamp")
     assert STREAM.run_now(STREAM.unseen(stream(), ["k", "f"], "ts"), "unseen", str(tmp_path / "c1")).count() == 3
-    changes = STREAM.run_now(STREAM.changes(stream(), "k", "f"), "changes", str(tmp_path / "c2"))
+    changes = STREAM.run_now(STREAM.changes(stream(), "k", "f", "ts"), "changes", str(tmp_path / "c2"))
     assert sorted(tuple(r) for r in changes.collect()) == [(1, "a", "new"), (1, "b", "updated"), (2, "a", "new")]
     counts = STREAM.run_now(STREAM.window_counts(stream(), "ts", "1 day", ["k"]), "counts", str(tmp_path / "c3"), "complete")
     assert sorted(r["n"] for r in counts.collect()) == [1, 1, 2]
@@ -139,3 +139,34 @@ def test_places_with_nulls_and_ties(spark):
     assert got == {3: 1, 5: 2, 6: 3, 4: 4, 2: 1, 7: 2, 1: 1}
     got = {r["id"]: r["p"] for r in ordered.placed(df, [], [(F.col("day"), True), (F.col("s"), False)], ["id"], "p").collect()}
     assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [3, 1, 2, 5, 6, 4, 7] and sorted(got.values()) == list(range(1, 8))
+
+
+def test_shares_and_samples_of_odd_groups(spark):
+    from recordmill.operators import ordered
+
+    df = spark.createDataFrame([(None, 1), ("a", 2), ("a", 3), (None, 4)], "s string, k int")
+    assert sorted(r["k"] for r in ordered.fair_share(df, "s", ["k"], 3).collect()) == [1, 2, 4]
+    numbers = df.withColumn("s", F.when(F.col("s") == "a", 7))
+    assert sorted(r["k"] for r in ordered.fair_share(numbers, "s", ["k"], 10).collect()) == [1, 2, 3, 4]
+    assert [r["k"] for r in ordered.even_sample(df, ["s"], ["k"], 1).orderBy("k").collect()] == [1, 2]
+    links = spark.createDataFrame([("p", "a", 2, 1), ("p", "a", 5, 2), ("p", "b", 5, 3), ("p", "c", 0, 4), ("p", "d", 1, 5)], "page string, link string, score int, i int")
+    assert [r["link"] for r in ordered.best_links(links, ["page"], "link", "score", ["i"], 2).orderBy("i").collect()] == ["a", "b"]
+    seasons = spark.createDataFrame([(1, 2024, "Fall"), (2, 2025, "winter"), (3, 2025, "Summer"), (4, None, None), (5, 2025, "?")], "k int, y int, t string")
+    assert [r["k"] for r in seasons.orderBy(*ordered.season_order("y", "t", ["k"])).collect()] == [3, 2, 5, 1, 4]
+
+
+def test_pages_without_closed_heads():
+    from recordmill.operators.documents import page_of
+
+    assert page_of("<html><head><title>t</title><meta charset=x><body><p>one<p>two <a href='/x'>link</a>")[0] == ["one", "two link"]
+    assert page_of("<head><title>t</title></head><body>one<svg><g>no</svg> two")[0] == ["one two"]
+
+
+def test_state_keys_and_second_cycles(spark):
+    assert ST.state_key({"b": [2, 1], "a": "x", "max": 5}, ("max",)) == ST.state_key({"a": "x", "b": [1, 2], "max": 9, "c": None}, ("max",)) != ST.state_key({"a": "y", "b": [1, 2]})
+    job = Job(key=["k"], order=["s"], mark="f", remembered=2)
+    rows = lambda xs: spark.createDataFrame(xs, "k int, s int, f string")
+    _, seen = job.run(rows([(1, 1, "x"), (2, 2, "x")]), rows([]))
+    emitted, seen = job.run(rows([(1, 5, "x"), (2, 6, "y"), (3, 4, "x")]), seen)
+    assert sorted(r["k"] for r in emitted.collect()) == [2, 3]
+    assert {(r["k"], r["f"]) for r in seen.collect()} == {(1, "x"), (2, "y")}  # the returning key stays recent, 3 is older
