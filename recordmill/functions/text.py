@@ -49,13 +49,21 @@ def slug(text, longest: int | None = None) -> Column:
     return F.nullif(t, F.lit(""))
 
 
+def once(value: Column, body) -> Column:
+    """body(value), the value computed a single time however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def snippet(text, most: int = 300) -> Column:
     """At most `most` characters, cut at the last blank if that is beyond 60 %, trailing punctuation off, ' ...' put on."""
-    t = squash(text)
-    head = F.substring(t, 1, most)
-    before = F.regexp_replace(head, " [^ ]*$", "")
-    cut = F.when(F.char_length(before) > most * 0.6, before).otherwise(head)
-    return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.regexp_replace(cut, "[ ,.;:!?-]+$", ""), F.lit(" ...")))
+
+    def cut(t: Column) -> Column:
+        head = F.substring(t, 1, most)
+        before = F.regexp_replace(head, " [^ ]*$", "")
+        kept = F.when(F.char_length(before) > most * 0.6, before).otherwise(head)
+        return F.when(F.char_length(t) <= most, t).otherwise(F.concat(F.regexp_replace(kept, "[ ,.;:!?-]+$", ""), F.lit(" ...")))
+
+    return once(squash(text), cut)
 
 
 def word_count(text) -> Column:
