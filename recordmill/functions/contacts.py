@@ -52,6 +52,18 @@ def register_number(text) -> Column:
     return F.when(number != "", F.struct(F.replace(kind, F.lit(" "), F.lit("")).alias("kind"), number.alias("number")))
 
 
+def register_court(text) -> Column:
+    """The court behind a register entry: 'Amtsgericht X', 'Registergericht: X', 'Handelsgericht X'."""
+    return squash(F.regexp_extract(col(text), r"(?:Amtsgericht|Registergericht|Handelsgericht|Firmenbuchgericht)(?: *:)? *(?:Amtsgericht )?([A-ZÄÖÜ][\p{L}.() /-]*?)(?= *(?:[,;\n]|HR|GnR|$))", 1))
+
+
+def company_name(line) -> Column:
+    """The part of a line up to its legal form, behind a label and without what follows; null without a legal form."""
+    forms = "|".join(p for _, p in LEGAL_FORMS)
+    bare = F.regexp_replace(col(line), r"^(?i)\s*(?:firma|company|name|anbieter|verantwortlich|©|copyright)[^:\n]{0,30}:\s*", "")
+    return squash(F.regexp_extract(bare, rf"(?i)^\s*([^|•·\n]*?(?:{forms})\.?)", 1))
+
+
 def legal_form(name) -> Column:
     out = F.lit(None).cast("string")
     for label, pattern in reversed(LEGAL_FORMS):

@@ -16,15 +16,23 @@ def normalise(markdown) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def promote_header(markdown) -> Column:
+    """The first row of a table becomes its header where the header's cells are all empty."""
+    return F.regexp_replace(col(markdown), r"(?m)^\|(?:[ \t]*\|)+[ \t]*\n(\|[ :|-]+\|)[ \t]*\n(\|.*)$", "$2\n$1")
+
+
 def to_plain(markdown) -> Column:
-    """Text without marks; table rows tab-separated, rules of tables gone."""
-    t = F.regexp_replace(col(markdown), r"(?m)^\|[ :|-]+\|$\n?", "")
+    """Text without marks: comments, fences (not what they hold), rules, bullets, emphasis, links; table rows tab-separated."""
+    t = F.regexp_replace(col(markdown), r"(?s)<!--.*?-->", "")
+    t = F.regexp_replace(t, r"(?m)^[ \t]*(```|~~~).*$\n?", "")
+    t = F.regexp_replace(t, r"(?m)^\|[ :|-]+\|$\n?", "")
+    t = F.regexp_replace(t, r"(?m)^[ \t]*([-*_])(?:[ \t]*\1){2,}[ \t]*$\n?", "")
     t = F.regexp_replace(t, r"(?m)^\| *(.*?) *\|$", "$1")
     t = F.regexp_replace(t, r" *\| *", "\t")
-    t = F.regexp_replace(t, r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    t = F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    t = F.regexp_replace(t, r"(?m)^#{1,6}[ \t]+|^>[ \t]?", "")
-    return F.regexp_replace(t, r"(\*\*|__|`)", "")
+    t = F.regexp_replace(t, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+    t = F.regexp_replace(t, r"(?m)^#{1,6}[ \t]+|^>[ \t]?|^([ \t]*)[-*+][ \t]+", "$1")
+    t = F.regexp_replace(t, r"(\*\*|__|`)", "")
+    return F.regexp_replace(t, r"(?<![\w*_])([*_])([^\s*_](?:[^*_\n]*[^\s*_])?)\1(?![\w*_])", "$2")
 
 
 def sections(markdown, pattern: str = r"#{1,2} ") -> Column:

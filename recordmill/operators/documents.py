@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import timecode
+from ..functions.text import decode_entities
 
 SKIPPED = {"script", "style", "noscript", "template", "head", "svg"}
 IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
@@ -33,6 +35,28 @@ def pieces_of(text: str, most: int) -> list[str]:
     return [x for x in [*out, rest] if x]
 
 
+def table_pieces(table: str, most: int) -> list[str]:
+    """A Markdown table cut between rows, its two header lines repeated; one that does not fit so is cut as text."""
+    lines = table.strip().split("\n")
+    head, rows = lines[:2], lines[2:]
+    room = most - sum(len(x) + 1 for x in head)
+    if not rows or max(map(len, rows)) > room:
+        return pieces_of(table, most)
+    out: list[list[str]] = []
+    size = most + 1
+    for row in rows:
+        if size + 1 + len(row) > room:
+            out.append([])
+            size = -1
+        out[-1].append(row)
+        size += 1 + len(row)
+    return ["\n".join([*head, *part]) for part in out]
+
+
+def is_table(paragraph: str) -> bool:
+    return re.match(r"\|.*\|[ \t]*\n\|[ :|-]+\|", paragraph.strip()) is not None
+
+
 def overlap_of(body: str, n: int) -> str:
     """The last n characters of a body, begun at a word."""
     if n <= 0 or not body:
@@ -48,7 +72,7 @@ def chunks_of(text: str | None, most: int = 1000, overlap: int = 100, separator:
     room = most - (overlap + len(separator) if overlap else 0)
     bodies: list[str] = []
     for paragraph in re.split(r"\n\s*\n", text or ""):
-        for piece in pieces_of(paragraph, room):
+        for piece in (table_pieces if is_table(paragraph) and len(paragraph.strip()) > room else pieces_of)(paragraph, room):
             if bodies and len(bodies[-1]) + len(separator) + len(piece) <= room:
                 bodies[-1] += separator + piece
             else:
@@ -147,20 +171,50 @@ def parse_cues(text: Column) -> Column:
     )
 
 
-def sentences_of(words: Column, gap: float = 1.5, span: float = 15.0, most: int = 300) -> Column:
-    """Adjacent words of one speaker merged up to a sentence end: array of struct(start, end, text, speaker), sorted."""
+def timed_segments(xml: Column) -> Column:
+    """Array of struct(start, end, text) of timed text: <text start dur> in seconds or <p t d> in milliseconds; blank ones go."""
+    found = F.regexp_extract_all(xml, F.lit(r"(?s)(<(?:text|p)\b[^>]*>.*?</(?:text|p)>)"), 1)
+
+    def segment(x: Column) -> Column:
+        value = lambda name: F.regexp_extract(x, rf'^<[^>]*\s{name}="([0-9.]+)"', 1).try_cast("double")
+        start, length = F.coalesce(value("start"), value("t") / 1000), F.coalesce(value("dur"), value("d") / 1000, F.lit(0.0))
+        body = decode_entities(decode_entities(F.regexp_replace(F.regexp_replace(x, r"(?s)^<[^>]*>|</[^>]*>$", ""), "<[^>]+>", "")))
+        return F.struct(start.alias("start"), (start + length).alias("end"), F.trim(F.regexp_replace(body, r"\s+", " ")).alias("text"))
+
+    return F.filter(F.transform(found, segment), lambda s: s["start"].isNotNull() & (s["text"] != ""))
+
 
-    def step(a: Column, w: Column) -> Column:
-        last = F.element_at(a, -1)
+def with_values(lines: Column) -> Column:
+    """A line that is only a label ('Phone:') takes the next line as its value, unless that is a label too."""
+    label = lambda x: F.coalesce(x.rlike(r":\s*$"), F.lit(False))
+    after = lambda i: F.get(lines, i + 1)
+    taken = lambda x, i: (i > 0) & ~label(x) & label(F.get(lines, i - 1))
+    merged = F.transform(lines, lambda x, i: F.when(taken(x, i), None).when(label(x) & after(i).isNotNull() & ~label(after(i)), F.concat(F.rtrim(x), F.lit(" "), F.ltrim(after(i)))).otherwise(x))
+    return F.array_compact(merged)
+
+
+def sentences(words: list[dict], gap: float, span: float, most: int) -> list[dict]:
+    out: list[dict] = []
+    for w in words:
+        last = out[-1] if out else None
         joins = (
-            (F.size(a) > 0)
-            & last["speaker"].eqNullSafe(w["speaker"])
-            & (w["start"] - last["end"] < gap)
-            & (w["end"] - last["start"] <= span)
-            & (F.char_length(last["text"]) + 1 + F.char_length(w["text"]) < most)
-            & ~last["text"].rlike("[.!?]$")
-        )
-        merged = F.struct(last["start"].alias("start"), w["end"].alias("end"), F.concat(last["text"], F.lit(" "), w["text"]).alias("text"), w["speaker"].alias("speaker"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(a, F.array(w)))
-
-    return F.aggregate(words, F.array().cast("array<struct<start:double,end:double,text:string,speaker:string>>"), step)
+            last is not None and last["speaker"] == w["speaker"] and w["start"] - last["end"] < gap and w["end"] - last["start"] <= span
+            and last["size"] + 1 + len(w["text"]) < most and last["text"][-1][-1:] not in (".", "!", "?")
+        )
+        if joins:
+            last["text"].append(w["text"])
+            last["end"], last["size"] = w["end"], last["size"] + 1 + len(w["text"])
+        else:
+            out.append({"start": w["start"], "end": w["end"], "text": [w["text"]], "speaker": w["speaker"], "size": len(w["text"])})
+    return [{"start": x["start"], "end": x["end"], "text": " ".join(x["text"]), "speaker": x["speaker"]} for x in out]
+
+
+def sentences_of(words: Column, gap: float = 1.5, span: float = 15.0, most: int = 300) -> Column:
+    """Adjacent words of one speaker merged up to a sentence end: array of struct(start, end, text, speaker), sorted; linear in the words."""
+    kind = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("text", pa.string()), ("speaker", pa.string())]))
+
+    @F.arrow_udf("array<struct<start:double,end:double,text:string,speaker:string>>")
+    def merged(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else sentences(x, gap, span, most) for x in lists.to_pylist()], type=kind)
+
+    return merged(words)

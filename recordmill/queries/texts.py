@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import contacts as C
 from ..functions import dates as D
+from ..functions import markdown as MD
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions import urls as U
@@ -254,3 +256,28 @@ def soft_404(spark: SparkSession, d: str) -> DataFrame:
     sets = lambda df, n: df.groupBy("user_id").agg(F.collect_set("event_type").alias(n))
     both = sets(e.where(F.col("ts") < cut), "a").join(sets(e.where(F.col("ts") >= cut), "b"), "user_id")
     return both.select("user_id", (E.overlap_share(F.col("a"), F.col("b")) >= 0.8).alias("same"))
+
+
+@query("""SELECT p_partkey, 'name' || chr(9) || 'size' || chr(10) || p_name || chr(9) || p_size || chr(10) || chr(10) || 'a ' || p_brand || ' line' || chr(10) || 'item' AS plain FROM part""")
+def markdown_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Tables whose header row is empty, bullets, rules, fences, emphasis and comments, to plain text."""
+    rows = F.concat(F.lit("|  |  |\n| --- | --- |\n| name | size |\n| "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |\n\n<!-- no -->***\n```sql\na *"), "p_brand", F.lit("* **line**\n```\n- [item](http://x)"))
+    return table(spark, d, "part").select("p_partkey", MD.to_plain(MD.promote_header(rows)).alias("plain"))
+
+
+@query("""SELECT event_id, 2 AS n, CAST(user_id + 0.5 AS DOUBLE) AS start, CAST(user_id + 2.75 AS DOUBLE) AS finish, event_type || ' & <b>' AS text, CAST(event_id % 1000 AS DOUBLE) / 1000 AS second FROM events""")
+def timed_text(spark: SparkSession, d: str) -> DataFrame:
+    u, k = F.col("user_id").cast("string"), (F.col("event_id") % 1000).cast("string")
+    xml = F.concat(F.lit('<transcript><text start="'), u, F.lit('.5" dur="2.25"><i>'), "event_type", F.lit(' &amp;amp;\n &amp;lt;b&amp;gt;</i></text><text start="1"> </text><p t="'), k, F.lit('" d="10">x</p></transcript>'))
+    own = table(spark, d, "events").select("event_id", DOC.timed_segments(xml).alias("s"))
+    one = lambda i, f: F.get("s", F.lit(i))[f]
+    return own.select("event_id", F.size("s").alias("n"), one(0, "start").alias("start"), one(0, "end").alias("finish"), one(0, "text").alias("text"), one(1, "start").alias("second"))
+
+
+@query("""SELECT c_custkey, 'Phone: ' || c_custkey || '|Name: x|Mail:|Fax: ' || c_nationkey || '|end' AS lines, c_name || ' GmbH' AS company, 'Bad ' || c_mktsegment AS court FROM customer""")
+def legal_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of legal notices: labels with their values, the company's name, the register court."""
+    lines = F.array(F.lit("Phone: "), F.col("c_custkey").cast("string"), F.lit("Name: x"), F.lit("Mail:"), F.lit("Fax:"), F.col("c_nationkey").cast("string"), F.lit("end"))
+    name = F.concat(F.lit("Company: "), "c_name", F.lit(" GmbH | all rights reserved"))
+    court = F.concat(F.lit("Registergericht: Amtsgericht Bad "), "c_mktsegment", F.lit(", HRB 1"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(DOC.with_values(lines), "|").alias("lines"), C.company_name(name).alias("company"), C.register_court(court).alias("court"))

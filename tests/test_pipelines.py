@@ -62,3 +62,13 @@ def test_markdown(spark):
     assert "[l](u)\n\n| x" in r["n"] and "| 1 | 2 |\n\nend" in r["n"] and "\n\n\n" not in r["n"]
     assert "text b l" in r["p"] and "1\t2" in r["p"] and "---" not in r["p"]
     assert len(r["s"]) == 2 and r["t"] == [["x", "y"], ["1", "2"]]
+
+
+def test_long_tables_are_cut_between_rows():
+    from recordmill.operators.documents import chunks_of
+
+    table = "| a | b |\n| - | - |\n" + "\n".join(f"| row {i} | value |" for i in range(40))
+    chunks = chunks_of("before\n\n" + table + "\n\nafter", 200, 0)
+    assert max(map(len, chunks)) <= 200 and sum(c.count("| a | b |\n| - | - |\n") for c in chunks) == len([c for c in chunks if "| row" in c]) > 3
+    assert all(sum(f"| row {i} |" in c for c in chunks) == 1 for i in range(40))
+    assert max(map(len, chunks_of("| h |\n| - |\n| " + "x" * 500 + " |", 100, 0))) <= 100
