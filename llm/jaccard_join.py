@@ -6,21 +6,27 @@ n - ceil(n * SIMILAR / 100) + 1 of each (n: size) in any common order.  The orde
 here is by rarity, from a fixed-width table of shingle counts over all documents,
 so that passages which many documents share stand last.
 
-1. Documents with equal sets become one class (its smallest doc_id stands for it).
-2. Classes of equal prefix and size become one group; groups are posted under the
-   shingles of their prefix, and postings that only one group has are dropped.
+1. Documents with equal sets become one class (its smallest key stands for it).
+2. Classes of equal prefix and size become one group; groups are posted, with the
+   places of the elements, under their prefix; postings of one group only are dropped.
 3. Within each posting every group is paired with a few pivots; pairs are filtered
    by size, expanded to members, filtered by a bit vector (the bits that differ are
-   at most the elements that differ) and verified on the whole texts.
-4. Links give components; for completeness the members of one posting that are still
-   in different components are joined on it, under the size filter and a short bit
-   vector as the join's condition, and what passes is verified as well.  Pairs within
-   a component are not: they could add no link between components.
+   at most the elements that differ) and verified on the whole sets.
+4. Links give components.  For completeness groups of one posting that are still in
+   different components are joined on it, members of one group too.  The condition of
+   that join is the size filter, the positional filter (no more elements can be shared
+   than stand behind the common one), a short bit vector, and that the two elements before
+   it are not shared, which would make it a later common element of a pair that is met already.  Pairs within
+   a component are left out: they could add no link between components.
+
+All large joins are between written tables, so that adaptive execution deals the rows
+of a hot key over several tasks.
 
 Defined results: a null or empty text has an empty set, linked with nothing; a text
-of fewer words is one shingle; rows with a null doc_id are left out of the join and
-returned with component_id null; repeated rows give equal rows each; an empty table
-gives an empty result; further columns stay.
+of fewer words is one shingle; rows with a null key are left out of the join and
+returned with component_id null; repeated rows give equal rows each; rows of one key
+with different texts are joined each by its own text; an empty table gives an empty
+result; keys of any orderable type; further columns are not returned.
 """
 
 from __future__ import annotations
@@ -29,19 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 from .sketch import fixed_array
 from .textkernel import blocks, grams, mix, signed, texts_as_bytes, words_of
 
 #: Parameters: words of a shingle, least similarity in per cent, pivots of a posting, entries of the count table and of
-#: the membership tables (bits), both of fixed size.
-SHINGLE, SIMILAR, PIVOTS, COUNTS, BITS = 5, 75, 8, 1 << 20, 1 << 24
-#: Words of 64 bits in the short bit vector of the last join.
-CODE = 8
+#: the membership tables (bits), both of fixed size; bits of the short vectors, and elements of the largest set for which
+#: they tell much.
+SHINGLE, SIMILAR, PIVOTS, COUNTS, BITS, CODE, CODED = 5, 75, 8, 1 << 20, 1 << 26, 512, 560
 
 
 def shingle_sets(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,39 +85,38 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return (2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def bit_vector(h: np.ndarray) -> bytes:
-    """Parities of the elements in as many bits as twice their number, rounded up to a power of two (64 at least)."""
-    n = max(64, 1 << int(2 * len(h) - 1).bit_length())
-    return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8).tobytes()
-
-
-def code_of(owner: np.ndarray, h: np.ndarray, n: int) -> pa.Array:
-    """Per text the parities of its elements in 64 * CODE bits, as a list of CODE integers."""
-    width = 64 * CODE
-    at = owner * width + (h >> np.uint64(3) & np.uint64(width - 1)).astype(np.int64)
-    packed = np.packbits((np.bincount(at, minlength=n * width) & 1).astype(np.uint8)).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * CODE, type=pa.int32()), pa.array(packed))
+def bit_vectors(h: np.ndarray, n: np.ndarray, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, words of 64 bits): per set the parities of its elements in as many bits as twice their number, rounded up
+    to a power of two (64 at least, `most` at most).  n: sizes of the sets, whose elements stand in h one set after the other."""
+    width = np.minimum(most, np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)))
+    start = np.r_[0, np.cumsum(width)]
+    at = np.repeat(start[:-1], n) + (h & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    parity = (np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8)
+    return start // 64, np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def differing_bits(a: bytes, b: bytes) -> int:
-    """Bits that differ when the longer vector is folded to the shorter one: no more than the elements that differ."""
-    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
-    while len(y) > len(x):
-        # places modulo half the length: bit i and bit i + half meet
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def differing_bits(x: str, y: str) -> Column:
+    """Bits that differ when the longer vector (at most twice as long) is folded to the shorter one: no more than the
+    elements that differ."""
+    short, long = F.when(F.size(x) <= F.size(y), F.col(x)).otherwise(F.col(y)), F.when(F.size(x) <= F.size(y), F.col(y)).otherwise(F.col(x))
+    bits = F.transform(short, lambda v, i: F.bit_count(v.bitwiseXOR(F.get(long, i)).bitwiseXOR(F.coalesce(F.get(long, i + F.size(short)), F.lit(0).cast("long")))))
+    return F.aggregate(bits, F.lit(0), lambda a, b: a + b)
 
 
-SET_TYPE = "doc long, n long, one long, two long"
-PREFIX_TYPE = f"{SET_TYPE}, prefix long, tokens array<long>, bits binary, code array<long>"
+SET_TYPE = "n long, one long, two long"
+PREFIX_TYPE = f"{SET_TYPE}, prefix long, tokens array<long>, bits array<long>, code array<long>"
 
 
-def _sets(docs: DataFrame, level: np.ndarray | None) -> DataFrame:
-    """Per document: doc, size n and two hashes of its set; with level also its prefix (hash and elements) and bit vector."""
+def _sets(docs: DataFrame, level: np.ndarray | None = None, among: np.ndarray | None = None) -> DataFrame:
+    """Per document doc, the size n and two hashes of its set; with level also its prefix (hash and elements) and bit vector.
+    With among, instead all elements, of those documents whose `key` that membership table admits."""
     sent = docs.sparkSession.sparkContext.broadcast(level) if level is not None else None
+    admitted = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if admitted is not None:
+                batch = batch.filter(pa.array(_maybe(admitted.value, batch.column("key").to_numpy())))
             buf, bounds = texts_as_bytes(batch.column("text"))
             for a, b in blocks(bounds):
                 owner, h = shingle_sets(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
@@ -121,6 +124,8 @@ def _sets(docs: DataFrame, level: np.ndarray | None) -> DataFrame:
                 place = np.r_[0, np.cumsum(n)]
                 sums = lambda x: np.diff(np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)][place])
                 out = {"doc": batch.column("doc").slice(a, b - a), "n": pa.array(n), "one": pa.array(signed(sums(mix(h)))), "two": pa.array(signed(sums(mix(h ^ np.uint64(0xABCDEF)))))}
+                if admitted is not None:
+                    out["elements"] = pa.ListArray.from_arrays(pa.array(place, type=pa.int32()), pa.array(signed(h)))
                 if sent is not None:
                     order = np.lexsort((h, sent.value[bucket(h)], owner))
                     size = np.where(n > 0, n - -(-n * SIMILAR // 100) + 1, 0)
@@ -128,19 +133,17 @@ def _sets(docs: DataFrame, level: np.ndarray | None) -> DataFrame:
                     tokens = h[order][keep]
                     at = np.r_[0, np.cumsum(size)]
                     prefix = np.diff(np.r_[np.uint64(0), np.cumsum(mix(tokens ^ np.uint64(0x77)), dtype=np.uint64)][at])
-                    out |= {
-                        "prefix": pa.array(signed(prefix)),
-                        "tokens": pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(signed(tokens))),
-                        "code": code_of(owner, h, b - a),
-                        "bits": pa.array([bit_vector(h[place[i] : place[i + 1]]) for i in range(b - a)], type=pa.binary()),
-                    }
-                yield pa.RecordBatch.from_pydict({k: out[k] for k in ("doc", "n", "one", "two", "prefix", "tokens", "bits", "code") if k in out})
+                    start, bits = bit_vectors(h, n)
+                    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values))
+                    out |= {"prefix": pa.array(signed(prefix)), "tokens": lists(at, signed(tokens)), "bits": lists(start, bits), "code": lists(*bit_vectors(h[n[owner] <= CODED], np.where(n <= CODED, n, 0), CODE))}
+                yield pa.RecordBatch.from_pydict(out)
 
-    return docs.mapInArrow(run, SET_TYPE if level is None else PREFIX_TYPE)
+    kind = f"{SET_TYPE}, elements array<long>" if among is not None else SET_TYPE if level is None else PREFIX_TYPE
+    return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, {kind}")
 
 
 def _membership(df: DataFrame, column: str) -> np.ndarray:
-    """A bit per bucket of the column's values: a fixed-size table that rules most other values out."""
+    """A bit per bucket of the values of a long column: a fixed-size table that rules most other values out."""
 
     def fill(own: np.ndarray, batch: pa.RecordBatch) -> None:
         at = (mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
@@ -154,167 +157,186 @@ def _maybe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _postings(groups: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """token, g, n for each element of each group's prefix (only those that `bits` does not rule out)."""
-    if bits is None:
-        return groups.select(F.explode_outer("tokens").alias("token"), "g", "n").where("token is not null")
-    sent = groups.sparkSession.sparkContext.broadcast(bits)
+def _may_hold(df: DataFrame, column: str, values: Column) -> Column:
+    """Whether the membership table of df's column admits the (long) values; only they travel to Python."""
+    sent = df.sparkSession.sparkContext.broadcast(_membership(df, column))
+
+    @F.arrow_udf("boolean")
+    def admitted(v: pa.Array) -> pa.Array:
+        return pa.array(_maybe(sent.value, v.to_numpy(zero_copy_only=False)))
+
+    return admitted(values)
+
+
+POSTED_TYPE = "token long, g long, n long, pos int, r1 long, r2 long"
+
+
+def _postings(heads: DataFrame, bits: np.ndarray) -> DataFrame:
+    """A row for each element of each group's prefix that `bits` does not rule out, with its place and the two such elements
+    that stand before it."""
+    sent = heads.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("tokens")
-            tokens = lists.flatten().to_numpy()
-            counts = np.diff(lists.offsets.to_numpy())
+            tokens, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             keep = _maybe(sent.value, tokens)
-            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[keep]), **{c: pa.array(np.repeat(batch.column(c).to_numpy(), counts)[keep]) for c in ("g", "n")}})
+            owner = np.repeat(np.arange(len(counts)), counts)
+            pos = (np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts))[keep].astype(np.int32)
+            tokens, owner = tokens[keep], owner[keep]
+
+            def before(k: int) -> pa.Array:
+                other = np.r_[np.full(min(k, len(owner)), -1), owner[:-k]]
+                return pa.array(np.r_[np.zeros(min(k, len(tokens)), dtype=np.int64), tokens[:-k]], mask=other != owner)
 
-    return groups.select("tokens", "g", "n").mapInArrow(run, "token long, g long, n long")
+            g, n = (batch.column(c).to_numpy()[owner] for c in ("g", "n"))
+            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens), "g": pa.array(g), "n": pa.array(n), "pos": pa.array(pos), "r1": before(1), "r2": before(2)})
+
+    return heads.select("tokens", "g", "n").mapInArrow(run, POSTED_TYPE)
 
 
 def _sizes_fit(a: str, b: str) -> Column:
     return 100 * F.least(F.col(a), F.col(b)) >= SIMILAR * F.greatest(F.col(a), F.col(b))
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bit vectors allow the similarity: 175 * differing elements <= 25 * (sum of the sizes)."""
-    for batch in batches:
-        both = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
-        close = [(100 + SIMILAR) * differing_bits(x, y) <= (100 - SIMILAR) * s for x, y, s in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), both, strict=True)]
-        yield batch.filter(pa.array(close)).select(["a", "b"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sets, made anew from the whole texts, have the similarity."""
-    for batch in batches:
-        open_, sets = zstandard.ZstdDecompressor(), []
-        for side in ("ta", "tb"):
-            texts = [open_.decompress(x) for x in batch.column(side).to_pylist()]
-            bounds = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)].astype(np.int64)
-            buf, own = np.frombuffer(b"".join(texts), dtype=np.uint8), []
-            for p, q in blocks(bounds):
-                owner, h = shingle_sets(buf[bounds[p] : bounds[q]], bounds[p : q + 1] - bounds[p])
-                own += np.split(h, np.cumsum(np.bincount(owner, minlength=q - p))[:-1])
-            sets.append(own)
-        linked = []
-        for x, y in zip(*sets, strict=True):
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * same >= SIMILAR * (len(x) + len(y) - same))
-        yield batch.filter(pa.array(linked, type=pa.bool_())).select(["a", "b"])
+def _early() -> Column:
+    """Whether an element stands where the first common one of the smaller set of a linked pair can stand."""
+    return (100 + SIMILAR) * F.col("pos") <= (100 - SIMILAR) * F.col("n")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The linked ones of the pairs (a, b) of classes."""
-    vector = classes.select("doc", "n", "bits")
-    left = vector.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = vector.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    close = materialize(pairs.join(left, "a").join(right, "b").where(_sizes_fit("na", "nb")).mapInArrow(_close, "a long, b long"), "jaccard-close")
-    needed = _membership(close.select(F.explode(F.array("a", "b")).alias("doc")), "doc")
-    sent = docs.sparkSession.sparkContext.broadcast(needed)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            batch = batch.filter(pa.array(_maybe(sent.value, batch.column("doc").to_numpy())))
-            packed = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "t": pa.array(packed, type=pa.binary())})
-
-    texts = materialize(docs.mapInArrow(pack, "doc long, t binary").join(classes.select("doc"), "doc", "left_semi"), "jaccard-texts")
-    first = close.join(texts.select(F.col("doc").alias("a"), F.col("t").alias("ta")), "a")
-    both = first.join(texts.select(F.col("doc").alias("b"), F.col("t").alias("tb")), "b")
-    return materialize(both.mapInArrow(_similar, "a long, b long"), "jaccard-links")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = materialize(classes.select("id", "doc", "n", "one", "two", "bits").join(asked, "id"), "jaccard-asked")
+    side = lambda c: asked.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    may = (100 + SIMILAR) * differing_bits("xa", "xb") <= (100 - SIMILAR) * (F.col("na") + F.col("nb"))
+    close = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit("na", "nb") & may).select("a", "b", "na", "nb"), "jaccard-close")
+    near = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+    wanted = materialize(asked.drop("bits").join(near, "id").withColumn("key", F.xxhash64("doc")), "jaccard-wanted")
+    whole = _sets(docs.withColumn("key", F.xxhash64("doc")), among=_membership(wanted, "key")).drop("doc")
+    same = ["n", "one", "two"]
+    held = whole.groupBy(*same).agg(F.min("elements").alias("h")).join(wanted.select("id", *same), same).select("id", "h")
+    held = materialize(held, "jaccard-elements")
+    both = close.join(held.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(held.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return materialize(both.where(100 * shared >= SIMILAR * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc and component (its smallest member) of all linked ones, by alternating large and small stars."""
+    """id and component (its smallest member) of all linked ones, by alternating large and small stars.
+
+    Least neighbours are aggregated with partial sums and written before they are joined back, so that the rows of a hub
+    are dealt over several tasks.
+    """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "stars")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "u", "m")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "stars-least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "stars-large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")), "stars-least")
+        small = large.join(least.select("u", "m"), "u").select(F.col("v").alias("x"), "u", "m")
         edges = materialize(small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    return edges.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("component"))).distinct()
+        # done when each vertex has one edge and it leads to one that has none
+        if least.where("k > 1").isEmpty() and least.select(F.col("m").alias("u")).join(least.select("u"), "u", "left_semi").isEmpty():
+            return least.select(F.col("u").alias("id"), F.col("m").alias("component")).unionByName(least.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())
+
+
+#: What the ids are exclusively or'ed with for the orders in which a posting's pivots are the first.
+ORDERS = [0, *(int(x) for x in mix(np.arange(1, PIVOTS, dtype=np.uint64)) >> np.uint64(1))]
+
+
+def _pivoted(posted: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs a < b of classes: each group's members with the heads of some groups of its postings, and with its own head."""
+    couples = posted.where("held = 2").groupBy("token").agg(F.min("g").alias("p"), F.max("g").alias("g"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min(F.col("n") - F.col("pos")).alias("left"))
+    couples = couples.where(_sizes_fit("lo", "hi") & ((100 + SIMILAR) * F.col("left") >= SIMILAR * (F.col("lo") + F.col("hi")))).select("g", "p")
+    # places up to those where a first common element of sets of one size can stand
+    crowds = posted.where((F.col("held") > 2) & _early()).select("token", "g")
+    firsts = [F.min(F.col("g").bitwiseXOR(F.lit(x))).alias(f"p{i}") for i, x in enumerate(ORDERS)]
+    pivots = crowds.groupBy("token").agg(*firsts).select("token", F.array_distinct(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(ORDERS)])).alias("ps"))
+    star = couples.unionByName(crowds.join(materialize(pivots, "jaccard-pivots"), "token").select("g", F.explode("ps").alias("p"))).where("g <> p").distinct()
+    star = materialize(star, "jaccard-star")
+    head_size = members.where("id = g").select(F.col("g").alias("p"), F.col("n").alias("np"))
+    expanded = star.join(members, "g").join(head_size, "p").where(_sizes_fit("n", "np")).select(F.col("id").alias("x"), F.col("p").alias("y"))
+    inside = members.where("id <> g").select(F.col("id").alias("x"), F.col("g").alias("y"))
+    return expanded.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _still_apart(posted: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs a < b of classes in different components that share a posting or a group and pass all filters on it."""
+    own = materialize(members.join(found, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c"), "code"), "jaccard-own")
+    crowd = materialize(own.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "jaccard-crowds")
+    nothing = F.lit(None).cast("long")
+    inside = crowd.select(F.xxhash64("g", F.lit("group")).alias("token"), "g", F.lit(0).alias("pos"), nothing.alias("r1"), nothing.alias("r2"))
+    # a posting of two groups of one class each holds one pair, which has been tried
+    larger = posted.where("held = 2").join(crowd, "g", "left_semi").select("token").distinct()
+    open_ = posted.where("held > 2").unionByName(posted.where("held = 2").join(larger, "token", "left_semi"))
+    everyone = materialize(open_.select("token", "g", "pos", "r1", "r2").unionByName(inside).join(own, "g").drop("g"), "jaccard-everyone")
+    several = everyone.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    apart = materialize(everyone.join(materialize(several, "jaccard-several"), "token"), "jaccard-apart")
+    columns = ("id", "n", "pos", "r1", "r2", "c", "code")
+    left = apart.where(_early()).select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
+    right = apart.select("token", *[F.col(c).alias(f"{c}_y") for c in columns])
+    once = F.col("n_x") < F.col("n_y")
+    once |= (F.col("n_x") == F.col("n_y")) & ((F.col("pos_x") < F.col("pos_y")) | (F.col("pos_x") == F.col("pos_y")) & (F.col("id_x") < F.col("id_y")))
+    room = (100 + SIMILAR) * F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= SIMILAR * (F.col("n_x") + F.col("n_y"))
+    same = F.lit(False)
+    for x in ("r1_x", "r2_x"):
+        for y in ("r1_y", "r2_y"):
+            same |= F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    # (null, which is no obstacle, where one of the sets is too large for the short vectors)
+    near = F.coalesce((100 + SIMILAR) * differing_bits("code_x", "code_y") <= (100 - SIMILAR) * (F.col("n_x") + F.col("n_y")), F.lit(True))
+    two = left.join(right, "token").where((F.col("c_x") != F.col("c_y")) & once & _sizes_fit("n_x", "n_y") & room & ~same & near)
+    return two.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every document (component_id null where the key is)."""
-    everything = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    everything = documents.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     docs = everything.where("doc is not null")
-    level = rarity(docs)
     same = ["n", "one", "two"]
-    least = _sets(docs, level).where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "prefix", "tokens", "bits", "code")).alias("x"))
-    classes = materialize(least.select(*same, "x.doc", "x.prefix", "x.tokens", "x.bits", "x.code"), "jaccard-classes")
-    groups = classes.groupBy("n", "prefix").agg(F.min("doc").alias("g"))
-    members = materialize(classes.select("doc", "n", "prefix").join(groups, ["n", "prefix"]).select("doc", "n", "g"), "jaccard-members")
-    others = materialize(members.where("doc <> g").select("doc"), "jaccard-others")
-    heads = classes.join(others, "doc", "left_anti").select(F.col("doc").alias("g"), "n", "tokens")
-    shared = _postings(heads, None).groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = materialize(shared, "jaccard-shared")
-    posted = materialize(_postings(heads, _membership(shared, "token")).join(shared, "token"), "jaccard-posted")
-
-    def pivot(i: int) -> Column:
-        order = F.col("g") if i == 0 else F.xxhash64("g", F.lit(i))
-        return F.min(F.struct(order.alias("o"), "g"))["g"]
-
-    couples = posted.where("held = 2").groupBy("token").agg(F.min("g").alias("p"), F.max("g").alias("g")).select("g", "p")
-    crowds = posted.where("held > 2").select("token", "g")
-    pivots = materialize(crowds.groupBy("token").agg(F.array_distinct(F.array(*[pivot(i) for i in range(PIVOTS)])).alias("ps")), "jaccard-pivots")
-    star = couples.unionByName(crowds.join(pivots, "token").select("g", F.explode("ps").alias("p"))).where("g <> p").distinct()
-    head_size = members.where("doc = g").select(F.col("g").alias("p"), F.col("n").alias("np"))
-    expanded = star.join(members.select(F.col("doc").alias("m"), "n", "g"), "g").join(head_size, "p").where(_sizes_fit("n", "np")).select(F.col("m").alias("x"), F.col("p").alias("y"))
-    inside = members.where("doc <> g").select(F.col("doc").alias("x"), F.col("g").alias("y"))
-    ordered = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = materialize(ordered(expanded.unionByName(inside)), "jaccard-pairs")
-    links = verified(tried, classes, docs)
-    found = materialize(components(links), "jaccard-components")
-    # what is left: members of one posting (or group) in different components
-    own = members.join(found, "doc", "left").select("doc", "n", "g", F.coalesce("component", "doc").alias("c"))
-    own = materialize(own, "jaccard-own")
-    crowd = own.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.xxhash64("g", F.lit("group")).alias("token"), "g")
-    everyone = posted.select("token", "g").unionByName(crowd).join(own, "g").select("token", "doc", "n", "c")
-    several = everyone.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    apart = everyone.join(materialize(several, "jaccard-several"), "token").join(classes.select("doc", "code"), "doc")
-    apart = materialize(apart, "jaccard-apart")
-    left = apart.select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("code").alias("kx"))
-    right = apart.select(F.col("token").alias("t"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("code").alias("ky"))
-    bits = sum((F.bit_count(F.get("kx", F.lit(i)).bitwiseXOR(F.get("ky", F.lit(i)))) for i in range(CODE)), F.lit(0))
-    close = (100 + SIMILAR) * bits <= (100 - SIMILAR) * (F.col("nx") + F.col("ny"))
-    two = left.join(right, (F.col("token") == F.col("t")) & (F.col("cx") < F.col("cy")) & _sizes_fit("nx", "ny") & close)
-    rest = materialize(ordered(two.select("x", "y")).join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = verified(rest, classes, docs)
-    final = materialize(components(links.unionByName(more)), "jaccard-final")
-    ids = classes.select(*same, F.col("doc").alias("head")).join(final.withColumnRenamed("doc", "head"), "head", "left").select(*same, F.coalesce("component", "head").alias("component_id"))
-    ids = materialize(ids, "jaccard-ids")
+    with scratch(documents.sparkSession):
+        least = _sets(docs, rarity(docs)).where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "prefix", "tokens", "bits", "code")).alias("x"))
+        classes = materialize(least.select(F.monotonically_increasing_id().alias("id"), *same, "x.*"), "jaccard-classes")
+        groups = materialize(classes.groupBy("n", "prefix").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("k")).where("k > 1"), "jaccard-groups")
+        members = classes.select("id", "n", "prefix", "code").join(groups, ["n", "prefix"], "left").select("id", "n", F.coalesce("g", "id").alias("g"), F.when(F.col("n") <= CODED, F.col("code")).alias("code"))
+        members = materialize(members, "jaccard-members")
+        others = materialize(members.where("id <> g").select("id"), "jaccard-others")
+        heads = classes.join(others, "id", "left_anti").select(F.col("id").alias("g"), "n", "tokens")
+        # elements that two groups have, and one where they can be the first common one of the smaller set
+        tokens = heads.select("n", F.posexplode_outer("tokens").alias("pos", "token")).where("token is not null")
+        shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.count_if(_early()).alias("early"))
+        shared = shared.where("held > 1 and early > 0").select("token", "held")
+        shared = materialize(shared, "jaccard-shared")
+        posted = materialize(_postings(heads, _membership(shared, "token")).join(shared, "token"), "jaccard-posted")
+        tried = materialize(_pivoted(posted, members), "jaccard-pairs")
+        found = materialize(components(verified(tried, classes, docs)), "jaccard-components")
+        rest = _still_apart(posted, members, found).join(tried, ["a", "b"], "left_anti")
+        more = verified(materialize(rest, "jaccard-rest"), classes, docs)
+        # the further links join components
+        named = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        wider = materialize(components(between), "jaccard-wider").select(F.col("id").alias("c"), F.col("component").alias("w"))
+        placed = classes.select("id", "doc", *same).join(found, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        placed = materialize(placed.join(wider, "c", "left").select("doc", *same, F.coalesce("w", "c").alias("c")), "jaccard-placed")
+        smallest = materialize(placed.groupBy("c").agg(F.min("doc").alias("component_id")), "jaccard-smallest")
+        ids = materialize(placed.join(smallest, "c").select(*same, "component_id"), "jaccard-ids", keep=True)
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
-    return _sets(everything, None).join(ids, same, "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _sets(everything).join(ids, same, "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents without those whose component has a smaller document; rows without a key stay.
+    """documents without those whose component has a smaller document; rows without a key stay, and all columns.
 
-    A fixed-size table of the dropped ids lets most documents pass where they are; only
+    A fixed-size table of the dropped keys lets most documents pass where they are; only
     those that it cannot rule out are joined with the exact list.
     """
-    found = near_duplicates(documents.select(key, text), key, text)
-    dropped = materialize(found.where(F.col("component_id") < F.col(key)).select(F.col(key).cast("long").alias("doc")).distinct(), "jaccard-dropped")
-    sent = documents.sparkSession.sparkContext.broadcast(_membership(dropped, "doc"))
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(key).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            known = np.asarray(batch.column(key).is_valid())
-            yield batch.append_column("__maybe", pa.array(_maybe(sent.value, ids) & known))
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), "__maybe boolean"])
-    both = documents.mapInArrow(marked, schema)
-    unsure = both.where("__maybe").join(dropped, F.col(key).cast("long") == F.col("doc"), "left_anti")
-    return both.where("not __maybe").unionByName(unsure).select(*documents.columns)
+    found = near_duplicates(documents.select(f"`{key}`", f"`{text}`"), key, text)
+    gone = found.where(F.col("component_id") < F.col(f"`{key}`")).select(F.col(f"`{key}`").alias("__gone")).distinct()
+    gone = materialize(gone.withColumn("__hash", F.xxhash64("__gone")), "jaccard-gone")
+    known = F.col(f"`{key}`")
+    marked = documents.withColumn("__maybe", known.isNotNull() & _may_hold(gone, "__hash", F.xxhash64(known)))
+    unsure = marked.where("__maybe").join(gone, known == F.col("__gone"), "left_anti")
+    return marked.where("not __maybe").unionByName(unsure).drop("__maybe")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
