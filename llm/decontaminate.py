@@ -2,19 +2,23 @@
 
 A window is WINDOW consecutive words of a benchmark item; an item of fewer words is
 one window.  Fingerprints are hashes of GRAM consecutive words; winnowing keeps the
-smallest one of every WINDOW - GRAM + 1 neighbours on both sides, so that any shared
-window has a shared fingerprint at the same place: a certain catch, no sampling.
-Documents that share a fingerprint with an item are candidates; their hits are
-extended to whole windows by comparing the words themselves, and covered words are
-counted.  Items shorter than WINDOW get a pass of their own length.
+smallest one of the WINDOW - GRAM + 1 that start in a window, on both sides, so that
+any shared window has a shared fingerprint: a certain catch, no sampling.  Neighbouring
+windows of one fingerprint form a block, which is all that is kept of them.  One scan
+of the documents makes the blocks of all window lengths; they are joined with the
+fingerprints of the benchmark, and the hits are extended at their places: the words of
+the block's windows, and of no others, are compared with those of the benchmark.  Items
+shorter than WINDOW have windows, and fingerprints, of their own length.
 
 Fingerprints and windows of the benchmark are written as a table and joined; the
-planner broadcasts them only below the session's size threshold.
+planner broadcasts them only below the session's size threshold.  What is found
+belongs to a text (by its MD5 sum), not to a key, so that copies are searched once.
 
 Defined results: a null or empty text has no words; an item without words has no
-window; texts are read whole; repeated rows of documents give equal rows each; a
-document without doc_id cannot be named in a result and counts as clean; repeated items count under their own item_id, a null item_id not at all; an empty
-benchmark leaves every document clean.  Further columns stay.
+window; texts are read whole; repeated rows of documents give equal rows each; rows
+without a key, or with a key that stands for several texts, are judged each by its
+own text; repeated items count under their own item_id, a null item_id not at all; an
+empty benchmark leaves every document clean.  Further columns of documents stay.
 """
 
 from __future__ import annotations
@@ -22,79 +26,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, ascii_lower, materialize, table
+from .common import NOT_WORD, ascii_lower, materialize, scratch, table
 
 #: Parameters: words of a window (the contract's) and of a fingerprint.
-WINDOW, GRAM = 10, 4
+WINDOW, GRAM = 10, 6
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def fingerprints(hashes: str, size: int) -> Column:
-    """Smallest gram hash of every run of size - gram + 1 neighbours, distinct; hashes is a column of word hashes."""
-    gram = min(GRAM, size)
-    grams = F.slice(
-        F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, gram)])), F.lit(1), F.greatest(F.size(hashes) - (gram - 1), F.lit(0))
-    )
-    return grams, size - gram + 1
+def _runs(hashes: str, n: int, joined) -> Column:  # noqa: ANN001
+    """For each n neighbours of an array what `joined` makes of them; empty where there are fewer."""
+    return F.slice(F.transform(hashes, lambda h, i: joined(h, *[F.get(hashes, i + j) for j in range(1, n)])), F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
 
 
 # explode_outer keeps the planner from pushing a filter on the exploded array below the columns that it is made of,
 # where they would be computed anew for every element.
 
 
-def winnowed(df: DataFrame, size: int) -> DataFrame:
-    """df with __fps, the distinct fingerprints of the words whose hashes are in __h."""
-    grams, run = fingerprints("__h", size)
-    a = df.withColumn("__grams", grams)
-    if run == 1:
-        kept = F.col("__grams")
-    else:
-        least = lambda g, i: F.least(g, *[F.get("__grams", i + j) for j in range(1, run)])
-        kept = F.slice(F.transform("__grams", least), F.lit(1), F.greatest(F.size("__grams") - (run - 1), F.lit(0)))
-    return a.withColumn("__fps", F.array_distinct(kept)).drop("__grams")
+def with_blocks(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """df with __blocks, an array of {size, fp, first, last}: the windows (by start) of each length that share a fingerprint;
+    __h holds the hashes of the words."""
+    grams = sorted({min(GRAM, size) for size in sizes})
+    df = df.withColumns({f"__g{k}": _runs("__h", k, F.xxhash64) if k > 1 else F.transform("__h", lambda h: F.xxhash64(h)) for k in grams})
+    least = {f"__m{size}": _runs(f"__g{min(GRAM, size)}", size - GRAM + 1, F.least) if size > GRAM else F.col(f"__g{size}") for size in sizes}
+    df = df.withColumns(least).drop(*[f"__g{k}" for k in grams])
+
+    def starts(size: int) -> Column:
+        m = f"__m{size}"
+        new = F.transform(m, lambda v, i: F.when((i == 0) | (v != F.get(m, i - 1)), F.struct(v.alias("fp"), i.alias("first"))))
+        return F.filter(new, lambda x: x.isNotNull())
+
+    df = df.withColumns({f"__s{size}": starts(size) for size in sizes})
 
+    def blocks(size: int) -> Column:
+        s = f"__s{size}"
+        return F.transform(s, lambda x, i: F.struct(F.lit(size).alias("size"), x["fp"].alias("fp"), x["first"].alias("first"), (F.coalesce(F.get(s, i + 1)["first"], F.size(f"__m{size}")) - 1).alias("last")))
 
-def windows(words: str, size: int) -> Column:
-    """The windows of `size` words as strings, in order."""
-    n = F.size(words) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("__blocks", F.concat(*[blocks(size) for size in sizes])).drop(*[f"__{x}{size}" for x in "ms" for size in sizes])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size (words of the window) and gram (its text), distinct."""
+    """size (words of the window), gram (its text) and items (the sorted item_ids that have it)."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     sized = items.withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
     n = F.size("w") - F.col("size") + 1
     grams = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, F.col("size")), " "))
-    return sized.select("item_id", "size", F.explode_outer(grams).alias("gram")).distinct()
+    return sized.select("item_id", "size", F.explode_outer(grams).alias("gram")).groupBy("size", "gram").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key and hits (array of {at, size, items}) of the documents that hold a window; key must be unique and not null."""
+def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """text_md5 and hits (array of {at, size, items}, by place) of the texts that hold a window."""
     held = materialize(benchmark_windows(benchmark), "bench-windows")
     sizes = sorted(r["size"] for r in held.select("size").distinct().collect())  # WINDOW numbers at most
-    found = []
-    for size in sizes:
-        own = held.where(F.col("size") == size)
-        item_side = own.select("gram").distinct().select(F.transform(F.split("gram", " "), lambda w: F.xxhash64(w)).alias("__h"))
-        marks = materialize(winnowed(item_side, size).select(F.explode_outer("__fps").alias("fp")).distinct(), "bench-fingerprints")
-        docs = documents.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__w"))
-        hashed = docs.select("__key", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
-        candidates = winnowed(hashed, size).select("__key", F.explode_outer("__fps").alias("fp")).join(marks, "fp").select("__key").distinct()
-        chosen = materialize(candidates, "bench-candidates")
-        again = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(chosen, "__key").select("__key", words_of(F.col("__text")).alias("__w"))
-        at = again.select("__key", F.posexplode_outer(windows("__w", size)).alias("at", "gram"))
-        per_gram = own.groupBy("gram").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-        found.append(at.join(materialize(per_gram, "bench-grams"), "gram").select("__key", "at", F.lit(size).alias("size"), "items"))
-    if not found:
-        return documents.select(F.col(key)).limit(0).withColumn("hits", F.array().cast("array<struct<at:int,size:int,items:array<bigint>>>"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.groupBy(F.col("__key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("at", "size", "items"))).alias("hits"))
+    if not sizes:
+        item = benchmark.schema["item_id"].dataType.simpleString()
+        return documents.select(F.md5(F.col(f"`{text}`")).alias("text_md5"), F.array().cast(f"array<struct<at:int,size:int,items:array<{item}>>>").alias("hits")).limit(0)
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    item_side = with_blocks(held.select(F.col("size").alias("own"), hashed(F.split("gram", " ")).alias("__h")), sizes)
+    marks = item_side.select("own", F.explode_outer("__blocks").alias("b")).where("b.size = own").select("b.size", "b.fp").distinct()
+    marks = materialize(marks, "bench-fingerprints")
+    body = F.col(f"`{text}`")
+    docs = documents.select(F.md5(body).alias("text_md5"), words_of(body).alias("__w")).select("text_md5", hashed("__w").alias("__h"))
+    seeds = with_blocks(docs, sizes).select("text_md5", F.explode_outer("__blocks").alias("b")).select("text_md5", "b.*")
+    places = seeds.join(marks, ["size", "fp"]).groupBy("text_md5").agg(F.collect_set(F.struct("size", "first", "last")).alias("places"))
+    places = materialize(places.withColumnRenamed("text_md5", "__md5"), "bench-places")
+    # the words at those places
+    again = documents.select(body.alias("__text")).join(places, F.md5("__text") == F.col("__md5")).select("__md5", "places", words_of(F.col("__text")).alias("__w"))
+    window = lambda p, j: F.struct(j.alias("at"), p["size"].alias("size"), F.array_join(F.slice("__w", j + 1, p["size"]), " ").alias("gram"))
+    there = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(p["first"], p["last"]), lambda j: window(p, j))))
+    at = again.select("__md5", F.explode_outer(there).alias("x")).select("__md5", "x.*").distinct()
+    hits = at.join(held, ["size", "gram"])
+    return hits.groupBy(F.col("__md5").alias("text_md5")).agg(F.sort_array(F.collect_list(F.struct("at", "size", "items"))).alias("hits"))
 
 
 def _covered(hits: str) -> Column:
@@ -108,19 +112,21 @@ def _covered(hits: str) -> Column:
     return F.aggregate(hits, start, step, lambda a: a["n"])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents without the hit ones (rows without a key cannot be named and stay)."""
-    hit = find_contamination(documents.where(F.col(key).isNotNull()), benchmark, key, text).select(key)
-    return documents.join(materialize(hit, "bench-hit"), key, "left_anti").select(*documents.columns)
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """documents without the rows whose text holds a window."""
+    with scratch(documents.sparkSession):
+        hit = materialize(find_contamination(documents, benchmark, text).select(F.col("text_md5").alias("__hit")), "bench-hit", keep=True)
+    return documents.join(hit, F.md5(F.col(f"`{text}`")) == F.col("__hit"), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = materialize(find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), "doc_id"), "bench-hits")
     items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hits", lambda x: x["items"])), lambda i: i.cast("string"))))
-    digest = hits.select("doc_id", _covered("hits").alias("n_hit"), items.alias("items"))
-    counted = docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    return counted.join(digest, "doc_id", "left").select(
+    with scratch(spark):
+        hits = find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+        digest = materialize(hits.select("text_md5", _covered("hits").alias("n_hit"), items.alias("items")), "bench-digest", keep=True)
+    counted = docs.select("doc_id", F.md5("text").alias("text_md5"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    return counted.join(digest, "text_md5", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
