@@ -1,18 +1,22 @@
 """Chat formatting into a prefix tree.
 
 Every turn is written `<s>role\\ntext</s>`; control strings inside role and text are
-escaped reversibly.  A turn's key is a chained hash of the turns so far, so that
-conversations that share initial turns share keys.  Conversations sorted by their
-keys are in depth-first order of the tree; a node belongs to the first conversation
-that has it and is emitted once, there.  Along a conversation the owners of its nodes
-change only where it branches off, so what it may attend to is one interval of the
-stream per owner, however many turns it has.  All tables have a row per turn or per
-interval; nothing grows with the square of a conversation's length.
+escaped reversibly, and a loss mask notes which code points of the turn count for the
+loss (an assistant's text).  A turn's key is a pair of sums of hashes of the turns so
+far and their places, so that conversations that share initial turns share keys; turns
+are numbered and summed within blocks of a conversation first, so that a long
+conversation is worked on by several tasks.  Along a conversation the number of
+conversations that hold a key falls; the last key of each number is its path in the
+compressed tree.  Conversations sorted by their paths are in depth-first order; a node
+belongs to the first conversation that has it and is emitted once, there.  Along a
+conversation the owners of its nodes change only where it branches off, so what it may
+attend to is one interval of the stream per owner, however many turns it has.  All
+tables have a row per turn or per interval.
 
 Defined results: rows of a conversation are taken by turn, ties by role and text
 (repeated rows stay repeated turns); a null turn comes first; a null role or text is
 empty; rows without conv_id form one conversation of their own; an empty table gives
-an empty stream; further columns are not read.
+an empty stream; conv_id of any orderable type; further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 
 OPEN, CLOSE = "<s>", "</s>"
 #: Control strings; with n backslashes behind the first sign a string means itself with n - 1.
 CONTROL = r"(/?(?:s>|INST\]))"
 ROLE_WITH_LOSS = "assistant"
+#: Parameters: turn numbers of a block of a conversation; code points of the stream in one bucket of read_back's join.
+BLOCK, BUCKET = 1024, 512
 
 
 def escape(text: Column) -> Column:
@@ -49,79 +55,115 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
-def format_turns(rows: DataFrame) -> DataFrame:
-    """One row per turn, written: rank (of the conversation in depth-first order), conv_id, i, key, formatted, size."""
+def written(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, formatted and the loss mask (loss_from, loss_to: code points of formatted, end exclusive)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    own = rows.select("conv_id", "turn", role.alias("role"), F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"), escape(text), F.lit(CLOSE)).alias("formatted"))
-    whole = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "formatted"))).alias("turns"))
-    chained = lambda a, t: F.md5(F.concat(a["last"], t["formatted"]).cast("binary"))
-    keys = F.aggregate(
-        "turns",
-        F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")),
-        lambda a, t: F.struct(chained(a, t).alias("last"), F.concat(a["all"], F.array(chained(a, t))).alias("all")),
-        lambda a: a["all"],
-    )
-    keyed = whole.select("conv_id", keys.alias("keys"), F.transform("turns", lambda t: t["formatted"]).alias("turns"))
-    spread = keyed.repartitionByRange("keys", "conv_id").sortWithinPartitions("keys", "conv_id")
-    ranked = spread.select(F.monotonically_increasing_id().alias("rank"), "conv_id", "keys", "turns")
-    turns = ranked.select("rank", "conv_id", F.posexplode(F.arrays_zip("keys", "turns")).alias("i", "t"))
-    return materialize(turns.select("rank", "conv_id", "i", F.col("t.keys").alias("key"), F.col("t.turns").alias("formatted"), F.char_length("t.turns").cast("long").alias("size")), "chat-turns")
-
-
-def prefix_tree(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    head = F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"))
+    a = rows.select("conv_id", "turn", role.alias("role"), head.alias("head"), escape(text).alias("body"))
+    begin = F.char_length("head")
+    end = F.when(F.col("role") == ROLE_WITH_LOSS, begin + F.char_length("body")).otherwise(begin)
+    return a.select("conv_id", "turn", "role", F.concat("head", "body", F.lit(CLOSE)).alias("formatted"), begin.cast("long").alias("loss_from"), end.cast("long").alias("loss_to"))
+
+
+def _same_place(a: DataFrame, b: DataFrame, *also: str) -> Column:
+    same = a["conv_id"].eqNullSafe(b["conv_id"])
+    for c in also:
+        same &= a[c].eqNullSafe(b[c])
+    return same
+
+
+def format_turns(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, turns), a row per turn each.
+
+    texts: conv_id, block and at (place in it), formatted and its loss mask.  turns: the same place, rank (of the conversation in
+    depth-first order), i (place in the conversation), key (of all turns so far) and size, without the text.
+    """
+    own = written(rows).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "formatted")
+    texts = materialize(own.withColumn("at", F.row_number().over(order)).drop("turn", "role"), "chat-texts")
+    hashed = texts.select("conv_id", "block", "at", F.md5("formatted").alias("h"), F.char_length("formatted").cast("long").alias("size"))
+    held = hashed.groupBy("conv_id", "block").agg(F.max("at").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    firsts = materialize(held.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("conv_id", "block", "first"), "chat-blocks")
+    placed = hashed.join(firsts, _same_place(hashed, firsts, "block")).select(hashed["conv_id"], hashed["block"], "at", (F.col("first") + F.col("at") - 1).alias("i"), "h", "size")
+    # the sums of a prefix: of the blocks before, and within the block
+    term = lambda seed: F.xxhash64("i", "h", F.lit(seed)).cast("decimal(38,0)")
+    placed = materialize(placed.select("conv_id", "block", "at", "i", "size", term(1).alias("s"), term(2).alias("t")), "chat-placed")
+    sums = placed.groupBy("conv_id", "block").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    ahead = materialize(sums.select("conv_id", "block", F.coalesce(F.sum("s").over(before), zero).alias("s0"), F.coalesce(F.sum("t").over(before), zero).alias("t0")), "chat-sums")
+    so_far = Window.partitionBy("conv_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("s", F.sum("s").over(so_far)).withColumn("t", F.sum("t").over(so_far))
+    key = F.concat_ws(":", (F.col("s") + F.col("s0")).cast("string"), (F.col("t") + F.col("t0")).cast("string"))
+    keyed = summed.join(ahead, _same_place(summed, ahead, "block")).select(summed["conv_id"], summed["block"], "at", "i", F.md5(key.cast("binary")).alias("key"), "size")
+    keyed = materialize(keyed, "chat-keyed")
+    # the path of a conversation: the last key of each number of conversations that hold it
+    spread = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")), "chat-spread")
+    ends = keyed.select("conv_id", "i", "key").join(spread, "key").groupBy("conv_id", "held").agg(F.max(F.struct("i", "key")).alias("x"))
+    paths = ends.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["key"]).alias("path"))
+    in_order = materialize(paths, "chat-paths").repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
+    ranks = materialize(in_order.select(F.monotonically_increasing_id().alias("rank"), "conv_id"), "chat-ranks")
+    turns = keyed.join(ranks, _same_place(keyed, ranks)).select("rank", keyed["conv_id"], "block", "at", "i", "key", "size")
+    return texts, materialize(turns, "chat-turns")
+
+
+def prefix_tree(texts: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stream, attention).
 
-    stream, a row per distinct node: segment (rank of its owner), i, start (place in the stream), position (place in
-    the conversation), formatted.  attention, a row per conversation and interval: rank, first and last turn, segment,
-    start and size; its rows up to a node's segment are what the node attends to.
+    stream, a row per distinct node: start (place in the stream), position (place in the conversation), formatted and
+    its loss mask.  attention, a row per conversation and owner of nodes in it: rank, conv_id, start, size; its rows up to a node's
+    own interval are what the node attends to.
     """
     owners = materialize(turns.groupBy("key").agg(F.min("rank").alias("segment")), "chat-owners")
-    owned = materialize(turns.select("rank", "i", "key", "size").join(owners, "key").select("rank", "i", "segment", "size"), "chat-owned")
+    owned = materialize(turns.join(owners, "key").drop("key"), "chat-owned")
     emitted = owned.where("segment = rank").groupBy("rank").agg(F.sum("size").alias("n"))
     parted = materialize(emitted.withColumn("part", F.shiftright("rank", 33)), "chat-emitted")
     sums = parted.groupBy("part").agg(F.sum("n").alias("sum"))  # a row per partition of the sort
     before = sums.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     starts = materialize(parted.withColumn("within", within).join(before, "part").select(F.col("rank").alias("segment"), (F.col("before") + F.col("within")).alias("start")), "chat-starts")
-    runs = owned.groupBy("rank", "segment").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.sum("size").alias("size"))
-    attention = materialize(runs.join(starts, "segment").select("rank", "first", "last", "segment", "start", "size"), "chat-attention")
+    runs = owned.groupBy("rank", "segment").agg(F.first("conv_id").alias("conv_id"), F.sum("size").alias("size"))
+    attention = materialize(runs.join(starts, "segment").select("rank", "conv_id", "segment", "start", "size"), "chat-attention", keep=True)
     # a node's place: its segment's start and position and the sizes of the segment's nodes before it
     held = Window.partitionBy("rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    nodes = turns.join(owned.where("segment = rank").select("rank", "i"), ["rank", "i"], "left_semi").withColumn("inside", F.sum("size").over(held) - F.col("size"))
+    own = owned.where("segment = rank").withColumn("inside", F.sum("size").over(held) - F.col("size")).select("rank", "conv_id", "block", "at", "inside")
     lead = attention.groupBy("rank").agg(F.sum(F.when(F.col("segment") != F.col("rank"), F.col("size")).otherwise(0)).alias("shared"), F.max(F.when(F.col("segment") == F.col("rank"), F.col("start"))).alias("start"))
-    stream = nodes.join(lead, "rank").select(F.col("rank").alias("segment"), "i", (F.col("start") + F.col("inside")).alias("start"), (F.col("shared") + F.col("inside")).alias("position"), "formatted")
-    return materialize(stream, "chat-stream"), attention
-
-
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted conversation."""
-    out = []
-    for m in re.finditer(r"<s>(.*?)</s>", formatted, flags=re.S):
-        role, _, text = m[1].partition("\n")
-        out.append((unescape_role(role), unescape(text)))
-    return out
+    own = own.join(materialize(lead, "chat-lead"), "rank").select("conv_id", "block", "at", (F.col("start") + F.col("inside")).alias("start"), (F.col("shared") + F.col("inside")).alias("position"))
+    own = materialize(own, "chat-nodes")
+    stream = texts.join(own, _same_place(texts, own, "block", "at")).select("start", "position", "formatted", "loss_from", "loss_to")
+    return materialize(stream, "chat-stream", keep=True), attention.drop("segment")
 
 
 def read_back(stream: DataFrame, attention: DataFrame) -> DataFrame:
-    """rank and `formatted` of each conversation: what the stream holds under its intervals."""
-    wanted = attention.select("rank", "segment", F.explode(F.sequence("first", "last")).alias("i"))
-    parts = wanted.join(stream.select("segment", "i", "formatted"), ["segment", "i"])
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "formatted"))), lambda x: x["formatted"]), "")
-    return parts.groupBy("rank").agg(joined.alias("formatted"))
+    """conv_id, rank and nodes (array of {position, formatted, loss_from, loss_to}, in order) of each conversation: what stands in the
+    stream under its intervals."""
+    buckets = F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("start") + F.col("size") - 1) / BUCKET))
+    wanted = attention.select("rank", "conv_id", F.col("start").alias("begin"), (F.col("start") + F.col("size")).alias("end"), F.explode(buckets).alias("bucket"))
+    parts = wanted.join(stream.withColumn("bucket", F.floor(F.col("start") / BUCKET)), "bucket").where("start >= begin and start < end")
+    nodes = F.sort_array(F.collect_list(F.struct("position", "formatted", "loss_from", "loss_to")))
+    return parts.groupBy("rank").agg(F.first("conv_id").alias("conv_id"), nodes.alias("nodes"))
 
 
-DIGEST_TYPE = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+def parse(formatted: str) -> tuple[str, str]:
+    """(role, text) of a formatted turn."""
+    role, _, text = formatted[len(OPEN) : -len(CLOSE)].partition("\n")
+    return unescape_role(role), unescape(text)
 
 
 def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for conv, formatted in zip(batch["conv_id"], batch["formatted"], strict=True):
-            turns = parse(formatted)
-            loss = "".join(t for r, t in turns if r == ROLE_WITH_LOSS)
-            whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-            out.append((conv, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+        for nodes in batch["nodes"]:
+            whole, loss, n_loss, n_all = hashlib.sha256(), hashlib.sha256(), 0, 0
+            for x in nodes:
+                role, text = parse(x["formatted"])
+                whole.update(f"{role}\n{text}\n".encode())
+                counted = unescape(x["formatted"][x["loss_from"] : x["loss_to"]])
+                loss.update(counted.encode())
+                n_loss, n_all = n_loss + len(counted), n_all + len(x["formatted"])
+            out.append((len(nodes), whole.hexdigest(), n_loss, loss.hexdigest(), n_all))
+        frame = pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        yield pd.concat([batch["conv_id"].reset_index(drop=True), frame], axis=1)
 
 
 #: The conversation of control strings that the contract adds.
@@ -130,10 +172,10 @@ ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = format_turns(rows.unionByName(spark.createDataFrame(ADDED, rows.schema)))
-    stream, attention = prefix_tree(turns)
-    names = turns.where("i = 0").select("rank", "conv_id")
-    return read_back(stream, attention).join(names, "rank").select("conv_id", "formatted").mapInPandas(digests, DIGEST_TYPE)
+    with scratch(spark):
+        stream, attention = prefix_tree(*format_turns(rows.unionByName(spark.createDataFrame(ADDED, rows.schema))))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return read_back(stream, attention).select("conv_id", "nodes").mapInPandas(digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 QUERIES = {"op10_chat_format": op10_chat_format}
