@@ -11,8 +11,9 @@ As mean and softmax are linear, scoring needs one number per row of the table; t
 n-grams of a whole batch are hashed in a few numpy passes.
 
 Defined results: null and empty texts, and texts without letters, score the least;
-texts are read whole; equal texts get equal scores; with no labelled rows of class 1
-every score is near 0.
+texts are read whole; equal texts get equal scores; a doc_id that stands in several
+labelled rows is toxic if one of them says so; with no labelled rows of class 1 every
+score is near 0; keys of any type; further columns of the scored table stay.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .textkernel import LOWER_TABLE, blocks, mix, texts_as_bytes, words_of
 
-#: Parameters: rows and width of the embedding table; words of a window; most labelled texts per class and most
-#: characters of one of them that training reads (both bound the training sample, not what is scored); passes, step.
+#: Parameters: rows (2 ** 16: a row's number is its hash's highest 16 bits) and width of the embedding table; words of a
+#: window; most labelled texts per class that training reads, whole (it bounds the training sample, not what is scored);
+#: passes, step and windows of a step.
 ROWS, WIDTH, WINDOW, GRAMS = 1 << 16, 8, 6, (3, 4, 5)
-PER_CLASS, TRAIN_CHARS, PASSES, STEP, BATCH = 1200, 3000, 5, 30.0, 256
+PER_CLASS, PASSES, STEP, BATCH = 1200, 6, 30.0, 256
 #: ASCII letters in small, every other ASCII byte a blank; bytes of other letters stay.
 LETTERS = LOWER_TABLE.copy()
 LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -80,12 +82,18 @@ def gram_rows(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, int, Ite
 
 
 def bag(buf: np.ndarray, bounds: np.ndarray) -> Bag:
-    first, n, parts = gram_rows(buf, bounds)
-    both = list(parts)
-    if not both:
-        return Bag(first, np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64))
-    owners = np.concatenate([x[1] for x in both])
-    return Bag(first, np.concatenate([x[0] for x in both])[np.argsort(owners, kind="stable")], np.r_[0, np.cumsum(np.bincount(owners, minlength=n))])
+    """Made in blocks of texts, so that only the rows' numbers, two bytes each, stand in memory together."""
+    firsts, rows, sizes, words = [np.zeros(1, dtype=np.int64)], [np.zeros(0, dtype=np.uint16)], [np.zeros(0, dtype=np.int64)], 0
+    for a, b in blocks(bounds):
+        first, n, parts = gram_rows(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        firsts.append(first[1:] + words)
+        words += n
+        both = list(parts)
+        if both:
+            owners = np.concatenate([x[1] for x in both])
+            rows.append(np.concatenate([x[0] for x in both])[np.argsort(owners, kind="stable")].astype(np.uint16))
+            sizes.append(np.bincount(owners, minlength=n))
+    return Bag(np.concatenate(firsts), np.concatenate(rows), np.r_[0, np.cumsum(np.concatenate(sizes))])
 
 
 def word_sums(buf: np.ndarray, bounds: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +167,9 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
     for turn in range(PASSES):
         use = np.arange(len(cuts))
         if turn:
-            x = np.add.reduceat((vectors @ (out[:, 1] - out[:, 0]))[got.rows], begin) / sizes
+            share = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32)
+            pieces = range(0, len(begin), 20_000)
+            x = np.concatenate([np.add.reduceat(share[got.rows[begin[i] : begin[j] if j < len(begin) else len(got.rows)]], begin[i:j] - begin[i]) for i, j in ((i, i + 20_000) for i in pieces)]) / sizes
             order = np.lexsort((-x, owner))
             rank = np.arange(len(order)) - np.r_[0, np.flatnonzero(np.diff(owner[order])) + 1][np.cumsum(np.r_[0, np.diff(owner[order]) != 0])]
             use = np.sort(order[(label[order] == 0) | (rank < 2)])
@@ -207,25 +217,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> Model:
     ids = {r["doc_id"]: r["toxic"] for r in picked.collect()}  # 2 * PER_CLASS rows at most
     if not ids:
         return Model(np.zeros(ROWS))
-    rows = docs.where(F.col("doc_id").isin(list(ids))).select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    # one text of each doc_id, the smallest where rows repeat it
+    rows = docs.where(F.col("doc_id").isin(list(ids))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train([r["text"] or "" for r in rows], [ids[r["doc_id"]] for r in rows])
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """df with the double column `out`."""
+    """df with the double column `out` (one of this name is replaced); only the texts and scores travel to and from Python."""
     sent = df.sparkSession.sparkContext.broadcast((model.share.astype(np.float32), model.bias, model.scale, model.shift))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, *rest = sent.value
-        own = Model(share, *rest)
-        for batch in batches:
-            scores = pa.array(own.scores(batch.column(text)), type=pa.float64())
-            keep = [n for n in batch.schema.names if n != out]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], scores], names=[*keep, out])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(Model(*sent.value).scores(texts), type=pa.float64())
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out), f"`{out}` double"])
-    return df.mapInArrow(run, schema)
+    return df.withColumn(out, scored(F.col(f"`{text}`")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
