@@ -9,7 +9,7 @@ posterior probability of good is a sum of log ratios per rule, applied as a colu
 
 Defined results: a null or empty text has counts of 0 and fails the base rules;
 texts are read whole; equal texts get equal posteriors; an empty table gives an
-empty result; further columns stay.
+empty result; further columns stay, but for those that have the name of a result.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ STOPWORDS = """the of and to in is that for with was on as be by this are from a
 que pour dans est der die das und ein eine mit von zu den ist nicht auf el los las del y por con se para""".split()
 
 
+#: Columns that the operator returns beside those of its input.
+COUNTS = ("n_words", "n_stopwords", "word_chars", "n_symbols", "n_shouts", "n_capitals", "n_lines", "n_dup_lines", "n_distinct", "n_repeat_words", "quality", "base_failed")
+
+
 def _votes() -> list[tuple[str, Column]]:
     n = F.greatest(F.col("n_words"), F.lit(1))
 
@@ -53,8 +57,8 @@ def _votes() -> list[tuple[str, Column]]:
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without the text, with the counts that rules and contract need."""
-    keep = [c for c in df.columns if c != text]
+    """df without the text, with the counts that rules and contract need (columns of df that have their names are replaced)."""
+    keep = [c for c in df.columns if c != text and c not in COUNTS]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     a = df.select(*[F.col(f"`{c}`") for c in keep], body.alias("__text"), F.filter(F.split(body, SPACES), lambda w: w != "").alias("__words"))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -51,8 +51,9 @@ aber nicht werden schaft keit heit lich ung ein eine und der die das mit von auf
 zeitung strasse schule arbeit haus stadt buch wort sprache schnell wasser zeichen pfeil schutz
 que una para por los las del con cuando donde tiempo ciudad trabajo palabra mensaje nombre respuesta pregunta pueblo llave corazon ayuda desarrollo mente cion
 les des dans pour avec sur plus tout faire ville travail maison temps jour eau vaux aux eux reponse gouvernement toujours quelque parole oiseau heureux beaucoup aujourd""".split()
-#: Parameters: mean log-likelihood ratio (nats per character) above which a candidate is random.
-THRESHOLD = 0.75
+#: Parameters: mean log-likelihood ratio (nats per character) above which a candidate is random; most rows of a labelled
+#: table that training reads.
+THRESHOLD, LABELLED = 0.75, 20_000
 ALPHABET = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 
@@ -73,22 +74,33 @@ def samples(n: int = 4000, seed: int = 5) -> list[tuple[bytes, int]]:
     return out
 
 
-@lru_cache(maxsize=1)
-def models() -> np.ndarray:
-    """log P(b | a, random) - log P(b | a, ordinary) for bytes a, b; row 0 stands for the start of the string."""
+def log_ratios(rows: list[tuple[bytes, int]]) -> np.ndarray:
+    """log P(b | a, random) - log P(b | a, ordinary) for bytes a, b, from labelled strings; row 0 stands for the start."""
     counts = np.ones((2, 128, 128)) * 0.05
     counts[:, :, list(ALPHABET)] += 0.5
-    for text, label in samples():
+    for text, label in rows:
         codes = np.frombuffer(b"\x00" + text, dtype=np.uint8)
+        codes = np.where(codes < 128, codes, 127)
         np.add.at(counts[label], (codes[:-1], codes[1:]), 1)
     logs = np.log(counts / counts.sum(axis=2, keepdims=True))
     return logs[1] - logs[0]
 
 
-def ratio(candidate: bytes) -> float:
+@lru_cache(maxsize=1)
+def models() -> np.ndarray:
+    return log_ratios(samples())
+
+
+def fit(labelled: DataFrame) -> np.ndarray:
+    """The ratios from a table of value and label (1: random); LABELLED of its rows at most, the first by a hash, reach the driver."""
+    own = labelled.where(F.col("label").isin(0, 1) & F.col("value").isNotNull()).select("value", F.col("label").cast("int").alias("label"))
+    return log_ratios([(r["value"].encode(), r["label"]) for r in own.orderBy(F.xxhash64("value"), "value", "label").limit(LABELLED).collect()])
+
+
+def ratio(candidate: bytes, ratios: np.ndarray | None = None) -> float:
     """Mean log-likelihood ratio per character."""
     codes = np.frombuffer(b"\x00" + candidate, dtype=np.uint8)
-    return float(models()[codes[:-1], codes[1:]].mean())
+    return float((models() if ratios is None else ratios)[codes[:-1], codes[1:]].mean())
 
 
 def random_string(candidate: bytes) -> bool:
@@ -96,14 +108,14 @@ def random_string(candidate: bytes) -> bool:
     return ratio(candidate) > THRESHOLD
 
 
-def random_parts(run: bytes) -> list[tuple[int, int]]:
+def random_parts(run: bytes, ratios: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Limits of the stretches of words and separators that are random.
 
     They are all maximal scoring subsequences (Ruzzo and Tompa, in linear time) of the
     ratio above the threshold.  The run itself is one if none of them is long enough.
     """
     codes = np.frombuffer(b"\x00" + run, dtype=np.uint8)
-    sums = np.r_[0.0, np.cumsum(models()[codes[:-1], codes[1:]] - THRESHOLD)].tolist()
+    sums = np.r_[0.0, np.cumsum((models() if ratios is None else ratios)[codes[:-1], codes[1:]] - THRESHOLD)].tolist()
     best: list[tuple[int, int, int]] = []  # start, end, place of the last one before that starts from a lower sum
     for m in PIECE.finditer(run):
         start, end = m.span()
@@ -134,7 +146,7 @@ def _outside(a: int, b: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int
     yield a, b
 
 
-def spans_of(text: str | None) -> list[tuple[int, int, int]]:
+def spans_of(text: str | None, ratios: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(start, end, kind index) of all spans, base kinds first found by pattern, then the models'; sorted."""
     if not text:
         return []
@@ -157,7 +169,7 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
         for run in candidates:
             for a, b in _outside(*run, taken):
                 if b - a >= LEAST:
-                    found += [(a + s, a + e, 3) for s, e in random_parts(raw[a:b])]
+                    found += [(a + s, a + e, 3) for s, e in random_parts(raw[a:b], ratios)]
     if not found:
         return []
     found.sort(key=lambda x: (x[0], x[2], x[1]))
@@ -171,31 +183,26 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     return [(points[s], points[e], k) for s, e, k in found]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = [spans_of(t) for t in batch.column("__text").to_pylist()]
-        flat = [[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in x] for x in spans]
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-        out = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
-        names = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(flat, type=kind)], names=[*names, "__spans"])
+SPANS_TYPE = "array<struct<start:bigint,end:bigint,kind:string>>"
 
 
-SPANS_TYPE = "array<struct<start:bigint,end:bigint,kind:string>>"
+def scan_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "spans", ratios: np.ndarray | None = None) -> DataFrame:
+    """The columns `keep` (all when None) and the array `out` of {start, end, kind} by start, then kind as listed; a column of that
+    name is replaced.  ratios: of fit() or log_ratios()."""
+    sent = df.sparkSession.sparkContext.broadcast(ratios)
 
+    @F.arrow_udf(SPANS_TYPE)
+    def scanned(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+        return pa.array([[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in spans_of(t, sent.value)] for t in texts.to_pylist()], type=kind)
 
-def scan_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = None, out: str = "spans") -> DataFrame:
-    """The columns `keep` (all when None) and the array `out` of {start, end, kind} by start, then kind as listed."""
-    keep = df.columns if keep is None else keep
-    inner = df.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema if f.name != "__text"] + [f"__spans {SPANS_TYPE}"])
-    found = inner.mapInArrow(_scan, schema)
-    return found.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("__spans").alias(out))
+    names = [c for c in (df.columns if keep is None else keep) if c != out]
+    return df.select(*[F.col(f"`{c}`") for c in names], scanned(F.col(f"`{text}`")).alias(out))
 
 
-def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
+def redact(text: str | None, mark: str = "[SECRET]", ratios: np.ndarray | None = None) -> str | None:
     """text with every span (overlapping ones joined) replaced by the mark."""
-    spans = spans_of(text)
+    spans = spans_of(text, ratios)
     if not spans:
         return text
     out, at = [], 0
@@ -206,15 +213,15 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array([redact(t) for t in batch.column(i).to_pylist()], type=batch.schema.field(i).type))
+def redact_secrets(df: DataFrame, text: str = "text", ratios: np.ndarray | None = None) -> DataFrame:
+    """df with the secrets in `text` replaced; every row and every other column stays, in its place."""
+    sent = df.sparkSession.sparkContext.broadcast(ratios)
 
+    @F.arrow_udf("string")
+    def redacted(texts: pa.Array) -> pa.Array:
+        return pa.array([redact(t, ratios=sent.value) for t in texts.to_pylist()], type=pa.string())
 
-def redact_secrets(df: DataFrame) -> DataFrame:
-    """df with the secrets in `text` replaced; every row and every other column stays."""
-    return df.mapInArrow(_redact, df.schema)
+    return df.withColumn(text, redacted(F.col(f"`{text}`")))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

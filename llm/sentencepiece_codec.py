@@ -20,7 +20,6 @@ import heapq
 import os
 import re
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
 from operator import add
@@ -185,16 +184,8 @@ def codec(path: str) -> Codec:
 
 
 def _mapped(df: DataFrame, column: str, out: str, kind: str, function) -> DataFrame:
-    """df with the column `out`: the Arrow array that function makes of the column's."""
-    fields = [f for f in df.schema.fields if f.name != out]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [n for n in batch.schema.names if n != out]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], function(batch.column(column))], names=[*keep, out])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` {kind}"])
-    return df.mapInArrow(run, schema)
+    """df with the column `out`: the Arrow array that function makes of the column's; no other column travels to Python."""
+    return df.withColumn(out, F.arrow_udf(function, kind)(F.col(f"`{column}`")))
 
 
 def encode_pieces(df: DataFrame, text: str = "text", out: str = "piece_ids", model: str = MODEL) -> DataFrame:
