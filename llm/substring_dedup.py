@@ -15,7 +15,8 @@ can split a hot anchor.
 
 Defined results: a null or empty text has no words; texts of fewer than SPAN words
 stay; rows with a null doc_id stay whole and remove nothing; rows that repeat a
-doc_id must repeat its text and get equal results; further columns stay.
+doc_id must repeat its text and get equal results; keys of any orderable type; an
+empty table gives an empty result; further columns are not returned.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, scratch, table
 from .textkernel import blocks, grams, leftmost_minimum, mix, powers, signed, texts_as_bytes, words_of
 
 #: Parameters: words of the shortest repeat that counts, words of an anchor.
@@ -51,7 +52,7 @@ def anchor_blocks(ids: np.ndarray, buf: np.ndarray, bounds: np.ndarray, span: in
     whole = np.flatnonzero(text[: max(n, 0)] == text[span - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
     if not len(whole):
         empty = np.zeros(0, dtype=np.int64)
-        return {"doc": empty, "anchor": empty, "content": empty, "start": empty.astype(np.int32), "n": empty.astype(np.int32)}
+        return {"doc": ids[:0], "anchor": empty, "content": empty, "start": empty.astype(np.int32), "n": empty.astype(np.int32)}
     g = grams(words.hash, GRAM)
     place = leftmost_minimum(g, span - GRAM + 1)[whole]
     new = np.r_[True, (place[1:] != place[:-1]) | (text[whole[1:]] != text[whole[:-1]])]
@@ -68,7 +69,11 @@ def anchor_blocks(ids: np.ndarray, buf: np.ndarray, bounds: np.ndarray, span: in
     }
 
 
-BLOCK_TYPE = "doc long, anchor long, content long, start int, n int"
+BLOCK_TYPE = "anchor long, content long, start int, n int"
+
+
+def kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _find_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +81,8 @@ def _find_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         buf, bounds = texts_as_bytes(batch.column(1))
         for a, b in blocks(bounds):
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in anchor_blocks(ids[a:b], buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]).items()})
+            found = anchor_blocks(ids[a:b], buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, type=batch.column(0).type if k == "doc" else None) for k, v in found.items()})
 
 
 def pack(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,7 +94,7 @@ def pack(df: DataFrame, key: str, text: str) -> DataFrame:
             packed = [None if t is None else press.compress(t.encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=[key, "packed"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` long, packed binary")
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind(df, key)}, packed binary")
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -100,7 +106,7 @@ def as_buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)].astype(np.int64)
 
 
-WINDOW_TYPE = "doc long, anchor long, content long, j int, window long"
+WINDOW_TYPE = "anchor long, content long, j int, window long"
 
 
 def _block_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +126,16 @@ def _block_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(words.first[text] + start[own], count) + j
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(docs[a:b][text], count)), pa.array(np.repeat(anchor[own], count)), pa.array(np.repeat(content[own], count)), pa.array(j.astype(np.int32)), pa.array(signed(whole[at]))],
+                [pa.array(np.repeat(docs[a:b][text], count), type=batch.column("doc").type), pa.array(np.repeat(anchor[own], count)), pa.array(np.repeat(content[own], count)), pa.array(j.astype(np.int32)), pa.array(signed(whole[at]))],
                 names=["doc", "anchor", "content", "j", "window"],
             )
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, start, end (words, end exclusive): windows, or runs of them, that a document with a smaller id has too."""
-    known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    all_blocks = materialize(known.mapInArrow(_find_blocks, BLOCK_TYPE), "dedup-blocks")
+    known = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
+    own = f"doc {kind(known, 'doc')}"
+    all_blocks = materialize(known.mapInArrow(_find_blocks, f"{own}, {BLOCK_TYPE}"), "dedup-blocks")
     seeds = all_blocks.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), (F.min("content") != F.max("content")).alias("mixed"))
     shared = materialize(seeds.where("least < most").select("anchor", "least", "mixed"), "dedup-seeds")
     joined = materialize(all_blocks.join(shared, "anchor"), "dedup-joined")
@@ -141,14 +148,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     wanted = kinds.groupBy(F.col("first_doc").alias("doc")).agg(F.collect_list(F.struct("start", "n", "anchor", "content")).alias("wanted"))
     texts = pack(known, "doc", "text")
     asked = texts.join(wanted, "doc")
-    windows = materialize(asked.mapInArrow(_block_windows, WINDOW_TYPE), "dedup-windows")
+    windows = materialize(asked.mapInArrow(_block_windows, f"{own}, {WINDOW_TYPE}"), "dedup-windows")
     first = windows.groupBy("anchor", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     hit = windows.join(materialize(first.select("anchor", "window", "least"), "dedup-first"), ["anchor", "window"]).where("doc > least")
     places = materialize(hit.groupBy("anchor", "content").agg(F.collect_set("j").alias("js")), "dedup-places")
     members = mixed.join(kinds.select("anchor", "content", "first_doc"), ["anchor", "content"])
     later = members.where("doc > first_doc").select("doc", "start", end.alias("end"))
-    own = members.where("doc = first_doc").join(places, ["anchor", "content"])
-    single = own.select("doc", "start", F.explode("js").alias("j")).select("doc", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + SPAN).alias("end"))
+    kept = members.where("doc = first_doc").join(places, ["anchor", "content"])
+    single = kept.select("doc", "start", F.explode("js").alias("j")).select("doc", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + SPAN).alias("end"))
     return settled.unionByName(later).unionByName(single)
 
 
@@ -157,8 +164,9 @@ KEPT_TYPE = "n_words long, n_removed long, kept string"
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed and kept (the words that stay, joined by one blank)."""
-    spans = repeated_spans(docs, key, text).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = materialize(spans, "dedup-spans")
+    with scratch(docs.sparkSession):
+        spans = repeated_spans(docs, key, text).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans = materialize(spans, "dedup-spans", keep=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +185,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             columns = [pa.array([x[i] for x in out], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "n_words", "n_removed", "kept"])
 
-    texts = pack(docs.select(F.col(key).cast("long").alias(key), text), key, text)
-    joined = texts.join(spans, F.col(key) == F.col("__doc"), "left").select(key, "packed", "spans")
-    return joined.mapInArrow(run, f"`{key}` long, {KEPT_TYPE}")
+    joined = pack(docs, key, text).join(spans, F.col(f"`{key}`") == F.col("__doc"), "left").select(F.col(f"`{key}`"), "packed", "spans")
+    return joined.mapInArrow(run, f"`{key}` {kind(docs, key)}, {KEPT_TYPE}")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
