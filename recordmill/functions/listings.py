@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,6 +157,38 @@ def png_size(content) -> Column:
     return F.when(h.startswith("89504E470D0A1A0A"), F.struct(side(33).alias("width"), side(41).alias("height")))
 
 
+def _image_size(b: bytes | None) -> dict | None:
+    size = None
+    if b and b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24:
+        size = int.from_bytes(b[16:20]), int.from_bytes(b[20:24])
+    elif b and b[:6] in (b"GIF87a", b"GIF89a") and len(b) >= 10:
+        size = int.from_bytes(b[6:8], "little"), int.from_bytes(b[8:10], "little")
+    elif b and b[:4] == b"RIFF" and b[8:12] == b"WEBP" and len(b) >= 30:
+        if b[12:16] == b"VP8X":
+            size = int.from_bytes(b[24:27], "little") + 1, int.from_bytes(b[27:30], "little") + 1
+        elif b[12:16] == b"VP8L":
+            bits = int.from_bytes(b[21:25], "little")
+            size = (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        elif b[12:16] == b"VP8 ":
+            size = int.from_bytes(b[26:28], "little") & 0x3FFF, int.from_bytes(b[28:30], "little") & 0x3FFF
+    elif b and b[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(b) and b[at] == 0xFF:
+            kind, length = b[at + 1], int.from_bytes(b[at + 2 : at + 4])
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
+                size = int.from_bytes(b[at + 7 : at + 9]), int.from_bytes(b[at + 5 : at + 7])
+                break
+            at += 1 if kind == 0xFF else 2 + length
+    return None if size is None or 0 in size else {"width": size[0], "height": size[1]}
+
+
+def image_size(content) -> Column:
+    """struct(width, height) from the header of a PNG, JPEG, WebP or GIF file."""
+    kind = pa.struct([("width", pa.int64()), ("height", pa.int64())])
+    sizes = F.arrow_udf(lambda files: pa.array([_image_size(b) for b in files.to_pylist()], type=kind), "struct<width:long,height:long>")
+    return sizes(col(content))
+
+
 def media_streams(probe) -> Column:
     """struct(duration, width, height, video, audio) from a media probe's JSON."""
     p = F.from_json(col(probe), "format struct<duration:string>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int>>")

@@ -61,3 +61,35 @@ def resolve_facets(wanted: DataFrame, values: DataFrame, wanted_col: str, value_
 def overlap_share(a: Column, b: Column) -> Column:
     """Shared part of the smaller set."""
     return F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
+
+
+def dereferenced(df: DataFrame, references: str, cache: DataFrame, key: str, fields: list[str], out: str) -> DataFrame:
+    """Array of references to an array of structs of what they point at, in order; unknown ones go.  The row needs an id: all its
+    other columns are its key."""
+    own = [c for c in df.columns if c != references]
+    parts = df.select(*own, F.posexplode_outer(references).alias("__i", key))
+    found = parts.join(cache.select(key, F.struct(key, *fields).alias("__x")), key, "left")
+    lists = found.groupBy(*own).agg(F.sort_array(F.collect_list(F.when(F.col("__x").isNotNull(), F.struct("__i", "__x")))).alias("__all"))
+    return lists.select(*own, F.transform("__all", lambda x: x["__x"]).alias(out))
+
+
+def best_candidate(wanted: DataFrame, candidates: DataFrame, by: str, name: str, weight: str) -> DataFrame:
+    """For each wanted name the candidate found for it: the same name first, then one that begins with it, then the largest."""
+    norm = lambda c: F.lower(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", ""))
+    rank = F.when(norm(name) == norm(by), 0).when(norm(name).startswith(norm(by)), 1).otherwise(2)
+    w = Window.partitionBy(by).orderBy(rank, F.col(weight).desc_nulls_last(), name)
+    best = candidates.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    return wanted.join(best, by, "left")
+
+
+def first_alias(inputs: DataFrame, resolved: str, order: list) -> DataFrame:
+    """Inputs with `duplicate_of`: the resolved id where an earlier input resolves to it too; unresolved ones are no duplicates."""
+    k = F.row_number().over(Window.partitionBy(resolved).orderBy(*order))
+    return inputs.withColumn("duplicate_of", F.when(F.col(resolved).isNotNull() & (k > 1), F.col(resolved)))
+
+
+def crawl_delay(groups: DataFrame, agent: str) -> DataFrame:
+    """host and the largest delay of the groups that name the agent, or, where none does, of those for all agents."""
+    own = F.max(F.when(F.lower("agent") == agent.lower(), F.col("delay")))
+    named = F.max(F.lower("agent") == agent.lower())
+    return groups.groupBy("host").agg(F.when(named, own).otherwise(F.max(F.when(F.col("agent") == "*", F.col("delay")))).alias("delay"))

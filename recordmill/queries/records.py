@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import planning as PL
 from ..functions import predicates as P
 from ..functions import references as R
 from ..functions import trees as TR
+from ..operators import enrich as E
 from ..operators import ordered as O
 from ..plans import record_maps as M
 from ..sources import embedded as EM
@@ -267,3 +269,58 @@ def json_helpers(spark: SparkSession, d: str) -> DataFrame:
         TR.text_at(F.try_parse_json(found), "title").alias("deep"),
         TR.group_of(n, {"low": [str(i) for i in range(10)], "mid": [str(i) for i in range(10, 20)]}).alias("grouped"),
     )
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 10000 + o_custkey WHEN 1 THEN (10 + o_custkey % 90) * 1000 WHEN 2 THEN 10000 + o_custkey WHEN 3 THEN 1200 + 100 * (o_custkey % 8) END AS sold,
+ CAST(1000 + o_custkey AS VARCHAR) AS product, strftime(o_orderdate - INTERVAL 1 DAY, '%Y-%m-%d') AS pacific, strftime(o_orderdate, '%Y-%m-%d') || 'T07:05' AS parts, CASE WHEN o_custkey % 2 = 0 THEN 'GB' ELSE 'US-CA' END AS geo FROM orders""")
+def small_parsers(spark: SparkSession, d: str) -> DataFrame:
+    """Sold counts with the separators of several languages, product ids, a zone's day, times of parts, region codes."""
+    k, c, at = F.col("o_orderkey") % 4, F.col("o_custkey"), F.col("o_orderdate").cast("timestamp")
+    comma = F.format_number(10_000 + c, 0)
+    shown = F.when(k == 0, F.concat(comma, F.lit("+ sold"))).when(k == 1, F.concat((10 + c % 90).cast("string"), F.lit("K+ sold"))).when(k == 2, F.concat(F.replace(comma, F.lit(","), F.lit(".")), F.lit("+ vendido(s)"))).otherwise(F.concat(F.lit("1,"), (2 + c % 8).cast("string"), F.lit(" mil vendidos")))
+    product = F.when(k < 2, (1000 + c).cast("string")).otherwise((PL.ID_OFFSET + 1000 + c).cast("string"))
+    parts = F.array(F.year(at), F.month(at), F.dayofmonth(at))
+    return table(spark, d, "orders").select(
+        "o_orderkey",
+        PL.sold_count(shown).alias("sold"),
+        PL.plain_product_id(product).alias("product"),
+        PL.zone_day(at, "America/Los_Angeles").cast("string").alias("pacific"),
+        PL.time_of_parts(parts, F.array(F.lit(7), F.lit(5))).alias("parts"),
+        PL.geo_code(F.when(c % 2 == 0, " uk").otherwise("us-ca")).alias("geo"),
+    )
+
+
+@query("""SELECT o_orderkey, string_agg(p_name, '|' ORDER BY l_linenumber, l_partkey) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey GROUP BY o_orderkey""")
+def dereferenced_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders hold references to parts; those that the cache knows are resolved, in order."""
+    refs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("refs"))
+    orders = table(spark, d, "orders").select("o_orderkey").join(refs, "o_orderkey")
+    cache = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("ref"), "p_name")
+    found = E.dereferenced(orders, "refs", cache, "ref", ["p_name"], "parts")
+    return found.select("o_orderkey", F.nullif(F.array_join(F.transform("parts", lambda x: x["p_name"]), "|"), F.lit("")).alias("names"))
+
+
+@query("""WITH c AS (SELECT n_name AS wanted, CASE WHEN c_custkey % 3 = 0 THEN n_name || ' Ltd' WHEN c_custkey % 3 = 1 THEN lower(replace(n_name, '_', ' ')) ELSE c_name END AS name, c_acctbal AS weight, c_custkey % 3 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT n_name AS wanted, (SELECT name FROM c WHERE c.wanted = n_name ORDER BY CASE k WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, weight DESC NULLS LAST, name LIMIT 1) AS name FROM nation""")
+def best_advertisers(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("wanted"))
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, F.concat("wanted", F.lit(" Ltd"))).when(k == 1, F.lower(F.replace("wanted", F.lit("_"), F.lit(" ")))).otherwise(F.col("c_name"))
+    candidates = table(spark, d, "customer").join(nation, "c_nationkey").select("wanted", name.alias("name"), F.col("c_acctbal").alias("weight"))
+    return E.best_candidate(nation.select("wanted"), candidates, "wanted", "name", "weight").select("wanted", "name")
+
+
+@query("""SELECT c_custkey, CASE WHEN row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) > 1 THEN c_nationkey || c_mktsegment END AS duplicate_of FROM customer""")
+def alias_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    inputs = table(spark, d, "customer").withColumn("resolved", F.concat(F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    return E.first_alias(inputs, "resolved", ["c_custkey"]).select("c_custkey", "duplicate_of")
+
+
+@query("""SELECT what, place, CAST(d AS DATE)::VARCHAR AS date FROM (VALUES ('Data Eng', 'Pune'), ('Data Eng', 'Bad Ems'), ('QA', 'Pune'), ('QA', 'Bad Ems')) t(what, place), (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-04-01')
+UNION ALL SELECT what, place, CAST(unnest(generate_series(DATE '1996-04-01', DATE '1996-04-03', INTERVAL 1 DAY)) AS DATE)::VARCHAR FROM (VALUES ('Data Eng', 'Pune'), ('Data Eng', 'Bad Ems'), ('QA', 'Pune'), ('QA', 'Bad Ems')) t(what, place)""")
+def planned_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Searches of two lists on the days of a month that have orders, and on the days of a range."""
+    pairs = PL.searches(spark, ["Data Eng", " QA ", "QA", ""], ["Pune", "Bad Ems"]).select("what", F.col("where").alias("place"))
+    o = table(spark, d, "orders").where("o_orderdate >= '1996-03-01' and o_orderdate < '1996-04-01'").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    ranged = PL.dated_searches(pairs.withColumns({"a": F.lit("1996-04-01").cast("date"), "b": F.lit("1996-04-03").cast("date")}), "a", "b").select("what", "place", "date")
+    return pairs.crossJoin(o).unionByName(ranged).withColumn("date", F.col("date").cast("string"))

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordmill.functions import dates as D
+from recordmill.functions import listings as LI
 from recordmill.functions import numbers as N
+from recordmill.functions import planning as PL
 from recordmill.functions import predicates as P
 from recordmill.functions import references as R
 from recordmill.functions import text as T
@@ -80,6 +82,25 @@ CASES = [
     (lambda c: R.listing_search(c)["place"], "https://w.com/role/r/dev", "remote"),
     (lambda c: R.file_name(c, F.lit("https://a.b/x/y.pdf")), "attachment; filename*=UTF-8''na%20me.pdf", "na me.pdf"),
     (lambda c: R.file_name(c, F.lit("https://a.b/x/y%20z.pdf")), "inline", "y z.pdf"),
+    (lambda c: PL.sold_count(c), "100K+ sold", 100000),
+    (lambda c: PL.sold_count(c), "10.000+ vendido(s)", 10000),
+    (lambda c: PL.sold_count(c), "1,2 mil", 1200),
+    (lambda c: PL.sold_count(c), "none", None),
+    (lambda c: PL.route(c)["destination"], "jfk-LHR 2026-11-15", "LHR"),
+    (lambda c: PL.route(c)["date"].cast("string"), "JFK-LHR 2026-11-15 2026-11-20", "2026-11-15"),
+    (lambda c: PL.route(c), "New York", None),
+    (lambda c: PL.place_slug(c), "ca--Los Angeles", "ca--los-angeles"),
+    (lambda c: F.array_join(PL.places(c), "|"), "Rome / Remote /  Rome", "Rome|Remote"),
+    (lambda c: PL.zone_midnight(F.lit("2024-07-01").cast("date"), "America/Los_Angeles").cast("string"), "", "2024-07-01 07:00:00"),
+    (lambda c: PL.geo_code(c), "uk-eng", "GB-ENG"),
+    (lambda c: PL.uploads_list(c, "shorts"), "UCabc", "UUSHabc"),
+    (lambda c: PL.fit_width(F.lit(1920), F.lit(1081), 640)["height"], "", 360),
+    (lambda c: PL.mostly_stamped(F.array(F.lit("1"), F.lit("2"), F.lit("3"), F.lit("4"), F.lit(None))), "", True),
+    (lambda c: LI.image_size(F.unhex(c))["width"], "89504E470D0A1A0A0000000D49484452000000200000001008", 32),
+    (lambda c: LI.image_size(F.unhex(c))["height"], "FFD8FFE000040000FFC0001108001000200300", 16),
+    (lambda c: LI.image_size(F.unhex(c))["width"], "474946383961200010000000", 32),
+    (lambda c: LI.image_size(F.unhex(c))["height"], "524946460000000057454250565038580A000000000000001F00000F0000", 16),
+    (lambda c: LI.image_size(F.unhex(c)), "0102", None),
     (lambda c: P.is_challenge(c), "<title>Just a moment...</title>", True),
     (lambda c: P.page_kind(c, [("group", "members"), ("channel", "subscribers")]), "12 subscribers", "channel"),
     (lambda c: P.allowed_url(c, ["a.org"], ["login"]), "https://x.a.org/login?x", False),
