@@ -20,7 +20,7 @@ SPACE_TABLE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER_TABLE = np.arange(256, dtype=np.uint8)
 LOWER_TABLE[0x41:0x5B] += 0x20
 #: Largest number of text bytes that one numpy pass handles (a longer text is a pass of its own).
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 400_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

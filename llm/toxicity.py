@@ -141,7 +141,7 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         buf, bounds = texts_as_bytes(column)
-        parts = [self.raw(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in blocks(bounds, 1_000_000)]
+        parts = [self.raw(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in blocks(bounds)]
         raw = np.concatenate(parts) if parts else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.scale * raw + self.shift, -30, 30)))
 
@@ -196,7 +196,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Model:
                 vectors[:, d] -= np.bincount(rows, weights=spread[:, d], minlength=ROWS)
     model = Model((vectors @ (out[:, 1] - out[:, 0])), float(bias[1] - bias[0]), 1.0, 0.0)
     # the logit that parts the classes best on the training texts (a false alarm weighs double), and a slope from their spread
-    raw = np.concatenate([model.raw(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in blocks(bounds, 1_000_000)])
+    raw = np.concatenate([model.raw(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in blocks(bounds)])
     a, b = np.sort(raw[y == 1]), np.sort(raw[y == 0])
     at = np.unique(raw)
     wrong = np.searchsorted(a, at) / len(a) + 2 * (len(b) - np.searchsorted(b, at)) / len(b)
