@@ -168,6 +168,13 @@ def test_quality_counts_against_brute_force(spark):
     assert quality_rules.judge_quality(docs(spark, [])).count() == 0
 
 
+def test_quality_posterior_on_labels(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").selectExpr("doc_id", "quality as label").where("label is not null")
+    rows = [(r["kept"], r["label"]) for r in quality_rules.op3_quality_rules(spark, d).join(labels, "doc_id").collect()]
+    assert len(rows) > 200 and sum(k == bool(y) for k, y in rows) / len(rows) > 0.95
+
+
 def test_weak_supervision_finds_the_unreliable_rule():
     import random
 
