@@ -53,7 +53,7 @@ def rescale(points: DataFrame, batch: str, term: str, at: str, value: str, ancho
     sums = points.where(F.col(term) == anchor).groupBy(batch).agg(F.sum(value).alias("__sum"))
     first = sums.where(F.col(batch) == 0).select(F.col("__sum").alias("__first"))
     factors = sums.crossJoin(F.broadcast(first)).select(batch, F.when((F.col("__sum") > 0) & (F.col("__first") > 0), F.col("__first") / F.col("__sum")).alias("__f"))
-    scaled = points.where((F.col(term) != anchor) | (F.col(batch) == 0)).join(F.broadcast(factors), batch).withColumn("__v", F.col(value) * F.col("__f"))
+    scaled = points.where((F.col(term) != anchor) | (F.col(batch) == 0)).join(factors, batch).withColumn("__v", F.col(value) * F.col("__f"))
     top = scaled.agg(F.max("__v").alias("__top"))
     return scaled.crossJoin(F.broadcast(top)).select(term, at, F.round(F.when(F.col("__top") > 0, F.col("__v") * 100 / F.col("__top")).otherwise(F.lit(0.0)), 2).alias("scaled"))
 
