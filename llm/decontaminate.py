@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import NOT_WORD, ascii_lower, materialize, scratch, table
 
-#: Parameters: words of a window (the contract's) and of a fingerprint.
-WINDOW, GRAM = 10, 6
+#: Parameters: words of a window (the contract's) and of a fingerprint; rows of a membership table, each of 64 bits.
+WINDOW, GRAM, SLOTS = 10, 6, 1 << 16
 
 
 def words_of(text: Column) -> Column:
@@ -67,6 +67,24 @@ def with_blocks(df: DataFrame, sizes: list[int]) -> DataFrame:
     return df.withColumn("__blocks", F.concat(*[blocks(size) for size in sizes])).drop(*[f"__{x}{size}" for x in "ms" for size in sizes])
 
 
+def _slot(text: Column) -> list[Column]:
+    """Row and bit of a text (by its MD5 sum) in a membership table."""
+    h = F.xxhash64(text)
+    return [F.pmod(h, F.lit(SLOTS)).alias("__slot"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int").alias("__bit")]
+
+
+def membership(found: DataFrame, md5: str) -> DataFrame:
+    """A table of SLOTS rows at most, whatever was found: the bits of the texts."""
+    return found.select(*_slot(F.col(md5))).groupBy("__slot").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+
+
+def with_maybe(documents: DataFrame, text: str, bits: DataFrame) -> DataFrame:
+    """documents with __maybe: whether the membership table, which is broadcast for its fixed size, admits the text."""
+    slot, bit = _slot(F.md5(F.col(f"`{text}`")))
+    near = documents.select("*", slot, bit).join(F.broadcast(bits), "__slot", "left")
+    return near.withColumn("__maybe", F.coalesce(F.expr("shiftrightunsigned(__bits, __bit) & 1") == 1, F.lit(False))).drop("__slot", "__bit", "__bits")
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """size (words of the window), gram (its text) and items (the sorted item_ids that have it)."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -93,7 +111,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, text: str = "
     places = seeds.join(marks, ["size", "fp"]).groupBy("text_md5").agg(F.collect_set(F.struct("size", "first", "last")).alias("places"))
     places = materialize(places.withColumnRenamed("text_md5", "__md5"), "bench-places")
     # the words at those places
-    again = documents.select(body.alias("__text")).join(places, F.md5("__text") == F.col("__md5")).select("__md5", "places", words_of(F.col("__text")).alias("__w"))
+    bits = materialize(membership(places, "__md5"), "bench-members")
+    # copies of a text count once
+    again = with_maybe(documents.select(body.alias("__text")), "__text", bits).where("__maybe").groupBy(F.md5("__text").alias("__md5")).agg(F.min("__text").alias("__text"))
+    again = again.join(places, "__md5").select("__md5", "places", words_of(F.col("__text")).alias("__w"))
     window = lambda p, j: F.struct(j.alias("at"), p["size"].alias("size"), F.array_join(F.slice("__w", j + 1, p["size"]), " ").alias("gram"))
     there = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(p["first"], p["last"]), lambda j: window(p, j))))
     at = again.select("__md5", F.explode_outer(there).alias("x")).select("__md5", "x.*").distinct()
@@ -116,7 +137,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     """documents without the rows whose text holds a window."""
     with scratch(documents.sparkSession):
         hit = materialize(find_contamination(documents, benchmark, text).select(F.col("text_md5").alias("__hit")), "bench-hit", keep=True)
-    return documents.join(hit, F.md5(F.col(f"`{text}`")) == F.col("__hit"), "left_anti")
+        bits = materialize(membership(hit, "__hit"), "bench-hit-members", keep=True)
+    marked = with_maybe(documents, text, bits)
+    # most documents pass where they are; only those that the membership table cannot rule out are joined
+    unsure = marked.where("__maybe").join(hit, F.md5(F.col(f"`{text}`")) == F.col("__hit"), "left_anti")
+    return marked.where("not __maybe").unionByName(unsure).drop("__maybe")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
