@@ -114,16 +114,16 @@ def find_notices(df: DataFrame, text: str = "text", templates=TEMPLATES) -> Data
     look = sorted({w for x in indexed for w in x[4]})
     held = F.arrays_overlap("w", F.array(*map(F.lit, look))) if look else F.lit(False)
     texts = materialize(worded.where(held), "license-texts")
-    # a row per word of the notices, and per notice
+    # a row per word of the notices, and per notice: broadcast for their fixed size
     postings = spark.createDataFrame([(w, t, p, x) for t, _, posted, _, own, _ in indexed for p, w, x in posted if w in own], "word string, t int, p int, weight double")
     notices = [(t, label, posted, whole, left, [f" {p} " for p in templates[t][2]]) for t, label, posted, whole, _, left in indexed]
     notices = spark.createDataFrame(notices, "t int, label string, posted array<struct<p:int,word:string,weight:double>>, whole double, unseen double, phrases array<string>")
     at = F.filter(F.transform("w", lambda w, i: F.when(w.isin(look) if look else F.lit(False), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
     seen = texts.select("text_md5", F.explode(at).alias("x")).select("text_md5", "x.*").distinct()
-    offsets = seen.join(postings, "word").groupBy("text_md5", "t", (F.col("at") - F.col("p")).alias("offset")).agg(F.sum("weight").alias("agreed"))
-    possible = offsets.join(notices.select("t", "whole", "unseen"), "t").where(F.col("agreed") + F.col("unseen") >= MATCH * F.col("whole") - 1e-9)
+    offsets = seen.join(F.broadcast(postings), "word").groupBy("text_md5", "t", (F.col("at") - F.col("p")).alias("offset")).agg(F.sum("weight").alias("agreed"))
+    possible = offsets.join(F.broadcast(notices.select("t", "whole", "unseen")), "t").where(F.col("agreed") + F.col("unseen") >= MATCH * F.col("whole") - 1e-9)
     possible = materialize(possible.groupBy("text_md5", "t").agg(F.collect_set("offset").alias("offsets")), "license-offsets")
-    both = texts.join(possible, "text_md5").join(notices, "t").withColumn("joined", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
+    both = texts.join(possible, "text_md5").join(F.broadcast(notices), "t").withColumn("joined", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
     here = lambda o, x: (o + x["p"] >= 0) & (F.get("w", F.greatest(o + x["p"], F.lit(0))) == x["word"])
     share = lambda o: F.aggregate("posted", F.lit(0.0), lambda a, x: a + F.when(here(o, x), x["weight"]).otherwise(0.0)) / F.col("whole")
     scored = both.where(F.forall("phrases", lambda p: F.contains("joined", p))).select("text_md5", "label", F.array_max(F.transform("offsets", share)).alias("share"))
