@@ -15,6 +15,9 @@ MODULES = (
     "decontaminate",
     "substring_dedup",
     "jaccard_join",
+    "fill_middle",
+    "line_dedup",
+    "spelling_variants",
 )
 
 
