@@ -1,8 +1,8 @@
 """Spelling variants: distance-one Levenshtein automata meet broadcast trie shards.
 
 Words are counted in tasks (numpy passes over the text bytes, Arrow value counts) and
-summed by one aggregation.  The frequent ones are range partitioned and each partition
-cut into shards of at most SHARD_POINTS code points; a shard is one compact trie: its
+summed by one aggregation.  The frequent ones are range partitioned and cut into shards
+of neighbouring words, of a bounded number of code points; a shard is one compact trie: its
 nodes in breadth-first order, a letter and the place of the first child of each.  One
 shard at a time, of bounded size, is broadcast; tasks walk it depth-first with the
 automaton of each word, whose states are the words' places with no edit or one edit
@@ -28,6 +28,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -199,33 +200,46 @@ class Trie:
         return found
 
 
-SHARD_TYPE = "shard string, letters string, first binary, count binary"
+FRAGMENT = pa.schema([("name", pa.string()), ("points", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+SHARD_TYPE = "shard int, letters string, first binary, count binary"
 
 
 def trie_shards(words: DataFrame, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """Rows of SHARD_TYPE: tries of neighbouring words (word, n), of shard_points code points each at most (one word at least)."""
+    """Rows of SHARD_TYPE: tries of neighbouring words (word, n), of twice shard_points code points each at most (or one longer word).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Range partitions are cut into fragments of neighbouring words; fragments that follow each other are put together until shard_points are reached,
+    so that the number of shards follows from the words and not from the number of partitions.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[str] = []
         counts: list[int] = []
         points = 0
-
-        def shard() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"shard": own[0], **Trie.of(own, counts).pack()}], schema=pa.schema([("shard", pa.string()), ("letters", pa.string()), ("first", pa.binary()), ("count", pa.binary())]))
-
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if own and points + len(word) > shard_points:
-                    yield shard()
+                    yield pa.RecordBatch.from_pylist([{"name": own[0], "points": points, "words": own, "counts": counts}], schema=FRAGMENT)
                     own, counts, points = [], [], 0
                 own.append(word)
                 counts.append(n)
                 points += len(word)
         if own:
-            yield shard()
+            yield pa.RecordBatch.from_pylist([{"name": own[0], "points": points, "words": own, "counts": counts}], schema=FRAGMENT)
+
+    def build(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("name", key=lambda names: names.map(lambda x: x.encode()))
+        trie = Trie.of([w for own in rows["words"] for w in own], [int(n) for own in rows["counts"] for n in own])
+        return pd.DataFrame([{"shard": key[0], **trie.pack()}])
 
     total = words.agg(F.sum(F.char_length("word"))).first()[0] or 0
-    return words.select("word", "n").repartitionByRange(1 + total // shard_points, "word").sortWithinPartitions("word").mapInArrow(run, SHARD_TYPE)
+    ordered = words.select("word", "n").repartitionByRange(1 + total // shard_points, "word").sortWithinPartitions("word")
+    fragments = materialize(ordered.mapInArrow(cut, "name string, points long, words array<string>, counts array<long>"), "spelling-fragments")
+    shard_of, before = [], 0
+    for name, points in sorted(fragments.select("name", "points").collect(), key=lambda r: r[0].encode()):  # names and sizes only
+        shard_of.append((name, before // shard_points))
+        before += points
+    dealt = words.sparkSession.createDataFrame(shard_of, "name string, shard int")
+    return fragments.join(dealt, "name").groupBy("shard").applyInPandas(build, SHARD_TYPE)
 
 
 def near_words(words: DataFrame, trie: Broadcast) -> DataFrame:
@@ -251,8 +265,8 @@ def group_variants(words: DataFrame, shard_points: int = SHARD_POINTS, ratio: in
         dealt = materialize(words.repartition(1 + size // TASK_WORDS, "word"), "spelling-dealt")
         shards = materialize(trie_shards(words, shard_points), "spelling-shards")
         parts = None
-        for (name,) in shards.select("shard").sort("shard").collect():  # names only; one shard is read and broadcast at a time
-            row = shards.where(F.col("shard") == name).first()
+        for (number,) in shards.select("shard").sort("shard").collect():  # numbers only; one shard is read and broadcast at a time
+            row = shards.where(F.col("shard") == number).first()
             trie = spark.sparkContext.broadcast((row["letters"], bytes(row["first"]), bytes(row["count"])))
             part = materialize(near_words(dealt, trie).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best")), "spelling-near")
             trie.destroy()
