@@ -70,9 +70,9 @@ def instant(value) -> Column:
 
 
 def english_date(text) -> Column:
-    """'28 Oct 2025' or '28 October 2025' to a date, else null."""
-    day, month, year = (F.regexp_extract(col(text), r"^\s*(\d{1,2})\s+([A-Za-z]{3})[A-Za-z]*\.?,?\s+(\d{4})\s*$", i) for i in (1, 2, 3))
-    return F.when(day != "", F.try_to_date(F.concat_ws(" ", F.lpad(day, 2, "0"), F.initcap(month), year), "dd MMM yyyy"))
+    """A day, an English month (name or first three letters) and a year, such as '3 March 1998', to a date, else null."""
+    shown = F.initcap(F.trim(col(text)))
+    return F.coalesce(*[F.try_to_date(shown, form) for form in ("d MMM yyyy", "d MMMM yyyy")])
 
 
 def descending_dates(latest: str, n: int) -> Column:

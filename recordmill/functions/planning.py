@@ -13,12 +13,15 @@ ID_OFFSET = 1 << 51
 
 
 def sold_count(text) -> Column:
-    """'50,000+ sold', '100K+', '10.000+ vendidos', '1,2 mil' to a whole number: with a unit the separator is a decimal one."""
-    digits, unit = (F.regexp_extract(col(text), r"(\d[\d.,\s]*?)\s*(?:(mil|[kKmM](?![A-Za-z]))|[^\d.,\s]|$)", i) for i in (1, 2))
-    decimal = F.regexp_replace(F.regexp_replace(digits, r"\s", ""), ",", ".").try_cast("double")
-    plain = F.regexp_replace(digits, r"[.,\s]", "").try_cast("double")
-    scale = F.when(F.lower(unit).isin("k", "mil"), 1_000.0).when(F.lower(unit) == "m", 1_000_000.0)
-    return round_half_up(F.coalesce(decimal * scale, plain)).cast("long")
+    """Whole number of a count as shops show it.
+
+    With a unit ('7.5k bought', '3 mil') the sign inside is a decimal one; without ('12,345 bought') signs only part thousands.
+    """
+    shown = F.lower(col(text))
+    unit = F.regexp_extract(shown, r"\d\s*(k|mil|m)\b", 1)
+    amount = F.replace(F.regexp_extract(shown, r"(\d+(?:[.,]\d+)?)\s*(?:k|mil|m)\b", 1), F.lit(","), F.lit(".")).try_cast("double")
+    whole = F.regexp_replace(F.regexp_extract(shown, r"\d+(?:[.,\s]\d+)*", 0), r"\D", "").try_cast("long")
+    return F.when(unit == "", whole).otherwise(round_half_up(amount * F.when(unit == "m", 1_000_000).otherwise(1_000)).cast("long"))
 
 
 def plain_product_id(product) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.dates import timecode
 from ..functions.text import decode_entities
@@ -80,15 +81,22 @@ def chunks_of(text: str | None, most: int = 1000, overlap: int = 100, separator:
     return [b if i == 0 or not overlap_of(bodies[i - 1], overlap) else overlap_of(bodies[i - 1], overlap) + separator + b for i, b in enumerate(bodies)]
 
 
-def chunk_documents(df: DataFrame, key: str, text: str, most: int = 1000, overlap: int = 100) -> DataFrame:
-    """key, chunk_no and chunk."""
+def per_key(df: DataFrame, key: str, value: str, schema: str, rows_of: Callable[[object], list[tuple]]) -> DataFrame:
+    """key, of whatever type and null too, and the columns of `schema` for each row that rows_of makes of a value, in Arrow batches."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, c) for k, t in zip(batch[key], batch[text], strict=True) for i, c in enumerate(chunks_of(t, most, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "chunk"])
+            found = [(i, row) for i, x in enumerate(batch.column(1).to_pylist()) for row in rows_of(x)]
+            keys = batch.column(0).take(pa.array([i for i, _ in found], type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array([row[j] for _, row in found], type=f.type) for j, f in enumerate(kinds)]], names=[key, *kinds.names])
+
+    return df.select(F.col(f"`{key}`"), F.col(f"`{value}`")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {schema}")
 
-    return df.select(key, text).where(F.col(key).isNotNull()).mapInPandas(run, f"{key} long, chunk_no long, chunk string")
+
+def chunk_documents(df: DataFrame, key: str, text: str, most: int = 1000, overlap: int = 100) -> DataFrame:
+    """key, chunk_no and chunk."""
+    return per_key(df, key, text, "chunk_no long, chunk string", lambda t: list(enumerate(chunks_of(t, most, overlap))))
 
 
 class _Page(HTMLParser):
@@ -99,7 +107,7 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.skip and self.skip[-1] == "head" and tag not in IN_HEAD:
             self.skip.pop()  # the end of a head may be left out
-        if tag in SKIPPED:
+        if tag in SKIPPED or tag == "title" and self.skip:
             self.skip.append(tag)
         if tag in BLOCKS:
             self.lines.append("")
@@ -116,6 +124,8 @@ class _Page(HTMLParser):
             self.at = None
 
     def handle_data(self, data):
+        if self.skip and self.skip[-1] == "head" and data.strip():
+            self.skip.pop()
         if not self.skip:
             self.lines[-1] += data
 
@@ -130,13 +140,7 @@ def page_of(html: str | None) -> tuple[list[str], list[str]]:
 
 def page_lines(df: DataFrame, key: str, html: str) -> DataFrame:
     """key, lines and links of each page."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            both = [page_of(x) for x in batch[html]]
-            yield pd.DataFrame({key: batch[key], "lines": [x[0] for x in both], "links": [x[1] for x in both]})
-
-    return df.select(key, html).mapInPandas(run, f"{key} long, lines array<string>, links array<string>")
+    return per_key(df, key, html, "lines array<string>, links array<string>", lambda x: [page_of(x)])
 
 
 def cues(segments: Column, numbered: bool = True, mark: str = ",") -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..types import col, round_half_up
+from ..types import col, join_keys, round_half_up
 
 
 def _w(by: list[str], order: list) -> Window:
@@ -142,18 +142,18 @@ def stop_after_stale_pages(df: DataFrame, by: list[str], page: str, new: Column,
     a = pages.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     a = a.withColumn("__run", F.sum(1 - F.col("__new")).over(Window.partitionBy(*by, "__island").orderBy(page).rowsBetween(Window.unboundedPreceding, 0)))
     a = a.withColumn("__before", F.coalesce(F.max(F.col("__run") >= n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    return df.join(a.where("not __before").select(*by, page), [*by, page], "left_semi")
+    return join_keys(df, a.where("not __before").select(*by, page), [*by, page], "left_semi")
 
 
 def cut_at_page(df: DataFrame, by: list[str], page: str, beyond: Column) -> DataFrame:
     """The page that crosses the bound is finished, later pages are not read."""
     first = df.groupBy(*by).agg(F.min(F.when(beyond, F.col(page))).alias("__last"))
-    return df.join(first, by).where(F.col("__last").isNull() | (F.col(page) <= F.col("__last"))).drop("__last")
+    return join_keys(df, first, by).where(F.col("__last").isNull() | (F.col(page) <= F.col("__last"))).drop("__last")
 
 
 def within_budget(df: DataFrame, by: list[str], order: list, price: Column, cap: int) -> DataFrame:
-    """Rows whose running price (whole units) stays within the cap."""
-    spent = F.sum(price.cast("long")).over(_w(by, order).rowsBetween(Window.unboundedPreceding, 0))
+    """Rows whose running price (whole units) stays within the cap; a null price costs nothing."""
+    spent = F.sum(F.coalesce(price.cast("long"), F.lit(0))).over(_w(by, order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("spent", spent).where(F.col("spent") <= cap)
 
 

@@ -38,17 +38,18 @@ def rolling(df: DataFrame, by: list[str], at: str, hours: int, value: Column, ou
 
 
 def anchored_batches(terms: DataFrame, term: str, order: str, size: int = 5) -> DataFrame:
-    """Batches of `size` terms of which the first is the first term of all."""
+    """Batches of `size` terms of which the first is the first term of all; a single term is a batch of its own."""
     placed = terms.withColumn("__at", F.row_number().over(Window.orderBy(order)))  # terms are the few keywords of one request
     rest = placed.where("__at > 1").withColumn("batch", F.floor((F.col("__at") - 2) / (size - 1)).cast("long"))
-    anchor = rest.select("batch").distinct().crossJoin(F.broadcast(placed.where("__at = 1").drop("__at", "batch")))
+    numbers = rest.select("batch").unionByName(placed.where("__at = 1").select(F.lit(0).cast("long").alias("batch"))).distinct()
+    anchor = numbers.crossJoin(F.broadcast(placed.where("__at = 1").drop("__at", "batch")))
     return rest.drop("__at").unionByName(anchor.select(*[c for c in rest.columns if c != "__at"]))
 
 
-def rescale(points: DataFrame, batch: str, term: str, at: str, value: str, anchor: str) -> DataFrame:
+def rescale(points: DataFrame, batch: str, term: str, at: str, value: str, anchor: str | Column) -> DataFrame:
     """Batches on one scale by their anchor's sums, then 0..100 by the highest point, rounded to 2 digits.
 
-    points has the anchor's series in every batch; batch 0 is the measure.
+    points has the anchor's series in every batch; batch 0 is the measure.  The anchor is a term, or a column that holds it.
     """
     sums = points.where(F.col(term) == anchor).groupBy(batch).agg(F.sum(value).alias("__sum"))
     first = sums.where(F.col(batch) == 0).select(F.col("__sum").alias("__first"))

@@ -8,11 +8,13 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..types import join_keys
+
 
 def only_new(current: DataFrame, seen: DataFrame, key: list[str], mark: str | None = None) -> DataFrame:
-    """Rows whose key is unknown, or known with another mark (fingerprint)."""
+    """Rows whose key is unknown, or known with another mark (fingerprint); a null key is a key like others."""
     on = [*key, mark] if mark else key
-    return current.join(seen.select(*on).distinct(), on, "left_anti")
+    return join_keys(current, seen.select(*on).distinct(), on, "left_anti")
 
 
 def next_seen(current: DataFrame, seen: DataFrame, key: list[str], when: str, most: int, refresh: bool = True, mark: str | None = None) -> DataFrame:
@@ -42,7 +44,7 @@ def with_baseline(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 def removed(previous: DataFrame, current: DataFrame, key: list[str], seen_at: str, most: int) -> DataFrame:
     """Known rows that are not listed any more, longest unseen first, at most `most`."""
-    return previous.join(current.select(*key).distinct(), key, "left_anti").orderBy(seen_at, *key).limit(most)
+    return join_keys(previous, current.select(*key).distinct(), key, "left_anti").orderBy(seen_at, *key).limit(most)
 
 
 def prune_dated(seen: DataFrame, when: str, days: int) -> DataFrame:
@@ -55,13 +57,13 @@ def watermark_monitor(current: DataFrame, previous: DataFrame, group: list[str],
     """Rows not seen before and not older than the group's watermark (latest date emitted) less the grace."""
     marks = previous.groupBy(*group).agg(F.max(when).alias("__mark"))
     since = F.col("__mark") - F.expr(f"INTERVAL {grace_days} DAYS")
-    fresh = current.join(marks, group, "left").where(F.col("__mark").isNull() | (F.col(when) >= since))
-    return fresh.join(previous.select(*group, key).distinct(), [*group, key], "left_anti").drop("__mark")
+    fresh = join_keys(current, marks, group, "left").where(F.col("__mark").isNull() | (F.col(when) >= since))
+    return join_keys(fresh, previous.select(*group, key).distinct(), [*group, key], "left_anti").drop("__mark")
 
 
 def next_watermarks(previous: DataFrame, emitted: DataFrame, group: list[str], complete: str) -> DataFrame:
     """previous(group, watermark) and emitted(group, latest, complete): it moves only after a complete scan or a first run."""
-    both = previous.join(emitted, group, "full")
+    both = join_keys(previous, emitted, group, "full")
     moved = F.when(F.col(complete) | F.col("watermark").isNull(), F.greatest("watermark", "latest")).otherwise(F.col("watermark"))
     return both.select(*group, moved.alias("watermark"))
 
@@ -73,7 +75,7 @@ def change_feed(current: DataFrame, previous: DataFrame, key: list[str], mark: s
     change = (
         F.when(F.col("__there").isNull(), "new").when(F.col("__here").isNull(), "removed").when(F.col("__now").eqNullSafe(F.col("__then")), "unchanged").otherwise("updated")
     )
-    out = a.join(b, key, "full").select(*key, change.alias("change"))
+    out = join_keys(a, b, key, "full").select(*key, change.alias("change"))
     return out if complete else out.where("change <> 'removed'")
 
 
@@ -96,7 +98,7 @@ def rank_changes(current: DataFrame, previous: DataFrame, lists: list[str], item
 
 
 def missing_wanted(wanted: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    return wanted.join(found.select(*key).distinct(), key, "left_anti")
+    return join_keys(wanted, found.select(*key).distinct(), key, "left_anti")
 
 
 def statistics(df: DataFrame, group: list[str], flags: dict[str, Column]) -> DataFrame:

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .documents import pieces_of
+from .documents import per_key, pieces_of
 
 #: Preference of published formats.
 FORMATS = ("vtt", "srt", "json", "text", "html")
@@ -50,15 +47,11 @@ def pack_segments(segments: list[Segment], most: int, overlap: int) -> list[Segm
 def chunk_transcripts(df: DataFrame, key: str, segments: str, most: int = 1000, overlap: int = 100) -> DataFrame:
     """key, chunk_no, start, end and text from an array of struct(start, end, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, xs in zip(batch[key], batch[segments], strict=True):
-                own = sorted((float(x["start"]), float(x["end"]), x["text"]) for x in (xs if xs is not None else []))
-                rows += [(k, i, *c) for i, c in enumerate(pack_segments(own, most, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_no", "start", "end", "text"])
+    def rows_of(xs: list[dict] | None) -> list[tuple]:
+        own = sorted((float(x["start"]), float(x["end"]), x["text"]) for x in xs or [])
+        return [(i, *c) for i, c in enumerate(pack_segments(own, most, overlap))]
 
-    return df.select(key, segments).mapInPandas(run, f"{key} long, chunk_no long, start double, end double, text string")
+    return per_key(df, key, segments, "chunk_no long, start double, end double, text string", rows_of)
 
 
 def best_track(tracks: Column, languages: list[str]) -> Column:

@@ -9,6 +9,7 @@ from ..functions.numbers import discount_percent
 from ..functions.predicates import scan_cap
 from ..operators import enrich, ordered, series, state
 from ..sources.adapters import Adapter, read_adapters
+from ..types import join_keys
 
 
 def registrations(adapters: list[Adapter], wanted: dict, key: list[str], order: list, category: Column, keep: list[str], most: int) -> DataFrame:
@@ -61,7 +62,7 @@ def best_page(pages: DataFrame, site: str, score: Column, order: list) -> DataFr
 def listing_changes(current: DataFrame, previous: DataFrame, key: list[str], mark: str, seen_at: str, most_removed: int, complete: bool = True) -> DataFrame:
     """Rows of new and updated listings and, after a complete crawl, those gone longest, each with its `change`."""
     told = state.change_feed(current, previous, key, mark, complete=False).where("change <> 'unchanged'")
-    changed = current.join(told, key)
+    changed = join_keys(current, told, key)
     if not complete:
         return changed
     gone = state.removed(previous, current, key, seen_at, most_removed).withColumn("change", F.lit("removed"))

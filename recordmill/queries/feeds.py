@@ -248,9 +248,9 @@ def anchored_rescale(spark: SparkSession, d: str) -> DataFrame:
     daily = events(spark, d).groupBy("event_type", F.col("ts").cast("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     terms = daily.select("event_type").distinct()
     batches = S.anchored_batches(terms, "event_type", "event_type", 3)
-    anchor = terms.agg(F.min("event_type")).first()[0]
-    points = daily.join(batches, "event_type").withColumn("n", F.col("n") + F.when(F.col("event_type") == anchor, F.col("batch")).otherwise(0))
-    return S.rescale(points, "batch", "event_type", "day", "n", anchor)
+    first = F.broadcast(terms.agg(F.min("event_type").alias("__anchor")))  # one row
+    points = daily.join(batches, "event_type").crossJoin(first).withColumn("n", F.col("n") + F.when(F.col("event_type") == F.col("__anchor"), F.col("batch")).otherwise(0))
+    return S.rescale(points, "batch", "event_type", "day", "n", F.col("__anchor"))
 
 
 @query("""WITH a AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 21600000000 THEN 1 ELSE 0 END AS new FROM events)

@@ -277,7 +277,7 @@ def small_parsers(spark: SparkSession, d: str) -> DataFrame:
     """Sold counts with the separators of several languages, product ids, a zone's day, times of parts, region codes."""
     k, c, at = F.col("o_orderkey") % 4, F.col("o_custkey"), F.col("o_orderdate").cast("timestamp")
     comma = F.format_number(10_000 + c, 0)
-    shown = F.when(k == 0, F.concat(comma, F.lit("+ sold"))).when(k == 1, F.concat((10 + c % 90).cast("string"), F.lit("K+ sold"))).when(k == 2, F.concat(F.replace(comma, F.lit(","), F.lit(".")), F.lit("+ vendido(s)"))).otherwise(F.concat(F.lit("1,"), (2 + c % 8).cast("string"), F.lit(" mil vendidos")))
+    shown = F.when(k == 0, F.concat(comma, F.lit(" bought"))).when(k == 1, F.concat((10 + c % 90).cast("string"), F.lit("k bought"))).when(k == 2, F.concat(F.lit("Bought "), F.replace(comma, F.lit(","), F.lit(" ")))).otherwise(F.concat(F.lit("over 1."), (2 + c % 8).cast("string"), F.lit("K")))
     product = F.when(k < 2, (1000 + c).cast("string")).otherwise((PL.ID_OFFSET + 1000 + c).cast("string"))
     parts = F.array(F.year(at), F.month(at), F.dayofmonth(at))
     return table(spark, d, "orders").select(

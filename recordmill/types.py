@@ -26,6 +26,20 @@ def round_half_up(x, digits: int = 0) -> Column:
     return F.floor(col(x) * scale + 0.5) / scale
 
 
+def join_keys(left, right, keys: list[str], how: str = "inner"):
+    """A join on keys where null equals null; each key comes once."""
+    names = {k: f"__right_{k}" for k in keys}
+    same = F.lit(True)
+    for k, r in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(r))
+    out = left.join(right.withColumnsRenamed(names), same, how)
+    if how in ("left_semi", "left_anti"):
+        return out
+    if how in ("full", "right"):
+        out = out.withColumns({k: F.coalesce(F.col(k), F.col(r)) for k, r in names.items()})
+    return out.drop(*names.values())
+
+
 def shaped(df, schema: list[tuple[str, str]]):
     """Fixed column order and types; columns that are missing become null."""
     have = set(df.columns)
