@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -68,17 +69,61 @@ def overlap_of(body: str, n: int) -> str:
     return tail.strip()
 
 
-def chunks_of(text: str | None, most: int = 1000, overlap: int = 100, separator: str = "\n\n") -> list[str]:
-    """Paragraphs packed into chunks of at most `most` characters, each led by the end of the body before."""
+def spans_of(text: str | None, most: int = 1000, overlap: int = 100, separator: str = "\n\n") -> list[tuple[int, int, str]]:
+    """Paragraphs packed into chunks of at most `most` characters, each led by the end of the body before: (start, end) of the body in the text, and the chunk."""
+    text = text or ""
     room = most - (overlap + len(separator) if overlap else 0)
-    bodies: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", text or ""):
-        for piece in (table_pieces if is_table(paragraph) and len(paragraph.strip()) > room else pieces_of)(paragraph, room):
-            if bodies and len(bodies[-1]) + len(separator) + len(piece) <= room:
-                bodies[-1] += separator + piece
+    bodies: list[list] = []
+    limits = [0, *[x for m in re.finditer(r"\n\s*\n", text) for x in m.span()], len(text)]
+    for lo, hi in zip(limits[::2], limits[1::2], strict=True):
+        paragraph, at = text[lo:hi], lo
+        cut = is_table(paragraph) and len(paragraph.strip()) > room
+        for i, piece in enumerate((table_pieces if cut else pieces_of)(paragraph, room)):
+            lines = piece.split("\n") if cut else [piece]
+            lines = lines[2:] if i and len(lines) > 2 and lines[:2] == paragraph.strip().split("\n")[:2] else lines  # without the repeated header
+            start = text.index(lines[0], at, hi)
+            at = start
+            for line in lines:
+                at = text.index(line, at, hi) + len(line)
+            if bodies and len(bodies[-1][2]) + len(separator) + len(piece) <= room:
+                bodies[-1][1], bodies[-1][2] = at, bodies[-1][2] + separator + piece
             else:
-                bodies.append(piece)
-    return [b if i == 0 or not overlap_of(bodies[i - 1], overlap) else overlap_of(bodies[i - 1], overlap) + separator + b for i, b in enumerate(bodies)]
+                bodies.append([start, at, piece])
+    leads = ["", *[overlap_of(b, overlap) for _, _, b in bodies]]
+    return [(start, end, lead + separator + b if lead else b) for (start, end, b), lead in zip(bodies, leads, strict=False)]
+
+
+def chunks_of(text: str | None, most: int = 1000, overlap: int = 100, separator: str = "\n\n") -> list[str]:
+    """The chunks of spans_of."""
+    return [chunk for _, _, chunk in spans_of(text, most, overlap, separator)]
+
+
+def segment_chunks(segments: list[dict] | None, most: int = 1000, overlap: int = 100) -> list[tuple]:
+    """Chunks over pages {page, markdown}: (chunk_no, start, end, first_page, last_page, heading, chunk).
+
+    The pages, parted by a blank line, are one text; the pages of a chunk are those that its body touches (pages without a number
+    count as none), its heading the last one at or before the body's start.
+    """
+    starts, pages, texts, at = [], [], [], 0
+    for s in segments or []:
+        starts.append(at)
+        pages.append(s["page"])
+        texts.append(s["markdown"] or "")
+        at += len(texts[-1]) + 2
+    whole = "\n\n".join(texts)
+    marks = [(m.start(), m[1].strip()) for m in re.finditer(r"(?m)^#{1,6}[ \t]+(\S.*?)[ \t#]*$", whole)]
+    heads = [m[0] for m in marks]
+    out = []
+    for i, (start, end, chunk) in enumerate(spans_of(whole, most, overlap)):
+        touched = [p for p in pages[max(bisect_right(starts, start) - 1, 0) : bisect_right(starts, max(end - 1, start))] if p is not None]
+        k = bisect_right(heads, start)
+        out.append((i, start, end, min(touched, default=None), max(touched, default=None), marks[k - 1][1] if k else None, chunk))
+    return out
+
+
+def chunk_segments(df: DataFrame, key: str, segments: str, most: int = 1000, overlap: int = 100) -> DataFrame:
+    """key and segment_chunks of a column array<struct<page, markdown>>."""
+    return per_key(df, key, segments, "chunk_no long, start long, end long, first_page int, last_page int, heading string, chunk string", lambda x: segment_chunks(x, most, overlap))
 
 
 def per_key(df: DataFrame, key: str, value: str, schema: str, rows_of: Callable[[object], list[tuple]]) -> DataFrame:

@@ -7,9 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import trees as TR
 from ..functions import urls as U
+from ..functions import wire as W
+from ..operators import documents as DOC
 from ..operators import ordered as O
 from ..operators import search as SE
+from ..operators import tables as TB
 from ..operators import versions as V
 from ..sources.adapters import table
 from ..storage import shared_folder
@@ -18,9 +22,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def note(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return note
@@ -113,3 +119,97 @@ def tracked_lists(spark: SparkSession, d: str) -> DataFrame:
     except ConnectionError:
         pass  # lists before the break are committed, this one and those after it are not
     return V.compare_lists(state, now, "user_id", "rank", 20, 3).select("event_type", "user_id", "now", "then", "change")
+
+
+_MATCHES = """m AS (SELECT o_orderkey, o_orderdate, l_returnflag, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q, CAST(round(l_discount * 100) AS BIGINT) AS dc, CAST(round(l_tax * 100) AS BIGINT) AS tx
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+
+
+def _result_pages(spark: SparkSession, d: str) -> DataFrame:
+    """A page for each order, with a table: a header row for each return flag, and a pair of rows, one time cell over both, for each line."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c = lambda x: F.col(x).cast("string")
+    whole = lambda x: F.round(x).cast("long").cast("string")
+    li = O.with_rank(li, ["o_orderkey"], ["l_returnflag", "l_linenumber", "l_partkey", "l_suppkey"], "place")
+    place = c("place")
+    rows = F.concat(
+        F.lit("<tr id=r"), place, F.lit('><td rowspan="2" class="time">'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('</td><td class="t-name"><a href="/part/'), c("l_partkey"), F.lit('">Part '), c("l_partkey"),
+        F.lit('</a><td class="score">'), whole(F.col("l_quantity")), F.lit("<sup>"), whole(F.col("l_discount") * 100), F.lit('</sup></td><td class="score">'), whole(F.col("l_tax") * 100), F.lit("</td></tr><tr id=r"), place,
+        F.lit('b><td class="t-name">Supp &amp; '), c("l_suppkey"), F.lit('</td><td class="score">7</td><td class="score">'), whole(F.col("l_discount") * 100), F.lit("<td>odds</tr>"),
+    )
+    groups = li.groupBy("o_orderkey", "l_returnflag").agg(F.concat(F.lit('<tr class="head"><td class="t-name" colspan="3">Flag <b>'), F.col("l_returnflag"), F.lit("</b></td></tr>"), F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", rows.alias("row")))).row, "")).alias("rows"))
+    return groups.groupBy("o_orderkey").agg(F.concat(F.lit("<p>Results<table class=result>"), F.array_join(F.sort_array(F.collect_list(F.struct("l_returnflag", "rows"))).rows, "\n"), F.lit("</table>")).alias("html"))
+
+
+@query(f"""WITH {_MATCHES} SELECT DISTINCT o_orderkey, 'Flag ' || l_returnflag AS header, strftime(o_orderdate, '%Y-%m-%d') AS day, 'Part ' || l_partkey AS player1, '/part/' || l_partkey AS href, 'Supp & ' || l_suppkey AS player2,
+  q || '-7(' || dc || ') ' || tx || '-' || dc AS score, CASE WHEN (q > 7) = (tx > dc) AND q <> 7 AND tx <> dc THEN CASE WHEN q > 7 THEN 1 ELSE 2 END END AS winner FROM m""")
+def result_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows out of grouped tables: carried headers, cells over two rows, scores with tie-breaks set high."""
+    cells = TB.table_cells(_result_pages(spark, d), "o_orderkey", "html")
+    rows = TB.row_pairs(TB.grouped_rows(cells, "o_orderkey", F.col("row_class") == "head", F.when(F.col("cell_class") == "t-name", F.col("text"))), "o_orderkey")
+    of = lambda cells, name: F.filter(cells, lambda x: x["cell_class"] == name)
+    sets = TB.scored(of("cells", "score"), of("other", "score"))
+    shown = F.array_join(F.transform(sets, lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"), F.when(s["tiebreak"].isNotNull(), F.concat(F.lit("("), s["tiebreak"].cast("string"), F.lit(")"))).otherwise(""))), " ")
+    won = lambda f: F.size(F.filter(sets, f))
+    winner = F.when(won(lambda s: s["a"] > s["b"]) == F.size(sets), 1).when(won(lambda s: s["a"] < s["b"]) == F.size(sets), 2)
+    first = lambda cells, name: F.get(of(cells, name), F.lit(0))
+    out = rows.select("o_orderkey", "header", first("cells", "time")["text"].alias("day"), first("cells", "t-name")["text"].alias("player1"), first("cells", "t-name")["href"].alias("href"), first("other", "t-name")["text"].alias("player2"), shown.alias("score"), winner.alias("winner"))
+    return out.distinct()
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_partkey AS a, l_suppkey AS b, CAST(min(l_quantity) AS BIGINT) AS x, CAST(max(l_quantity) AS BIGINT) AS y FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, a, b, x AS won_a, y AS won_b FROM s""")
+def oriented_details(spark: SparkSession, d: str) -> DataFrame:
+    """Details that list a pair either way round, joined to the pairs and turned where needed."""
+    pairs = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.min("l_quantity").cast("long").alias("won_a"), F.max("l_quantity").cast("long").alias("won_b"))
+    turn = F.col("a") > F.col("b")
+    details = pairs.select("l_orderkey", F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turn, F.col("won_b")).otherwise(F.col("won_a")).alias("won_a"), F.when(turn, F.col("won_a")).otherwise(F.col("won_b")).alias("won_b"))
+    return TB.join_oriented(pairs.select("l_orderkey", "a", "b"), details, ["l_orderkey"], ("a", "b"), [("won_a", "won_b")])
+
+
+@query("""SELECT p_partkey, p_brand || chr(10) || p_type || list_aggregate(list_transform(range(1, 2 + p_size % 6), lambda i: chr(10) || chr(10) || CASE WHEN i % 2 = 1 THEN '- ' ELSE '1. ' END || p_name || ' ' || i), 'string_agg', '') || chr(10) || chr(10) || '---' AS text FROM part""")
+def rich_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Document trees of one to six nested lists to plain text."""
+    paragraph = lambda *inner: F.struct(F.lit("paragraph").alias("type"), F.array(*inner).alias("content"))
+    text = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
+    node = F.lit("")
+    for i in range(6, 0, -1):
+        own = F.concat(F.lit('{"type": "%s", "content": [{"type": "list_item", "content": [' % ("bullet_list" if i % 2 else "ordered_list")), F.to_json(paragraph(text(F.concat("p_name", F.lit(f" {i}"))))), node, F.lit("]}]}"))
+        node = F.when(F.col("p_size") % 6 >= i - 1, F.concat(F.lit(", "), own)).otherwise("")
+    top = F.concat(F.lit('{"type": "paragraph", "content": ['), F.to_json(text(F.col("p_brand"))), F.lit(', {"type": "hard_break"}, '), F.to_json(text(F.col("p_type"))), F.lit("]}"))
+    return table(spark, d, "part").select("p_partkey", TR.rich_text(F.concat(F.lit('{"type": "doc", "content": ['), top, node, F.lit(', {"type": "horizontal_rule"}]}'))).alias("text"))
+
+
+@query("""WITH c AS (SELECT *, c_nationkey % 6 AS k FROM customer)
+SELECT c_custkey, 0 AS at, CAST(NULL AS INTEGER) AS parent, 0 AS depth, 'record' AS name, CAST(NULL AS VARCHAR) AS text FROM c
+UNION ALL SELECT c_custkey, 1, 0, 1, 'name', c_name || ' & <co>' FROM c
+UNION ALL SELECT c_custkey, 2 + i, CASE WHEN i = 0 THEN 0 ELSE 1 + i END, 1 + i, 'n' || i, 'v' || (c_custkey + i) FROM (SELECT *, unnest(range(0, k)) AS i FROM c)
+UNION ALL SELECT c_custkey, 2 + k, 0, 1, 'segment', c_mktsegment FROM c""")
+def xml_trees(spark: SparkSession, d: str) -> DataFrame:
+    """XML of any depth, with prefixes, stray end tags and missing ones, to rows in document order."""
+    k, key = F.col("c_nationkey") % 6, F.col("c_custkey")
+    inner = F.lit("")
+    for i in range(5, -1, -1):  # every other one lacks its end tag
+        inner = F.when(k > i, F.concat(F.lit(f'<x:n{i} a="1>0">v'), (key + i).cast("string"), inner, F.lit(f"</x:n{i}>" if i % 2 == 0 else "</stray>"))).otherwise("")
+    xml = F.concat(F.lit('<?xml version="1.0"?><!-- c --><x:record xmlns:x="u"><name>'), F.col("c_name"), F.lit(" &amp; <![CDATA[<co>]]></x:name>\n"), inner, F.lit("</none><segment >"), F.col("c_mktsegment"), F.lit("</segment></x:record>"))
+    return table(spark, d, "customer").select("c_custkey", F.explode(TR.xml_nodes(xml)).alias("n")).select("c_custkey", "n.*")
+
+
+@query("""SELECT o_orderkey, o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'EUR' WHEN 'O' THEN 'USD' ELSE 'JPY' END AS currency, -o_custkey AS customer, CAST(NULL AS VARCHAR) AS none FROM orders""")
+def wire_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and currency codes out of base64 tokens of numbered fields, nested ones too."""
+    currency = F.when(F.col("o_orderstatus") == "F", "EUR").when(F.col("o_orderstatus") == "O", "USD").otherwise("JPY")
+    inner = W.wire_message((3, currency), (5, -F.col("o_custkey")))
+    token = F.base64(W.wire_message((1, F.col("o_orderkey")), (2, inner), (16, F.col("o_orderpriority"))))
+    data = F.unbase64("token")
+    return table(spark, d, "orders").select("o_orderkey", token.alias("token")).select("o_orderkey", W.wire_number(data, 1).alias("key"), W.wire_text(data, 2, 3).alias("currency"), W.wire_number(data, 2, 5).alias("customer"), W.wire_text(data, 2, 9).alias("none"))
+
+
+@query()
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of documents read as pages of 25 lines under a heading each: every chunk with its pages and its heading."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 25).cast("int"))
+    pages = F.transform(numbers, lambda i: F.struct((i + 1).alias("page"), F.concat(F.lit("# Part "), (i + 1).cast("string"), F.lit("\n\n"), F.array_join(F.slice(lines, i * 25 + 1, 25), "\n")).alias("markdown")))
+    made = DOC.chunk_segments(table(spark, d, "documents").select("doc_id", pages.alias("pages")), "doc_id", "pages")
+    return made.select("doc_id", "chunk_no", "start", "end", "first_page", "last_page", "heading", F.sha2("chunk", 256).alias("chunk_sha256"))
