@@ -13,8 +13,8 @@ so that passages which many documents share stand last.
    by size, expanded to members, filtered by a bit vector (the bits that differ are
    at most the elements that differ) and verified on the whole sets.
 4. Links give components.  For completeness groups of one posting that are still in
-   different components are joined on it, members of one group too.  The condition of
-   that join is the size filter, the positional filter (no more elements can be shared
+   different components are joined on it, members of one group too.  Of postings that
+   the same groups have, only the first is used.  The condition of that join is the size filter, the positional filter (no more elements can be shared
    than stand behind the common one), a short bit vector, and that the two elements before
    it are not shared, which would make it a later common element of a pair that is met already.  Pairs within
    a component are left out: they could add no link between components.
@@ -43,8 +43,8 @@ from .sketch import fixed_array
 from .textkernel import blocks, grams, mix, signed, texts_as_bytes, words_of
 
 #: Parameters: words of a shingle, least similarity in per cent, pivots of a posting, entries of the count table and of
-#: the membership tables (bits), both of fixed size; bits of the short vectors, and elements of the largest set for which
-#: they tell much.
+#: the membership tables (bits), both of fixed size; bits of the short vectors of sets of up to CODED elements (larger sets
+#: have about as many bits as elements).
 SHINGLE, SIMILAR, PIVOTS, COUNTS, BITS, CODE, CODED = 5, 75, 8, 1 << 20, 1 << 26, 512, 560
 
 
@@ -85,7 +85,12 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return (2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def bit_vectors(h: np.ndarray, n: np.ndarray, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+def code_bits(n: np.ndarray) -> np.ndarray:
+    """Most bits of the short vectors of sets of so many elements; those of two sets that could be linked differ by a factor of two at most."""
+    return np.where(n <= CODED, CODE, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def bit_vectors(h: np.ndarray, n: np.ndarray, most: int | np.ndarray = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, words of 64 bits): per set the parities of its elements in as many bits as twice their number, rounded up
     to a power of two (64 at least, `most` at most).  n: sizes of the sets, whose elements stand in h one set after the other."""
     width = np.minimum(most, np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)))
@@ -135,7 +140,7 @@ def _sets(docs: DataFrame, level: np.ndarray | None = None, among: np.ndarray |
                     prefix = np.diff(np.r_[np.uint64(0), np.cumsum(mix(tokens ^ np.uint64(0x77)), dtype=np.uint64)][at])
                     start, bits = bit_vectors(h, n)
                     lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values))
-                    out |= {"prefix": pa.array(signed(prefix)), "tokens": lists(at, signed(tokens)), "bits": lists(start, bits), "code": lists(*bit_vectors(h[n[owner] <= CODED], np.where(n <= CODED, n, 0), CODE))}
+                    out |= {"prefix": pa.array(signed(prefix)), "tokens": lists(at, signed(tokens)), "bits": lists(start, bits), "code": lists(*bit_vectors(h, n, code_bits(n)))}
                 yield pa.RecordBatch.from_pydict(out)
 
     kind = f"{SET_TYPE}, elements array<long>" if among is not None else SET_TYPE if level is None else PREFIX_TYPE
@@ -261,6 +266,17 @@ def _pivoted(posted: DataFrame, members: DataFrame) -> DataFrame:
     return expanded.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _first_of_equal(posted: DataFrame) -> DataFrame:
+    """The postings without those that the same groups have as another one earlier in the order of elements.
+
+    The first common element of a pair is never left out, and there the pair is met; a passage that many texts share is
+    one posting of each text then, not one for each of its shingles.
+    """
+    held = posted.groupBy("token").agg(F.bit_xor(F.xxhash64("g")).alias("s"), F.bit_xor(F.xxhash64("g", F.lit("second"))).alias("t"), F.count(F.lit(1)).alias("k"), F.min(F.struct("g", "pos")).alias("m"))
+    first = held.groupBy("s", "t", "k", F.col("m.g").alias("least")).agg(F.min(F.struct("m.pos", "token"))["token"].alias("token"))
+    return posted.join(materialize(first.select("token"), "jaccard-firsts"), "token", "left_semi")
+
+
 def _still_apart(posted: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs a < b of classes in different components that share a posting or a group and pass all filters on it."""
     own = materialize(members.join(found, "id", "left").select("id", "n", "g", F.coalesce("component", "id").alias("c"), "code"), "jaccard-own")
@@ -270,7 +286,8 @@ def _still_apart(posted: DataFrame, members: DataFrame, found: DataFrame) -> Dat
     # a posting of two groups of one class each holds one pair, which has been tried
     larger = posted.where("held = 2").join(crowd, "g", "left_semi").select("token").distinct()
     open_ = posted.where("held > 2").unionByName(posted.where("held = 2").join(larger, "token", "left_semi"))
-    everyone = materialize(open_.select("token", "g", "pos", "r1", "r2").unionByName(inside).join(own, "g").drop("g"), "jaccard-everyone")
+    open_ = _first_of_equal(open_.select("token", "g", "pos", "r1", "r2"))
+    everyone = materialize(open_.unionByName(inside).join(own, "g").drop("g"), "jaccard-everyone")
     several = everyone.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     apart = materialize(everyone.join(materialize(several, "jaccard-several"), "token"), "jaccard-apart")
     columns = ("id", "n", "pos", "r1", "r2", "c", "code")
@@ -283,8 +300,7 @@ def _still_apart(posted: DataFrame, members: DataFrame, found: DataFrame) -> Dat
     for x in ("r1_x", "r2_x"):
         for y in ("r1_y", "r2_y"):
             same |= F.coalesce(F.col(x) == F.col(y), F.lit(False))
-    # (null, which is no obstacle, where one of the sets is too large for the short vectors)
-    near = F.coalesce((100 + SIMILAR) * differing_bits("code_x", "code_y") <= (100 - SIMILAR) * (F.col("n_x") + F.col("n_y")), F.lit(True))
+    near = (100 + SIMILAR) * differing_bits("code_x", "code_y") <= (100 - SIMILAR) * (F.col("n_x") + F.col("n_y"))
     two = left.join(right, "token").where((F.col("c_x") != F.col("c_y")) & once & _sizes_fit("n_x", "n_y") & room & ~same & near)
     return two.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
@@ -298,7 +314,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         least = _sets(docs, rarity(docs)).where("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "prefix", "tokens", "bits", "code")).alias("x"))
         classes = materialize(least.select(F.monotonically_increasing_id().alias("id"), *same, "x.*"), "jaccard-classes")
         groups = materialize(classes.groupBy("n", "prefix").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("k")).where("k > 1"), "jaccard-groups")
-        members = classes.select("id", "n", "prefix", "code").join(groups, ["n", "prefix"], "left").select("id", "n", F.coalesce("g", "id").alias("g"), F.when(F.col("n") <= CODED, F.col("code")).alias("code"))
+        members = classes.select("id", "n", "prefix", "code").join(groups, ["n", "prefix"], "left").select("id", "n", F.coalesce("g", "id").alias("g"), "code")
         members = materialize(members, "jaccard-members")
         others = materialize(members.where("id <> g").select("id"), "jaccard-others")
         heads = classes.join(others, "id", "left_anti").select(F.col("id").alias("g"), "n", "tokens")

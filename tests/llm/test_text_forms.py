@@ -211,3 +211,51 @@ def test_trie_emits_each_neighbour_once():
     for w in [*words, "", "zzz", "aaa"]:
         found = [v for v, _ in trie.neighbours(w)]
         assert sorted(found) == [v for v in words if near(w, v)], w
+
+
+# near copies of long texts that share passages
+
+
+def test_templated_long_texts_leave_few_pairs_to_the_last_join(spark, monkeypatch):
+    """Texts of 14 of 20 shared passages of 50 words, about 700 shingles: equal to brute force, and the last join is far from all pairs."""
+    from llm import jaccard_join
+
+    rng = random.Random(1)
+    passages = [[f"p{i}w{rng.randrange(10**6)}" for _ in range(50)] for i in range(20)]
+    texts = [[w for k in sorted(rng.sample(range(20), 14)) for w in passages[k]] for _ in range(200)]
+    counted, inner = {}, jaccard_join.materialize
+
+    def noted(df, name, keep=False):
+        out = inner(df, name, keep)
+        if name == "jaccard-rest":
+            counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            k = len(sets[a] & sets[b])
+            if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
+    assert counted["jaccard-rest"] < 0.05 * 200 * 199 / 2
+
+
+def test_short_vectors_of_linked_sizes_fold():
+    from llm import jaccard_join
+
+    n = np.arange(1, 20_000)
+    width = np.minimum(jaccard_join.code_bits(n), np.maximum(64, 2 ** np.ceil(np.log2(2 * n)).astype(np.int64)))
+    larger = width[np.minimum(n * 4 // 3, len(n)) - 1]
+    assert np.isin(larger / width, (1, 2)).all()
