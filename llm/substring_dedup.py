@@ -15,7 +15,7 @@ can split a hot anchor.
 
 Defined results: a null or empty text has no words; texts of fewer than SPAN words
 stay; rows with a null doc_id stay whole and remove nothing; rows that repeat a
-doc_id must repeat its text and get equal results; keys of any orderable type; an
+doc_id are one document, each losing words of its own text; keys of any orderable type; an
 empty table gives an empty result; further columns are not returned.
 """
 
@@ -78,23 +78,24 @@ def kind(df: DataFrame, column: str) -> str:
 
 def _find_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        buf, bounds = texts_as_bytes(batch.column(1))
+        buf, bounds = texts_as_bytes(batch.column("text"))
         for a, b in blocks(bounds):
-            found = anchor_blocks(ids[a:b], buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, type=batch.column(0).type if k == "doc" else None) for k, v in found.items()})
+            found = anchor_blocks(np.arange(a, b), buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            rows = pa.array(found.pop("doc"))
+            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(rows), "own": batch.column("own").take(rows), **{k: pa.array(v) for k, v in found.items()}})
 
 
 def pack(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and packed: the text compressed, for the joins that carry it."""
+    """key, own (a hash of the text, which tells rows of one key apart) and packed: the text compressed, for the joins that carry it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            packed = [None if t is None else press.compress(t.encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=[key, "packed"])
+            packed = [None if t is None else press.compress(t.encode()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, type=pa.binary())], names=[key, "own", "packed"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind(df, key)}, packed binary")
+    own = F.xxhash64(F.col(f"`{text}`")).alias("own")
+    return df.select(F.col(f"`{key}`"), own, F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind(df, key)}, own long, packed binary")
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -132,30 +133,31 @@ def _block_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, start, end (words, end exclusive): windows, or runs of them, that a document with a smaller id has too."""
+    """doc, own (hash of the text), start, end (words, end exclusive): windows, or runs of them, that a document with a smaller id has too."""
     known = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    own = f"doc {kind(known, 'doc')}"
-    all_blocks = materialize(known.mapInArrow(_find_blocks, f"{own}, {BLOCK_TYPE}"), "dedup-blocks")
+    typed = f"doc {kind(known, 'doc')}"
+    hashed = known.select("doc", F.xxhash64("text").alias("own"), "text")
+    all_blocks = materialize(hashed.mapInArrow(_find_blocks, f"{typed}, own long, {BLOCK_TYPE}"), "dedup-blocks")
     seeds = all_blocks.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), (F.min("content") != F.max("content")).alias("mixed"))
     shared = materialize(seeds.where("least < most").select("anchor", "least", "mixed"), "dedup-seeds")
     joined = materialize(all_blocks.join(shared, "anchor"), "dedup-joined")
     end = F.col("start") + F.col("n") + (SPAN - 1)
-    settled = joined.where("not mixed and doc > least").select("doc", "start", end.alias("end"))
+    settled = joined.where("not mixed and doc > least").select("doc", "own", "start", end.alias("end"))
     # anchors whose blocks differ: one representative, the smallest document, of each distinct block
-    mixed = joined.where("mixed").select("doc", "anchor", "content", "start", "n")
-    kinds = mixed.groupBy("anchor", "content").agg(F.min(F.struct("doc", "start", "n")).alias("r"))
-    kinds = materialize(kinds.select("anchor", "content", F.col("r.doc").alias("first_doc"), F.col("r.start").alias("start"), F.col("r.n").alias("n")), "dedup-kinds")
-    wanted = kinds.groupBy(F.col("first_doc").alias("doc")).agg(F.collect_list(F.struct("start", "n", "anchor", "content")).alias("wanted"))
+    mixed = joined.where("mixed").select("doc", "own", "anchor", "content", "start", "n")
+    kinds = mixed.groupBy("anchor", "content").agg(F.min(F.struct("doc", "own", "start", "n")).alias("r"))
+    kinds = materialize(kinds.select("anchor", "content", F.col("r.doc").alias("first_doc"), F.col("r.own").alias("first_own"), F.col("r.start").alias("start"), F.col("r.n").alias("n")), "dedup-kinds")
+    wanted = kinds.groupBy(F.col("first_doc").alias("doc"), F.col("first_own").alias("own")).agg(F.collect_list(F.struct("start", "n", "anchor", "content")).alias("wanted"))
     texts = pack(known, "doc", "text")
-    asked = texts.join(wanted, "doc")
-    windows = materialize(asked.mapInArrow(_block_windows, f"{own}, {WINDOW_TYPE}"), "dedup-windows")
+    asked = texts.join(wanted, ["doc", "own"])
+    windows = materialize(asked.mapInArrow(_block_windows, f"{typed}, {WINDOW_TYPE}"), "dedup-windows")
     first = windows.groupBy("anchor", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     hit = windows.join(materialize(first.select("anchor", "window", "least"), "dedup-first"), ["anchor", "window"]).where("doc > least")
     places = materialize(hit.groupBy("anchor", "content").agg(F.collect_set("j").alias("js")), "dedup-places")
     members = mixed.join(kinds.select("anchor", "content", "first_doc"), ["anchor", "content"])
-    later = members.where("doc > first_doc").select("doc", "start", end.alias("end"))
+    later = members.where("doc > first_doc").select("doc", "own", "start", end.alias("end"))
     kept = members.where("doc = first_doc").join(places, ["anchor", "content"])
-    single = kept.select("doc", "start", F.explode("js").alias("j")).select("doc", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + SPAN).alias("end"))
+    single = kept.select("doc", "own", "start", F.explode("js").alias("j")).select("doc", "own", (F.col("start") + F.col("j")).alias("start"), (F.col("start") + F.col("j") + SPAN).alias("end"))
     return settled.unionByName(later).unionByName(single)
 
 
@@ -165,7 +167,7 @@ KEPT_TYPE = "n_words long, n_removed long, kept string"
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed and kept (the words that stay, joined by one blank)."""
     with scratch(docs.sparkSession):
-        spans = repeated_spans(docs, key, text).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans = repeated_spans(docs, key, text).groupBy(F.col("doc").alias("__doc"), F.col("own").alias("__own")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         spans = materialize(spans, "dedup-spans", keep=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +187,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             columns = [pa.array([x[i] for x in out], type=t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "n_words", "n_removed", "kept"])
 
-    joined = pack(docs, key, text).join(spans, F.col(f"`{key}`") == F.col("__doc"), "left").select(F.col(f"`{key}`"), "packed", "spans")
+    joined = pack(docs, key, text).join(spans, (F.col(f"`{key}`") == F.col("__doc")) & (F.col("own") == F.col("__own")), "left").select(F.col(f"`{key}`"), "packed", "spans")
     return joined.mapInArrow(run, f"`{key}` {kind(docs, key)}, {KEPT_TYPE}")
 
 

@@ -259,3 +259,12 @@ def test_short_vectors_of_linked_sizes_fold():
     width = np.minimum(jaccard_join.code_bits(n), np.maximum(64, 2 ** np.ceil(np.log2(2 * n)).astype(np.int64)))
     larger = width[np.minimum(n * 4 // 3, len(n)) - 1]
     assert np.isin(larger / width, (1, 2)).all()
+
+
+def test_substring_dedup_judges_each_row_by_its_own_text(spark):
+    from llm import substring_dedup
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, b), (2, a), (3, f"{b} {a}"), (3, b + " end")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == [(1, 60, 0), (2, 60, 0), (2, 60, 60), (2, 60, 60), (3, 61, 60), (3, 120, 120)]
