@@ -266,15 +266,18 @@ def _pivoted(posted: DataFrame, members: DataFrame) -> DataFrame:
     return expanded.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _first_of_equal(posted: DataFrame) -> DataFrame:
-    """The postings without those that the same groups have as another one earlier in the order of elements.
+def _open_tokens(posted: DataFrame, own: DataFrame) -> DataFrame:
+    """token of the postings (token, g, pos) that hold several components, less those that the same groups have as another one
+    earlier in the order of elements.
 
     The first common element of a pair is never left out, and there the pair is met; a passage that many texts share is
     one posting of each text then, not one for each of its shingles.
     """
-    held = posted.groupBy("token").agg(F.bit_xor(F.xxhash64("g")).alias("s"), F.bit_xor(F.xxhash64("g", F.lit("second"))).alias("t"), F.count(F.lit(1)).alias("k"), F.min(F.struct("g", "pos")).alias("m"))
+    span = materialize(own.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "jaccard-spans")
+    same = [F.bit_xor(F.xxhash64("g")).alias("s"), F.bit_xor(F.xxhash64("g", F.lit("second"))).alias("t"), F.count(F.lit(1)).alias("k"), F.min(F.struct("g", "pos")).alias("m")]
+    held = posted.select("token", "g", "pos").join(span, "g").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *same).where("lo < hi")
     first = held.groupBy("s", "t", "k", F.col("m.g").alias("least")).agg(F.min(F.struct("m.pos", "token"))["token"].alias("token"))
-    return posted.join(materialize(first.select("token"), "jaccard-firsts"), "token", "left_semi")
+    return materialize(first.select("token"), "jaccard-several")
 
 
 def _still_apart(posted: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
@@ -286,10 +289,8 @@ def _still_apart(posted: DataFrame, members: DataFrame, found: DataFrame) -> Dat
     # a posting of two groups of one class each holds one pair, which has been tried
     larger = posted.where("held = 2").join(crowd, "g", "left_semi").select("token").distinct()
     open_ = posted.where("held > 2").unionByName(posted.where("held = 2").join(larger, "token", "left_semi"))
-    open_ = _first_of_equal(open_.select("token", "g", "pos", "r1", "r2"))
-    everyone = materialize(open_.unionByName(inside).join(own, "g").drop("g"), "jaccard-everyone")
-    several = everyone.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    apart = materialize(everyone.join(materialize(several, "jaccard-several"), "token"), "jaccard-apart")
+    open_ = open_.select("token", "g", "pos", "r1", "r2").unionByName(inside)
+    apart = materialize(open_.join(_open_tokens(open_, own), "token", "left_semi").join(own, "g").drop("g"), "jaccard-apart")
     columns = ("id", "n", "pos", "r1", "r2", "c", "code")
     left = apart.where(_early()).select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
     right = apart.select("token", *[F.col(c).alias(f"{c}_y") for c in columns])
