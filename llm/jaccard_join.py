@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch, table
 from .sketch import fixed_array
-from .textkernel import blocks, grams, mix, signed, texts_as_bytes, words_of
+from .textkernel import blocks, give_back, grams, mix, signed, texts_as_bytes, words_of
 
 #: Parameters: words of a shingle, least similarity in per cent, pivots of a posting, entries of the count table and of
 #: the membership tables (bits), both of fixed size; bits of the short vectors of sets of up to CODED elements (larger sets
@@ -123,6 +123,7 @@ def _sets(docs: DataFrame, level: np.ndarray | None = None, among: np.ndarray |
             if admitted is not None:
                 batch = batch.filter(pa.array(_maybe(admitted.value, batch.column("key").to_numpy())))
             buf, bounds = texts_as_bytes(batch.column("text"))
+            out: dict = {}
             for a, b in blocks(bounds):
                 owner, h = shingle_sets(buf[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
                 n = np.bincount(owner, minlength=b - a)
@@ -142,6 +143,8 @@ def _sets(docs: DataFrame, level: np.ndarray | None = None, among: np.ndarray |
                     lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values))
                     out |= {"prefix": pa.array(signed(prefix)), "tokens": lists(at, signed(tokens)), "bits": lists(start, bits), "code": lists(*bit_vectors(h, n, code_bits(n)))}
                 yield pa.RecordBatch.from_pydict(out)
+            del batch, buf, bounds, out  # before the next batch is read
+        give_back()
 
     kind = f"{SET_TYPE}, elements array<long>" if among is not None else SET_TYPE if level is None else PREFIX_TYPE
     return docs.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, {kind}")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch
+from .textkernel import give_back
 
 #: Pieces in which an array travels, and arrays that one task merges at most.
 PIECES, MERGED = 64, 64
@@ -31,10 +32,13 @@ def fixed_array(df: DataFrame, width: int, dtype: str, fill: Callable[[np.ndarra
         for batch in batches:
             any_rows |= batch.num_rows > 0
             fill(own, batch)
+            del batch  # before the next one is read
         if any_rows:
             press, part = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() // MERGED
             data = [press.compress(x.tobytes()) for x in np.split(own, PIECES)]
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), type=pa.int32()), "part": pa.array([part] * PIECES, type=pa.int32()), "data": pa.array(data, type=pa.binary())})
+        del own
+        give_back()
 
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         open_, total = zstandard.ZstdDecompressor(), None

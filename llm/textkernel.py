@@ -114,13 +114,17 @@ def leftmost_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def texts_as_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte buffer and the texts' bounds in it; a null is an empty text."""
+    """One byte buffer, that of the column itself, and the texts' bounds in it; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.type not in (pa.string(), pa.large_string()):
+        column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if len(column) == 0:
         return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int32 if column.type == pa.string() else np.int64
+    offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     buf = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -137,3 +141,15 @@ def blocks(bounds: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def give_back() -> None:
+    """Memory that a task has freed, back to the system: its worker stays for later tasks, beside those of other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
