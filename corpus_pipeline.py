@@ -19,14 +19,22 @@ from llm import toxicity as toxicity_model
 from llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows of whole texts that travel to Python at once, in place of Spark's 10000: they bound the memory of a task on both sides.
+BATCH_ROWS = 1000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     model = toxicity_model.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity_model.score_toxicity(docs, model, out="__score").where("__score < 0.5").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return jaccard_join.keep_one_each(docs)
 
 
@@ -35,11 +43,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     clean = secret_scan.redact_secrets(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _in_small_batches(spark)
     return sentencepiece_codec.encode_pieces(docs)
 
 
