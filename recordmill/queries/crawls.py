@@ -11,6 +11,7 @@ from ..functions import trees as TR
 from ..functions import urls as U
 from ..functions import wire as W
 from ..operators import documents as DOC
+from ..operators import enrich as E
 from ..operators import ordered as O
 from ..operators import search as SE
 from ..operators import tables as TB
@@ -213,3 +214,10 @@ def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     pages = F.transform(numbers, lambda i: F.struct((i + 1).alias("page"), F.concat(F.lit("# Part "), (i + 1).cast("string"), F.lit("\n\n"), F.array_join(F.slice(lines, i * 25 + 1, 25), "\n")).alias("markdown")))
     made = DOC.chunk_segments(table(spark, d, "documents").select("doc_id", pages.alias("pages")), "doc_id", "pages")
     return made.select("doc_id", "chunk_no", "start", "end", "first_page", "last_page", "heading", F.sha2("chunk", 256).alias("chunk_sha256"))
+
+
+@query("""SELECT o_orderpriority AS host, CASE WHEN bool_or(o_orderstatus = 'P') THEN max(o_custkey) FILTER (WHERE o_orderstatus = 'P') ELSE max(o_custkey) FILTER (WHERE o_orderstatus = 'O') END AS delay FROM orders GROUP BY o_orderpriority""")
+def crawl_delays(spark: SparkSession, d: str) -> DataFrame:
+    """The delay of each host: of the groups that name the agent, else of those for all agents."""
+    agent = F.when(F.col("o_orderstatus") == "P", "Records").when(F.col("o_orderstatus") == "O", "*").otherwise("other")
+    return E.crawl_delay(table(spark, d, "orders").select(F.col("o_orderpriority").alias("host"), agent.alias("agent"), F.col("o_custkey").alias("delay")), "records")
