@@ -31,6 +31,21 @@ def pay_range(text) -> Column:
     return F.struct(part(1).alias("low"), part(2).alias("high"), currency.alias("currency"))
 
 
+def pay_period(text) -> Column:
+    """hour, day, week, month or year of 'per hour', '/ month', 'a year', 'p.a.', 'annually', 'weekly'; else null."""
+    t = F.lower(col(text))
+    unit = F.regexp_extract(t, r"(?:\bper|/|\ban?)\s*(hour|hr|day|week|wk|month|mo|year|yr|annum)\b", 1)
+    adverb = F.regexp_extract(t, r"\b(hourly|daily|weekly|monthly|yearly|annually|annual|p\.\s?a)\b", 1)
+    found = F.coalesce(F.nullif(unit, F.lit("")), F.nullif(adverb, F.lit("")))
+    out = F.when(found.rlike("^h"), "hour").when(found.rlike("^d"), "day").when(found.rlike("^w"), "week").when(found.rlike("^m"), "month")
+    return out.when(found.rlike("^(y|a|p)"), "year")
+
+
+def affordable(wanted, price, budget) -> Column:
+    """How many of the wanted rows a budget pays for, in whole units; a price of nothing sets no bound."""
+    return F.when(col(price) > 0, F.least(col(wanted).cast("long"), F.greatest(F.floor(col(budget) / col(price)), F.lit(0)).cast("long"))).otherwise(col(wanted).cast("long"))
+
+
 def experience_years(text) -> Column:
     """'3-5 years' to 3; 'any' and 'fresher' to 0."""
     t = F.lower(col(text))

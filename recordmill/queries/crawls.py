@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers as N
 from ..functions import trees as TR
 from ..functions import urls as U
 from ..functions import wire as W
@@ -221,3 +222,12 @@ def crawl_delays(spark: SparkSession, d: str) -> DataFrame:
     """The delay of each host: of the groups that name the agent, else of those for all agents."""
     agent = F.when(F.col("o_orderstatus") == "P", "Records").when(F.col("o_orderstatus") == "O", "*").otherwise("other")
     return E.crawl_delay(table(spark, d, "orders").select(F.col("o_orderpriority").alias("host"), agent.alias("agent"), F.col("o_custkey").alias("delay")), "records")
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'hour' WHEN '2-HIGH' THEN 'week' WHEN '3-MEDIUM' THEN 'month' WHEN '5-LOW' THEN 'year' END AS period,
+  least(o_custkey, CAST(floor(CAST(round(o_totalprice * 100) AS BIGINT) / (1000 + o_custkey)) AS BIGINT)) AS rows_paid FROM orders""")
+def pay_periods(spark: SparkSession, d: str) -> DataFrame:
+    """The period of a pay text, and how many of the wanted rows a budget pays for."""
+    p, amount = F.col("o_orderpriority"), F.col("o_custkey").cast("string")
+    shown = F.when(p == "1-URGENT", F.concat(F.lit("$"), amount, F.lit(" an hour"))).when(p == "2-HIGH", F.concat(amount, F.lit(" EUR weekly"))).when(p == "3-MEDIUM", F.concat(amount, F.lit("K/Month"))).when(p == "5-LOW", F.concat(F.lit("\u20b9"), amount, F.lit("L per annum"))).otherwise(F.concat(amount, F.lit(" once")))
+    return table(spark, d, "orders").select("o_orderkey", N.pay_period(shown).alias("period"), N.affordable("o_custkey", F.lit(1000) + F.col("o_custkey"), F.round(F.col("o_totalprice") * 100).cast("long")).alias("rows_paid"))

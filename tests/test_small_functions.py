@@ -37,6 +37,14 @@ def one(spark):
         (lambda: L.remote(F.array(F.lit("Oslo"))), False),
         (lambda: TR.tolerant(F.lit('{"a": 1, "b": "x"}'), "a int, b int")["a"], 1),
         (lambda: TR.tolerant(F.lit("no json"), "a int")["a"], None),
+        (lambda: N.pay_period(F.lit("12 LPA p.a.")), "year"),
+        (lambda: N.pay_period(F.lit("$30 - $40 / hr")), "hour"),
+        (lambda: N.pay_period(F.lit("paid daily")), "day"),
+        (lambda: N.pay_period(F.lit("a hourglass, per person")), None),
+        (lambda: N.pay_period(F.lit(None).cast("string")), None),
+        (lambda: N.affordable(F.lit(10), F.lit(3), F.lit(20)), 6),
+        (lambda: N.affordable(F.lit(10), F.lit(0), F.lit(0)), 10),
+        (lambda: N.affordable(F.lit(10), F.lit(3), F.lit(-1)), 0),
         (lambda: A.private_ip(F.lit("::1")), True),
         (lambda: A.private_ip(F.lit("FD12:3456::1")), True),
         (lambda: A.private_ip(F.lit("fe80::1")), True),
