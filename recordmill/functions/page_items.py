@@ -37,7 +37,7 @@ class Pick:
     """Text (or an attribute) of the first, last or of all elements at a place below the item; "" is the item itself.
 
     own: only text that stands directly in the element.  outside: not inside such an element of the item.
-    Text keeps line breaks of <br>; a blank text and a missing element or attribute are null (with all: left out).
+    mark: a `^` leads the text of such elements (`sup`).  Text keeps line breaks of <br>; a blank text and a missing element or attribute are null (with all: left out).
     """
 
     at: str = ""
@@ -45,6 +45,7 @@ class Pick:
     which: str = "first"
     own: bool = False
     outside: str = ""
+    mark: str = ""
 
 
 @dataclass(frozen=True)
@@ -57,10 +58,11 @@ class Items:
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "classes", "parent", "children")
 
     def __init__(self, tag: str, attrs: dict, parent: _Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.classes = frozenset(attrs["class"].split()) if "class" in attrs else frozenset()
 
 
 class _Tree(HTMLParser):
@@ -112,7 +114,7 @@ def _chains(place: str) -> tuple:
 
 def _fits(node: _Node, step: tuple) -> bool:
     tag, own_id, classes, attrs = step
-    return (not tag or node.tag == tag) and (not own_id or node.attrs.get("id") == own_id) and (not classes or classes <= set(node.attrs.get("class", "").split())) and all(a in node.attrs for a in attrs)
+    return (not tag or node.tag == tag) and (not own_id or node.attrs.get("id") == own_id) and classes <= node.classes and all(a in node.attrs for a in attrs)
 
 
 def _is_at(node: _Node, chains: tuple, top: _Node) -> bool:
@@ -128,20 +130,21 @@ def _is_at(node: _Node, chains: tuple, top: _Node) -> bool:
     return False
 
 
-def _below(top: _Node) -> Iterator[_Node]:
-    stack = [c for c in reversed(top.children) if isinstance(c, _Node)]
+def _below(top: _Node) -> list[_Node]:
+    out, stack = [], [c for c in reversed(top.children) if isinstance(c, _Node)]
     while stack:
         node = stack.pop()
-        yield node
+        out.append(node)
         stack += [c for c in reversed(node.children) if isinstance(c, _Node)]
+    return out
 
 
-def _found(top: _Node, at: str, outside: str) -> Iterator[_Node]:
+def _found(top: _Node, below: list[_Node], at: str, outside: str) -> Iterator[_Node]:
     if not at:
         yield top
         return
     chains, apart = _chains(at), _chains(outside)
-    for node in _below(top):
+    for node in below:
         if _is_at(node, chains, top):
             up = node
             while apart and up is not top and not _is_at(up, apart, top):
@@ -150,7 +153,7 @@ def _found(top: _Node, at: str, outside: str) -> Iterator[_Node]:
                 yield node
 
 
-def _text(top: _Node, own: bool) -> str | None:
+def _text(top: _Node, own: bool, mark: str) -> str | None:
     out, stack = [], list(reversed(top.children))
     while stack:
         x = stack.pop()
@@ -159,30 +162,29 @@ def _text(top: _Node, own: bool) -> str | None:
         elif x.tag == "br":
             out.append("\n")
         elif not own and x.tag not in ("script", "style"):
-            stack += reversed(x.children)
+            stack += reversed(["^", *x.children] if x.tag == mark else x.children)
     return re.sub(r"[ \t]+\n", "\n", "".join(out).replace("\xa0", " ")).strip() or None
 
 
-def _values(top: _Node, items: Items) -> list[dict]:
+def _values(top: _Node, below: list[_Node], items: Items) -> list[dict]:
     rows = []
-    for node in _found(top, items.at, items.outside):
+    for node in _found(top, below, items.at, items.outside):
+        inner = below if node is top else _below(node)
         row = {}
         for name, f in items.fields.items():
             if isinstance(f, Items):
-                row[name] = _values(node, f)
+                row[name] = _values(node, inner, f)
                 continue
-            take = lambda n, f=f: (n.attrs.get(f.attr) or None) if f.attr else _text(n, f.own)
-            places = _found(node, f.at, f.outside)
+            take = lambda n, f=f: (n.attrs.get(f.attr) or None) if f.attr else _text(n, f.own, f.mark)
+            places = _found(node, inner, f.at, f.outside)
             if f.which == "all":
                 row[name] = [v for v in map(take, places) if v is not None]
-            elif f.which == "last":
-                last = None
-                for last in places:
-                    pass
-                row[name] = None if last is None else take(last)
             else:
-                first = next(places, None)
-                row[name] = None if first is None else take(first)
+                place = next(places, None)
+                if f.which == "last":
+                    for place in places:  # noqa: B007
+                        pass
+                row[name] = None if place is None else take(place)
         rows.append(row)
     return rows
 
@@ -191,7 +193,7 @@ def items_of(html: str | None, items: Items) -> list[dict]:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    return _values(tree.root, items)
+    return _values(tree.root, _below(tree.root), items)
 
 
 def kind_of(items: Items) -> DataType:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import compact
 from ..functions.page_items import Items, Pick, page_items
 from ..functions.text import squash
+from ..storage import Steps
 from ..types import col, join_keys
 from .ordered import first_wins
 
@@ -156,10 +157,11 @@ def channel_feed(channels: DataFrame, pages: DataFrame, keywords: list[str], see
     """(rows, statuses, seen posts of the next run) of a run over `channels` (channel; `input`, what was asked for).
 
     pages: channel, keyword (null without keywords), page_no (0: the landing page) and html.  Rows have `type`: error (with
-    `error`), channel (title, about, subscribers: the landing page's where it has them) and post (with its keyword).  Keywords
-    are searched one after the other, so the plan grows with their number.
+    `error`), channel (title, about, subscribers: the landing page's where it has them) and post (with its keyword).  Pages taken
+    apart, and the rows of each search, are written as tables, which stay for the rows that are read from them.
     """
-    read = read_pages(pages)
+    kept = Steps(channels.sparkSession, "channel-feed")
+    read = kept.put(read_pages(pages))  # each page is taken apart once
     searches = keywords or [None]
     is_search = lambda k: F.col("keyword").eqNullSafe(F.lit(k).cast("string"))
     first = read.where((F.col("page_no") == 1) & is_search(searches[0])).select("channel", "kind", F.col("page.name").alias("title"), F.col("page.about").alias("about"), "subscribers")
@@ -176,7 +178,7 @@ def channel_feed(channels: DataFrame, pages: DataFrame, keywords: list[str], see
     posts = posts_of(read.where("page_no > 0 and kind = 'preview'")).join(open_.select("channel"), "channel", "left_semi")
     out, ends, marks = None, [], []
     for i, k in enumerate(searches):
-        rows = search_posts(posts.where(is_search(k)), out, seen, since, most, streak)
+        rows = kept.put(search_posts(posts.where(is_search(k)), out, seen, since, most, streak))
         ends.append(rows.groupBy("channel").agg(F.max("ended").alias("ended")).withColumn("search", F.lit(i)))
         marks.append(rows)
         fresh = rows.where("fresh").drop("fresh", "ended", "place")

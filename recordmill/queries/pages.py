@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import channels as CH
+from ..operators import filings as FI
+from ..operators import matches as MA
 from ..sources.adapters import table
 
 QUERIES: dict = {}
@@ -90,3 +92,83 @@ SELECT channel, search, coalesce(ended, 'exhausted') AS ended FROM u CROSS JOIN
 def channel_searches(spark: SparkSession, d: str) -> DataFrame:
     """Why each search of each of those channels ended."""
     return _channel_run(spark, d)[1]
+
+
+_MATCHES = """m AS (SELECT o_orderkey AS k, o_custkey % 97 AS a, o_custkey % 89 + 100 AS b, CAST(o_orderdate AS DATE) AS day, o_orderkey % 2 = 1 AS women,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Rome Challenger' WHEN 1 THEN 'Futures Lyon' WHEN 2 THEN 'Davis Cup' ELSE 'Paris' END AS tournament,
+  CASE o_orderkey % 6 WHEN 0 THEN [{'a': 6, 'b': 3, 't': NULL}, {'a': 7, 'b': 6, 't': 4}] WHEN 1 THEN [{'a': 6, 'b': 7, 't': 8}, {'a': 6, 'b': 3, 't': NULL}, {'a': 6, 'b': 0, 't': NULL}] WHEN 2 THEN [{'a': 6, 'b': 4, 't': NULL}, {'a': 2, 'b': 1, 't': NULL}] WHEN 3 THEN [] ELSE [{'a': 7, 'b': 5, 't': NULL}, {'a': 10, 'b': 8, 't': NULL}] END AS sets,
+  100 + CAST(floor(o_totalprice) AS BIGINT) % 400 AS odd FROM orders)"""
+
+
+def _match_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pages of players' seasons, pages of matches): an order is a match, its customer's number gives the players."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    a, b, key = (F.col("o_custkey") % 97).cast("string"), (F.col("o_custkey") % 89 + 100).cast("string"), k.cast("string")
+    tournament = F.when(k % 5 == 0, "Rome Challenger").when(k % 5 == 1, "Futures Lyon").when(k % 5 == 2, "Davis Cup").otherwise("Paris")
+    score = F.when(k % 6 == 0, "6-3, 7-6<sup>4</sup>").when(k % 6 == 1, "6<sup>8</sup>-7, 6-3, 6-0").when(k % 6 == 2, "6-4, 2-1 ret.").when(k % 6 == 3, "w/o").otherwise("7-5, 10-8")
+    player = lambda n: _c('<a href="/player/p', n, '/">P. ', n, "</a>")
+    rows = _c('<tr class="head flags"><td class="t-name">', tournament, '<td></tr><tr class=one><td class="time">', F.date_format("o_orderdate", "dd.MM."), '<td class="t-name">', player(a), " - ", player(b), '<td class="s-color"><span title="', F.when(k % 3 == 0, "Clay").otherwise("?"), '"></span></td><td class=round>', F.when(k % 4 == 0, "final").otherwise("1/16"), '<td class="tl"><a href="/match-detail/?id=', key, '">', score, '</a></td><td class="course">1.50</td><td class="course">2.60</td></tr>')
+    made = o.select((F.col("o_custkey")).alias("player"), F.year("o_orderdate").alias("year"), F.struct(F.col("o_orderdate").alias("at"), k.alias("k"), rows.alias("rows")).alias("r"), (k % 2).alias("sex"))
+    seasons = made.groupBy("player", "sex", "year").agg(F.sort_array(F.collect_list("r"), asc=False).alias("rs"))
+    body = _c('<div class="matches" id="matches-', F.col("year").cast("string"), '-1-data"><table class="result">', F.array_join(F.transform("rs", lambda r: r["rows"]), ""), "</table></div>")
+    people = seasons.groupBy("player", "sex").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("year", body.alias("body")))), lambda x: x["body"]), "").alias("body"))
+    people = people.select("player", _c('<div id="center"><table class="plDetail"><tr><td><h3>X</h3><div class="date">Sex: ', F.when(F.col("sex") == 1, "woman").otherwise("man"), "</div></table>", F.col("body"), "</div>").alias("html"))
+    odd = (100 + F.col("o_totalprice").cast("long") % 400)
+    close, other, opened = (F.format_string("%d.%02d", F.floor(x / 100), x % 100) for x in (odd, odd + 7, odd + 20))
+    # every third page lists the players the other way round
+    turn = lambda x, y: F.when(k % 3 == 0, y).otherwise(x)
+    full = lambda n: _c('<th class="plName"><a href="/player/p', n, '/">Player ', n, "</a></th>")
+    cell = lambda name, value: _c('<td class="', name, '"><div class="odds-in">', value, '<div class="odds-change-div"><table><tr><td>later</td><td class="bold">', value, '</td></tr><tr><td>first</td><td class="bold">', opened, "</td></tr></table></div></div></td>")
+    detail = _c(
+        '<div id="center"><div class="box boxBasic">', F.date_format("o_orderdate", "dd.MM.yyyy"), ", 14:30, <a>", tournament, "</a>, ", F.when(k % 4 == 0, "final").otherwise("round of 16"), F.when(k % 3 == 0, ", clay").otherwise(""), '</div><table class="gDetail"><thead><tr>', turn(full(a), full(b)), "<th>-</th>", turn(full(b), full(a)),
+        "</tr></thead><tbody><tr><th>Singles ranking</th><td class=tr>", turn(a, b), ".</td><td class=tl>", turn(b, a), '.</td></tr></tbody></table><div id="oddsMenu-1-data"><table class="result"><tbody><tr class="head"><td class="first">Bookmaker</td></tr><tr><td class="first"><span class="t">Bets</span></td>',
+        cell("k1", turn(close, other)), cell("k2", turn(other, close)), '</tr><tr class="average"><td class="first">Average</td>', cell("k1", close), cell("k2", close), "</tr></tbody></table></div></div>",
+    )
+    details = o.select(key.alias("match_id"), F.when(k % 10 == 9, "<p>moved</p>").otherwise(detail).alias("html"))
+    return people, details
+
+
+@query(f"""WITH {_MATCHES}, t AS (SELECT *, CASE WHEN tournament LIKE '%Challenger' THEN 'CHALLENGER' WHEN tournament LIKE 'Fut%' THEN CASE WHEN women THEN 'ITF_WOMEN' ELSE 'ITF_MEN' END WHEN tournament LIKE 'Davis%' THEN CASE WHEN women THEN 'OTHER_WOMEN' ELSE 'OTHER_MEN' END WHEN women THEN 'WTA' ELSE 'ATP' END AS tour FROM m)
+SELECT k::VARCHAR AS match_id, day AS date, tournament, tour, 'p' || a AS slug_a, 'p' || b AS slug_b, CASE WHEN k % 10 = 9 THEN 'P. ' || a ELSE 'Player ' || a END AS name_a, CASE WHEN k % 10 = 9 THEN 'P. ' || b ELSE 'Player ' || b END AS name_b, CASE WHEN k % 10 <> 9 THEN a::INTEGER END AS rank_a,
+  CASE WHEN k % 3 = 0 THEN 'clay' END AS surface, CASE WHEN k % 4 = 0 THEN 'F' ELSE 'R16' END AS round, CASE WHEN k % 6 = 3 THEN 'walkover' WHEN k % 6 = 2 THEN 'retired' ELSE 'completed' END AS status, CASE WHEN k % 10 = 9 THEN 'P. ' || a ELSE 'Player ' || a END AS winner_name,
+  array_to_string([s.a || '-' || s.b || coalesce('(' || s.t || ')', '') for s in sets], ' ') AS score, CASE WHEN k % 10 <> 9 THEN 'Bets' END AS bookmaker, CASE WHEN k % 10 <> 9 THEN odd / 100.0 END AS home, CASE WHEN k % 10 <> 9 THEN (odd + 7) / 100.0 END AS away, CASE WHEN k % 10 <> 9 THEN (odd + 20) / 100.0 END AS opened_away
+FROM t WHERE tour NOT LIKE 'OTHER%' AND k % 7 <> 0""")
+def match_details(spark: SparkSession, d: str) -> DataFrame:
+    """New matches of players' seasons on four tours, with what the matches' own pages add."""
+    people, details = _match_pages(spark, d)
+    seen = table(spark, d, "orders").where(F.col("o_orderkey") % 7 == 0).select(F.col("o_orderkey").cast("string").alias("match_id"))
+    listed = MA.read_seasons(people, "player")
+    wanted = MA.emitted_matches(listed, ["CHALLENGER", "ITF_MEN", "ITF_WOMEN", "ATP", "WTA"], seen, "match_id", "date", ["match_id"], 2**62)
+    m = MA.with_details(wanted, MA.read_details(details), "match_id")
+    first = F.get("odds", F.lit(0))
+    return m.select("match_id", "date", "tournament", "tour", "slug_a", "slug_b", "name_a", "name_b", "rank_a", "surface", "round", "status", "winner_name", "score", first["bookmaker"].alias("bookmaker"), first["home"].alias("home"), first["away"].alias("away"), first["opened_away"].alias("opened_away"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS filed, CAST(floor(o_totalprice) AS BIGINT) AS amount, list_extract(['Biotechnology', 'Pooled Investment Fund', 'Computers', 'Restaurants'], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS industry FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'),
+o AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'skippedSeen' WHEN k % 11 = 0 OR k % 13 = 0 THEN 'failed' WHEN k % 4 IN (0, 2) AND k % 3 <> 0 AND (k % 7 = 0 OR k % 17 <> 0 AND amount >= 50000) THEN 'emitted' ELSE 'skippedFilter' END AS outcome FROM f),
+n AS (SELECT *, CASE WHEN outcome = 'emitted' THEN CAST(sum(CASE WHEN outcome = 'emitted' THEN 1 ELSE 0 END) OVER w AS BIGINT) END AS nth, sum(CASE WHEN outcome = 'emitted' THEN 1 ELSE 0 END) OVER (ORDER BY filed DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o WINDOW w AS (ORDER BY filed DESC, k))
+SELECT k::VARCHAR AS accession, filed, CASE WHEN before >= 150 THEN 'notReached' ELSE outcome END AS outcome, CASE WHEN before < 150 OR before IS NULL THEN nth END AS nth, CASE WHEN r THEN 'Issuer ' || k || ' & Co' END AS issuer, CASE WHEN r THEN CASE WHEN k % 4 = 1 THEN 'Banking & Financial Services' WHEN k % 4 = 0 THEN 'Health Care' WHEN k % 4 = 2 THEN 'Technology' ELSE 'Restaurants' END END AS industry_category,
+  CASE WHEN r AND k % 7 <> 0 AND k % 17 <> 0 THEN amount::DOUBLE END AS amount, CASE WHEN r THEN k % 7 = 0 END AS indefinite, CASE WHEN r THEN k % 3 = 0 END AS amendment, CASE WHEN r THEN CASE WHEN k % 2 = 0 THEN 'Equity,Other: Tokens' ELSE 'Debt' END END AS securities, CASE WHEN r THEN CASE WHEN k % 2 = 0 THEN 'No Revenues' ELSE '$1 - $5' END END AS size_range, CASE WHEN r THEN 'Ann Lee:Director+Officer' END AS people
+FROM (SELECT *, outcome IN ('emitted', 'skippedFilter') AS r FROM n)""")
+def filings_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Four years of filings, an order each, listed twice in part: what a run of at most 150 makes of each of them."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    key, even = k.cast("string"), k % 2 == 0
+    listed = o.select(key.alias("accession"), F.when(k % 3 == 0, "D/A").otherwise("D").alias("form_type"), F.col("o_orderdate").cast("date").alias("filed"), k.alias("place"))
+    listed = listed.unionByName(listed.where(F.col("place") % 6 == 0).withColumn("place", F.col("place") + 1_000_000_000_000))
+    industry = F.element_at(F.array(*map(F.lit, ("Biotechnology", "Pooled Investment Fund", "Computers", "Restaurants"))), (k % 4 + 1).cast("int"))
+    total = F.when(k % 7 == 0, "Indefinite").when(k % 17 == 0, "").otherwise(F.concat(F.lit("$"), F.format_number(F.floor("o_totalprice"), 0)))
+    root = F.when(k % 13 == 0, "other").otherwise("edgarSubmission")
+    xml = _c(
+        '<?xml version="1.0"?>\n<', root, "><submissionType>D</submissionType><primaryIssuer><cik>000", key, "</cik><entityName> Issuer ", key, " &amp; Co </entityName><entityType>Other</entityType></primaryIssuer><relatedPersonsList><relatedPersonInfo><relatedPersonName><firstName>Ann</firstName><middleName>-</middleName><lastName>Lee</lastName></relatedPersonName>",
+        "<relatedPersonRelationshipList><relationship>Director</relationship><relationship>Officer</relationship></relatedPersonRelationshipList></relatedPersonInfo></relatedPersonsList><offeringData><industryGroup><industryGroupType>", industry, "</industryGroupType></industryGroup><issuerSize>",
+        F.when(even, "<revenueRange>No Revenues</revenueRange>").otherwise("<aggregateNetAssetValueRange>$1 - $5</aggregateNetAssetValueRange>"), "</issuerSize><typeOfFiling><newOrAmendment><isAmendment>", F.when(k % 3 == 0, "true").otherwise("false"), "</isAmendment></newOrAmendment></typeOfFiling><typesOfSecuritiesOffered>",
+        F.when(even, "<isEquityType>true</isEquityType><isOtherType>true</isOtherType><descriptionOfOtherType>Tokens</descriptionOfOtherType>").otherwise("<isEquityType>false</isEquityType><isDebtType>true</isDebtType>"), "</typesOfSecuritiesOffered><offeringSalesAmounts><totalOfferingAmount>", total, "</totalOfferingAmount></offeringSalesAmounts></offeringData>",
+        F.when(k % 11 == 0, "<").otherwise(_c("</", root, ">")),
+    )
+    documents = o.select(key.alias("accession"), xml.alias("xml"))
+    seen = listed.where(F.col("accession").cast("long") % 5 == 0)
+    run = FI.filings_run(listed, documents, seen, ("1996-01-01", "1999-12-31"), FI.wanted_filing("new", ["health care", "Computers"], False, 50000.0), 150)
+    read = lambda c: F.when(~F.col("failed"), c)
+    people = F.array_join(F.transform("people", lambda p: F.concat_ws(":", p["name"], F.array_join(p["roles"], "+"))), ";")
+    return run.select("accession", "filed", "outcome", "nth", *[read(F.col(c)).alias(c) for c in ("issuer", "industry_category", "amount", "indefinite", "amendment")], read(F.array_join("securities", ",")).alias("securities"), read(F.col("size_range")).alias("size_range"), read(people).alias("people"))

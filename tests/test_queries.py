@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from recordmill.queries import crawls, feeds, pipelines, records, services, texts
+from recordmill.queries import crawls, feeds, pages, pipelines, records, services, texts
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = {**feeds.QUERIES, **texts.QUERIES, **pipelines.QUERIES, **records.QUERIES, **crawls.QUERIES, **services.QUERIES}, {**feeds.SQL, **texts.SQL, **pipelines.SQL, **records.SQL, **crawls.SQL, **services.SQL}
+QUERIES, SQL = {**feeds.QUERIES, **texts.QUERIES, **pipelines.QUERIES, **records.QUERIES, **crawls.QUERIES, **services.QUERIES, **pages.QUERIES}, {**feeds.SQL, **texts.SQL, **pipelines.SQL, **records.SQL, **crawls.SQL, **services.SQL, **pages.SQL}
 
 
 @pytest.fixture(scope="module")
