@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import money
 from ..functions.text import squash
+from ..storage import Steps
 from ..types import col
 from .ordered import first_wins, placed
 from .records import address, flags_to_labels
@@ -159,6 +160,7 @@ def filings_run(listed: DataFrame, documents: DataFrame, seen: DataFrame, window
     fresh = read_filings(marked.where("not __seen").join(documents.groupBy("accession").agg(F.max("xml").alias("xml")), "accession", "left"))
     fresh = fresh.withColumn("outcome", F.when(F.col("failed"), "failed").when(keep, "emitted").otherwise("skippedFilter"))
     rows = fresh.unionByName(marked.where("__seen").withColumn("outcome", F.lit("skippedSeen")), allowMissingColumns=True).drop("__seen")
+    rows = Steps(listed.sparkSession, "filings-run").put(rows)  # each document is read once; the table stays for the rows that are read from it
     # places of all rows by day, then the number of those to be emitted up to each: days hold the windows
     numbered = placed(rows.where("outcome = 'emitted'"), [], [(F.col("filed"), True)], [F.col("place")], "nth").select("accession", "nth")
     rows = rows.join(numbered, "accession", "left")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from recordmill.functions import page_items as PI
 from recordmill.operators import channels as CH
+from recordmill.operators import filings as FI
+from recordmill.operators import matches as MA
 
 
 def test_page_items_places():
@@ -88,3 +90,47 @@ def test_closed_channels_and_messages(spark):
     assert [tuple(r) for r in status.collect()] == [("a", 0, "exhausted")] and [tuple(r) for r in seen.collect()] == [("a", 1)]
     again = CH.channel_feed(asked, pages, [], seen, None, 10)[0]
     assert again.where("type = 'post'").count() == 0
+
+
+def test_sets_and_summaries(spark):
+    rows = [("7<sup>7</sup>-6, 6-3", 1, "completed", "7-6(7) 6-3"), ("6-6<sup> 5 </sup>, x, 3-6", 2, "completed", "6-6(5) 3-6"), ("2-1", 1, "retired", "2-1"), ("", None, "walkover", ""), (None, None, "walkover", ""), ("<b>10-8</b>", 1, "completed", "10-8"), ("1-6, 6-1", None, "completed", "1-6 6-1")]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string").withColumn("sets", MA.markup_sets("t")).withColumn("s", MA.summary(F.col("sets")))
+    for r in df.collect():
+        assert tuple(r["s"]) == rows[r["i"]][1:], r
+    given = df.where("i = 3").select(MA.summary(F.col("sets"), F.lit(None).cast("int"), F.lit(1)).alias("s")).first()["s"]
+    assert given["winner"] == 2 and given["status"] == "walkover"
+
+
+def test_tours(spark):
+    rows = [("Rome Challenger", False, None, "CHALLENGER"), ("Lyon", True, "/lyon-challenger/", "CHALLENGER"), ("ITF W15", True, None, "ITF_WOMEN"), ("Futures 2", False, None, "ITF_MEN"), ("Laver Cup", False, None, "OTHER_MEN"), ("Youthful", True, None, "WTA"), (None, False, None, "ATP"), ("Twitfield", False, None, "ATP")]
+    df = spark.createDataFrame(rows, "name string, women boolean, url string, want string")
+    assert df.where(MA.tour_of("name", "women", "url") != F.col("want")).count() == 0
+
+
+def test_details_turned_broken_and_absent(spark):
+    page = '<div id="center"><div class="boxBasic">01.02.2024, 9:05, Town, qualification, final, grass</div><table class="gDetail"><thead><tr><th class="plName"><a href="/player/bb/">Bo B</a></th><th class="plName"><a href="/player/aa/">Al A</a></th></tr></thead></table><div id="oddsMenu-1-data"><table class="result"><tr><td class="first">One</td><td class="k1"><div class="odds-in">1.20</div></td><td class="k2"><div class="odds-in">-<div class="odds-change-div"><table><tr><td class="bold">4.0</td></tr><tr><td class="bold">5.5</td></tr></table></div></div></td></tr><tr><td class="first">Two</td><td class="k1"></td><td class="k2"></td></tr></table></div></div>'
+    details = MA.read_details(spark.createDataFrame([(1, page), (2, "<p>"), (3, None)], "k int, html string"))
+    read = {r["k"]: r for r in details.collect()}
+    assert read[2]["broken"] and read[3]["broken"] and not read[1]["broken"]
+    assert str(read[1]["date"]) == "2024-02-01" and read[1]["time"] == "9:05" and read[1]["surface"] == "grass"
+    matches = spark.createDataFrame([(1, "aa", "bb", "A.", "B.", 1, None), (2, "cc", "dd", "C.", "D.", 2, "clay"), (4, "ee", None, "E.", None, None, None)], "k int, slug_a string, slug_b string, name_a string, name_b string, winner int, surface string")
+    got = {r["k"]: r for r in MA.with_details(matches, details, "k").collect()}
+    assert (got[1]["name_a"], got[1]["name_b"], got[1]["winner_name"], got[1]["surface"]) == ("Al A", "Bo B", "Al A", "grass")
+    assert [tuple(o) for o in got[1]["odds"]] == [("One", None, 1.2, 5.5, None)]
+    assert got[2]["winner_name"] == "D." and got[2]["odds"] == [] and got[2]["surface"] == "clay" and got[4]["winner_name"] is None
+
+
+def test_filing_fields_and_run(spark):
+    xml = "<x:edgarSubmission xmlns:x='u'><submissionType>D/A</submissionType><primaryIssuer><yearOfInc><overFiveYears>true</overFiveYears></yearOfInc></primaryIssuer><offeringData><offeringSalesAmounts><isIndefinite>TRUE</isIndefinite></offeringSalesAmounts><investors><hasNonAccreditedInvestors>false</hasNonAccreditedInvestors></investors><salesCompensationList><recipient><recipientName>None</recipientName></recipient><recipient><associatedBDName>Deal</associatedBDName></recipient></salesCompensationList></offeringData></x:edgarSubmission>"
+    day = dt.date(2024, 1, 1)
+    listed = spark.createDataFrame([("a", "D", day, 1), ("b", "D", day, 0), ("c", "D", day + dt.timedelta(1), 5), ("c", "D", day + dt.timedelta(1), 7), ("d", "D", day, 3), ("e", "D", dt.date(2020, 1, 1), 0), ("f", "D", day, 2), ("g", "D", day, 4)], "accession string, form_type string, filed date, place long")
+    documents = spark.createDataFrame([("a", xml), ("b", "<edgarSubmission><a>"), ("c", xml), ("d", xml), ("g", xml)], "accession string, xml string")
+    seen = spark.createDataFrame([("g",)], "accession string")
+    run = {r["accession"]: r for r in FI.filings_run(listed, documents, seen, ("2024-01-01", "2024-12-31"), FI.wanted_filing("amendment", least=1e12), 2).collect()}
+    assert {k: (r["outcome"], r["nth"]) for k, r in run.items()} == {"c": ("emitted", 1), "a": ("emitted", 2), "b": ("failed", None), "f": ("notReached", None), "d": ("notReached", None), "g": ("notReached", None)}
+    a = run["a"]
+    assert a["amendment"] and a["within_five_years"] is False and a["indefinite"] and a["not_accredited"] == 0 and a["amount"] is None and [s["dealer"] for s in a["sellers"]] == ["Deal"] and a["people"] == [] and a["address"] is None
+    amounts = spark.createDataFrame([(False, None), (False, 5.0), (True, None)], "indefinite boolean, amount double").withColumns({"amendment": F.lit(False), "industry": F.lit("REITs and finance"), "industry_category": FI.category_of_industry(F.lit("REITs and finance"))})
+    assert amounts.where(FI.wanted_filing("new", ["REAL estate"], least=1, most=9)).count() == 1 and amounts.where(FI.wanted_filing()).count() == 3
+    none = FI.filings_run(listed.limit(0), documents.limit(0), seen.limit(0), ("2024-01-01", "2024-12-31"), FI.wanted_filing(), 2)
+    assert none.count() == 0
