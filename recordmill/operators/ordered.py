@@ -103,7 +103,7 @@ def fair_share(df: DataFrame, group: str, order: list, cap: int) -> DataFrame:
         return F.struct((a["left"] - quota).alias("left"), F.concat(a["out"], F.array(F.struct(x["g"].alias("g"), quota.alias("quota")))).alias("out"))
 
     quotas = sizes.select(F.explode(F.aggregate("all", start, share)["out"]).alias("q")).select(F.col("q.g").alias("__g"), F.col("q.quota").alias("__quota"))
-    ranked = with_rank(df, [group], order, "__rank")
+    ranked = with_rank(df, [group], order, "__rank").where(F.col("__rank") <= cap)  # no quota is larger: tasks drop the rest before the shuffle
     return ranked.join(quotas, F.col(group).eqNullSafe(F.col("__g"))).where("__rank <= __quota").drop("__g", "__quota", "__rank")
 
 

@@ -117,7 +117,8 @@ i AS (SELECT *, sum(1 - new) OVER (PARTITION BY event_type, island ORDER BY page
 j AS (SELECT *, coalesce(max(run >= 2) OVER (PARTITION BY event_type ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM i)
 SELECT p.event_type, p.event_id, CAST(p.page AS BIGINT) AS page FROM p JOIN j ON p.event_type = j.event_type AND p.page = j.page WHERE NOT gone""")
 def stale_pages_stop(spark: SparkSession, d: str) -> DataFrame:
-    paged = O.batches_of(events(spark, d), ["event_id"], 4, ["event_type"], "page")
+    numbered = O.placed(events(spark, d), ["event_type"], [(F.floor(F.col("event_id") / 1000), False)], ["event_id"], "place")
+    paged = numbered.withColumn("page", O.rows_on_page("place", 4) - 1)
     return O.stop_after_stale_pages(paged, ["event_type"], "page", F.col("value") > 100).select("event_type", "event_id", "page")
 
 
@@ -125,7 +126,8 @@ def stale_pages_stop(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT event_type, min(CASE WHEN ts < TIMESTAMP '2024-01-25' THEN page END) AS last FROM p GROUP BY event_type)
 SELECT p.event_id, p.event_type, CAST(page AS BIGINT) AS page FROM p JOIN c USING (event_type) WHERE last IS NULL OR page <= last""")
 def page_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    paged = O.batches_of(events(spark, d), [F.col("ts").desc(), "event_id"], 50, ["event_type"], "page")
+    numbered = O.placed(events(spark, d), ["event_type"], [(F.to_date("ts"), True)], [F.col("ts").desc(), "event_id"], "place")
+    paged = numbered.withColumn("page", O.rows_on_page("place", 50) - 1)
     return O.cut_at_page(paged, ["event_type"], "page", F.col("ts") < F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id", "event_type", "page")
 
 
