@@ -24,17 +24,24 @@ def leaderboard(df: DataFrame, at: str, period: str, item: str, score: Column, n
 def rolling(df: DataFrame, by: list[str], at: str, hours: int, value: Column, out: str) -> DataFrame:
     """Sum over the last hours up to each row.
 
-    Rows are dealt out by group and bucket of that many hours, each also to the bucket after it, so that a window never
-    leaves its bucket's partition and a group with many rows is worked on by many tasks.  A null time has a null sum.
+    Rows are dealt out by group and bucket of that many hours, so that a group with many rows is worked on by many tasks.
+    A window is the start of its bucket, up to the row, and the end of the bucket before: running sums from either side, of which
+    the second goes over copies moved on by that many hours.  So a row costs the same however many rows its window has.
+    A null time has a null sum.
     """
     length = hours * 3_600_000_000
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     a = df.withColumn("__at", micros).withColumn("__value", value)
-    bucket = F.floor(F.col("__at") / length)
-    a = a.withColumn("__bucket", F.explode_outer(F.when(F.col("__at").isNotNull(), F.array(bucket, bucket + 1)))).withColumn("__own", F.coalesce(F.col("__bucket") == bucket, F.lit(True)))
-    w = Window.partitionBy(*by, "__bucket").orderBy("__at").rangeBetween(-length, 0)
-    summed = a.withColumn(out, F.when(F.col("__at").isNotNull(), F.sum("__value").over(w)))
-    return summed.where("__own").drop("__at", "__value", "__bucket", "__own")
+    kind = a.select(F.sum("__value").alias("s")).schema["s"].dataType
+    a = a.withColumn("__moved", F.explode_outer(F.when(F.col("__at").isNotNull(), F.array(F.lit(False), F.lit(True)))))
+    a = a.withColumn("__at", F.when(F.col("__moved"), F.col("__at") + length).otherwise(F.col("__at")))
+    a = a.withColumn("__bucket", F.floor(F.col("__at") / length))
+    w = Window.partitionBy(*by, "__bucket")
+    up_to, from_on = (w.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("__at").asc(), F.col("__at").desc()))
+    own, moved = F.sum(F.when(~F.col("__moved"), F.col("__value"))).over(up_to), F.sum(F.when(F.col("__moved"), F.col("__value"))).over(from_on)
+    both = a.withColumn("__first", own).withColumn("__second", moved).where(~F.coalesce("__moved", F.lit(False)))
+    total = F.coalesce(F.col("__first") + F.col("__second"), "__first", "__second").cast(kind)
+    return both.withColumn(out, F.when(F.col("__at").isNotNull(), total)).drop("__at", "__value", "__moved", "__bucket", "__first", "__second")
 
 
 def anchored_batches(terms: DataFrame, term: str, order: str, size: int = 5) -> DataFrame:

@@ -170,3 +170,20 @@ def test_state_keys_and_second_cycles(spark):
     emitted, seen = job.run(rows([(1, 5, "x"), (2, 6, "y"), (3, 4, "x")]), seen)
     assert sorted(r["k"] for r in emitted.collect()) == [2, 3]
     assert {(r["k"], r["f"]) for r in seen.collect()} == {(1, "x"), (2, "y")}  # the returning key stays recent, 3 is older
+
+
+def test_rolling_sums_run_from_both_ends_of_buckets(spark):
+    from datetime import datetime, timedelta
+
+    from recordmill.operators import series as S
+
+    start = datetime(2024, 1, 1)
+    hours = [0, 0, 1, 5, 5.5, 6, 6, 11.9, 12, 13, 30, None, None]
+    rows = [(g, i, None if h is None else start + timedelta(hours=h), None if i % 4 == 3 else i + 1) for g in ("a", None) for i, h in enumerate(hours)]
+    got = S.rolling(spark.createDataFrame(rows, "g string, i int, at timestamp, v long"), ["g"], "at", 6, F.col("v"), "s")
+    near = lambda g, t: [w for h, _, u, w in rows if h == g and u and w is not None and t - timedelta(hours=6) <= u <= t]
+    want = {(g, i): (sum(near(g, t)) if t and near(g, t) else None) for g, i, t, _ in rows}
+    assert got.columns == ["g", "i", "at", "v", "s"]
+    assert {(r.g, r.i): r.s for r in got.collect()} == want and got.count() == len(rows)
+    # a frame that moves at both ends is summed anew for every row
+    assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
