@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.listings import round_code
 from ..functions.page_items import Items, Pick, page_items
 from ..functions.text import squash
+from ..storage import Steps
 from ..types import col, number
 from .ordered import first_wins, placed
 
@@ -195,8 +196,10 @@ def read_seasons(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 def emitted_matches(listed: DataFrame, tours: list[str], seen: DataFrame, key: str, day: str, order: list, most: int) -> DataFrame:
     """The listing of a run: matches of the tours wanted, each once (where it was listed first, latest day first), that no run before emitted, up to `most`, with their place.
 
-    Places are counted by day and then moved on, so that no task holds more than a day.
+    Places are counted by day and then moved on, so that no task holds more than a day.  The rows are written as a table first, as
+    both sizes of days and places are taken from them and pages should be taken apart once; it stays for the rows that are read from it.
     """
     wanted = first_wins(listed.where(F.col("tour").isin(tours)), [key], [F.col(day).desc_nulls_last(), *order])
     fresh = wanted.join(seen.select(F.col(key).alias("__seen")).distinct(), F.col(key).eqNullSafe(F.col("__seen")), "left_anti")
+    fresh = Steps(listed.sparkSession, "matches").put(fresh)
     return placed(fresh, [], [(F.col(day), True)], order, "place").where(F.col("place") <= most)

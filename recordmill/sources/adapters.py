@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over the session's shuffle partitions: narrow rows ahead of a step that costs much for each, as a small file is read by few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @dataclass(frozen=True)
 class Adapter:
     """How one source is read: its columns by role, a base filter and the way to the common record."""

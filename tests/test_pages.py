@@ -134,3 +134,32 @@ def test_filing_fields_and_run(spark):
     assert amounts.where(FI.wanted_filing("new", ["REAL estate"], least=1, most=9)).count() == 1 and amounts.where(FI.wanted_filing()).count() == 3
     none = FI.filings_run(listed.limit(0), documents.limit(0), seen.limit(0), ("2024-01-01", "2024-12-31"), FI.wanted_filing(), 2)
     assert none.count() == 0
+
+
+def test_pages_are_read_once_by_all_partitions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from recordmill.functions.page_items import Items, Pick, items_of, page_items
+    from recordmill.operators import matches as MA
+    from recordmill.queries import pages as Q
+
+    # a filter on what was read stays behind the reading; before, it took each page apart a second time
+    read = spark.createDataFrame([("<p>a</p>",), ("<b>c</b>",)], "html string").withColumn("x", page_items(F.col("html"), Items("", {"p": Pick("p")})))
+    kept = read.where(F.col("x")[0]["p"].isNotNull())
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("found(") == 1 and [r.html for r in kept.collect()] == ["<p>a</p>"]
+    # narrow rows are dealt out ahead of the reading, whatever files they come from
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        _, details = Q._match_pages(spark, "/root/testdata/sf0.001")
+        assert MA.read_details(details).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    # plain markup by one pattern, the rest by the parser: the same rows
+    items = Items("li", {"text": Pick(), "ref": Pick("a", attr="href"), "last": Pick(".k, b", which="last"), "all": Pick("b", which="all", outside="i")})
+    plain = "<ul><li class='k'>a &amp; <a href=\"x?a=1&amp;b=2\">y</a><br/><b>1</b><i><b>2</b></i><li>z<b class=k>3</b></ul>"
+    assert items_of(plain, items) == items_of("<!-- no plain markup -->" + plain, items) == [
+        {"text": "a & y\n12", "ref": "x?a=1&b=2", "last": "2", "all": ["1"]},
+        {"text": "z3", "ref": None, "last": "3", "all": ["3"]},
+    ]
+    for odd in ("<li><a href=x/>1</li>", "<li>a < b<script><b>x</b></script>", "<li a='1'b=2>x", "<LI>x</LI >"):
+        assert items_of(odd, items) == items_of("<!---->" + odd, items)
