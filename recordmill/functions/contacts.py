@@ -32,8 +32,9 @@ def is_role_email(email, site: str | None = None) -> Column:
 def company_email(text, site) -> Column:
     """The first role mailbox of the own domain, else the first role mailbox."""
     role = F.filter(emails(text), lambda e: is_role_email(e))
-    own = F.filter(role, lambda e: F.endswith(e, F.concat(F.lit("@"), col(site))))
-    return F.coalesce(F.get(own, F.lit(0)), F.get(role, F.lit(0)))
+    own = lambda found: F.get(F.filter(found, lambda e: F.endswith(e, F.concat(F.lit("@"), col(site)))), F.lit(0))
+    # as the only item of an array the addresses are looked for once, not in each of their uses
+    return F.get(F.transform(F.array(role), lambda found: F.coalesce(own(found), F.get(found, F.lit(0)))), F.lit(0))
 
 
 def vat_id(text) -> Column:

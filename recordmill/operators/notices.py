@@ -39,7 +39,8 @@ BY_CODE = {"+49": "DE", "+43": "AT", "+41": "CH", "+33": "FR", "+31": "NL", "+39
 
 
 def _part(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """What the pattern finds, or null; as the only item of an array it is looked for once (nullif writes its first argument twice)."""
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda x: x != ""), F.lit(0))
 
 
 def _label_only(line: Column, label: str) -> Column:
@@ -118,7 +119,8 @@ def company_fields(df: DataFrame, lines: str, site: str | None = None) -> DataFr
             _part(line, r"(?i:\bSIRE[NT])[^0-9]{0,10}(\d{3} ?\d{3} ?\d{3})"),
         ]
 
-    phone = lambda label: lambda line, before: [F.when(F.length(F.regexp_replace(v, r"\D", "")).between(6, 16), v) for v in _labelled(line, before, label, NUMBER)]
+    sized = lambda v: F.get(F.filter(F.array(v), lambda x: F.exists(F.array(F.length(F.regexp_replace(x, r"\D", ""))), lambda n: n.between(6, 16))), F.lit(0))
+    phone = lambda label: lambda line, before: [sized(v) for v in _labelled(line, before, label, NUMBER)]
     own = own.withColumns({"__name": _best(at, head, name), "__vat": _best(at, head, vat), "__reg": _best(at, head, register), "__phone": _best(at, head, phone(r"tel(?:efon|ephone)?|tél(?:éphone)?|phone|fon")), "__fax": _best(at, head, phone(r"(?:tele)?fax"))})
 
     # an address: a segment of postal code and city, the street in the segment before it

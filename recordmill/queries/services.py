@@ -11,7 +11,7 @@ from ..operators import ordered as O
 from ..operators import state as ST
 from ..operators import transcripts as TR
 from ..sources import recorded as RP
-from ..sources.adapters import table
+from ..sources.adapters import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -98,7 +98,7 @@ def _notices(spark: SparkSession, d: str) -> DataFrame:
     text = F.lit(None).cast("array<string>")
     for i, layout in enumerate(layouts):
         text = F.when(key % 8 == i, layout).otherwise(text)
-    return table(spark, d, "customer").select("c_custkey", text.alias("lines"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_name")).select("c_custkey", text.alias("lines"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_custkey % 8 AS k, c_custkey::VARCHAR AS n, lpad(c_custkey::VARCHAR, 9, '0') AS d9, replace(c_name, '#', ' ') AS name, 'Weg ' || (1 + c_custkey % 90) AS weg, (10000 + c_custkey % 80000)::VARCHAR AS post, (1000 + c_custkey % 8000)::VARCHAR AS small, (1000000 + c_custkey)::VARCHAR AS tel FROM customer),

@@ -200,3 +200,23 @@ def test_a_stream_reads_the_same_rows_and_a_restart_repeats_none(spark, tmp_path
     assert read(spark.read.parquet(out)) == read(RP.read_pages(spark, str(pages), mode=mode)) and spark.read.parquet(out).count() == 6
     run()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_notices_are_dealt_out_and_patterns_looked_for_once(spark):
+    from pyspark.sql import functions as F
+
+    from recordmill.functions import contacts as C
+    from recordmill.operators import notices as NO
+    from recordmill.queries import services as Q
+
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        assert Q.company_notices(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    df = spark.createDataFrame([("HRB 7, info@a.de, post@b.de", "b.de"), ("x", "b.de"), (None, None), ("info@a.de", None)], "t string, site string")
+    for c in (NO._part(F.col("t"), r"(HRB \d+)"), C.company_email("t", "site")):
+        plan = df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_extract(") + plan.count("regexp_extract_all(") == 1
+    got = df.select(NO._part(F.col("t"), r"(HRB \d+)").alias("p"), C.company_email("t", "site").alias("e")).collect()
+    assert [(r.p, r.e) for r in got] == [("HRB 7", "post@b.de"), (None, None), (None, None), (None, "info@a.de")]
