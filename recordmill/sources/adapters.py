@@ -119,8 +119,12 @@ def private_ip(ip: Column) -> Column:
     four = F.coalesce(F.nullif(F.regexp_extract(shown, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1), F.lit("")), shown)
     n = F.aggregate(F.split(four, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.try_cast("long"))
     blocks = [(0, 8), (10 << 24, 8), (127 << 24, 8), ((169 << 24) + (254 << 16), 16), ((172 << 24) + (16 << 16), 12), ((192 << 24) + (168 << 16), 16), ((100 << 24) + (64 << 16), 10)]
-    out = F.lit(False)
-    for start, bits in blocks:
-        out = out | n.between(start, start + (1 << (32 - bits)) - 1)
+
+    def inside(n: Column) -> Column:
+        out = F.lit(False)
+        for start, bits in blocks:
+            out = out | n.between(start, start + (1 << (32 - bits)) - 1)
+        return out
+
     six = shown.rlike(r"^(::1?|(0+:){7}0*[01]|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$")
-    return F.when(shown.contains(":") & ~shown.contains("."), six).otherwise(four.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & out)
+    return F.when(shown.contains(":") & ~shown.contains("."), six).otherwise(four.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.exists(F.array(n), inside))  # the number is worked out once for all ranges

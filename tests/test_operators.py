@@ -187,3 +187,10 @@ def test_rolling_sums_run_from_both_ends_of_buckets(spark):
     assert {(r.g, r.i): r.s for r in got.collect()} == want and got.count() == len(rows)
     # a frame that moves at both ends is summed anew for every row
     assert "RangeFrame, -" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_private_addresses_work_their_number_out_once(spark):
+    df = spark.createDataFrame([("10.0.0.1",), ("11.0.0.1",), ("9.256.0.0",), ("172.31.255.255",), ("172.32.0.0",), ("::ffff:192.168.1.1",), ("fd00::1",), ("x",), (None,)], "ip string")
+    got = df.select("ip", A.private_ip(F.col("ip")).alias("p"))
+    assert [r.p for r in got.collect()] == [True, False, True, True, False, True, True, False, None]
+    assert got._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
