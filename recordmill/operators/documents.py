@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.batches import by_slices, slices
 from ..functions.dates import timecode
 from ..functions.text import decode_entities
 
@@ -127,13 +128,13 @@ def chunk_segments(df: DataFrame, key: str, segments: str, most: int = 1000, ove
 
 
 def per_key(df: DataFrame, key: str, value: str, schema: str, rows_of: Callable[[object], list[tuple]]) -> DataFrame:
-    """key, of whatever type and null too, and the columns of `schema` for each row that rows_of makes of a value, in Arrow batches."""
+    """key, of whatever type and null too, and the columns of `schema` for each row that rows_of makes of a value, in slices of Arrow batches."""
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(i, row) for i, x in enumerate(batch.column(1).to_pylist()) for row in rows_of(x)]
-            keys = batch.column(0).take(pa.array([i for i, _ in found], type=pa.int64()))
+        for part in (part for batch in batches for part in slices(batch)):
+            found = [(i, row) for i, x in enumerate(part.column(1)) for row in rows_of(x.as_py())]
+            keys = part.column(0).take(pa.array([i for i, _ in found], type=pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, *[pa.array([row[j] for _, row in found], type=f.type) for j, f in enumerate(kinds)]], names=[key, *kinds.names])
 
     return df.select(F.col(f"`{key}`"), F.col(f"`{value}`")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {schema}")
@@ -264,6 +265,6 @@ def sentences_of(words: Column, gap: float = 1.5, span: float = 15.0, most: int
 
     @F.arrow_udf("array<struct<start:double,end:double,text:string,speaker:string>>")
     def merged(lists: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else sentences(x, gap, span, most) for x in lists.to_pylist()], type=kind)
+        return by_slices(lists, kind, lambda xs: [None if x is None else sentences(x, gap, span, most) for x in xs])
 
     return merged(words)

@@ -134,3 +134,29 @@ def test_chunks_know_their_pages_and_headings(overlap):
 def test_segments_of_any_key(spark):
     df = spark.createDataFrame([("a", [(1, "# T\n\nx")]), (None, None), ("b", [])], "k string, s array<struct<page:int,markdown:string>>")
     assert [tuple(r)[:-1] for r in DOC.chunk_segments(df, "k", "s").collect()] == [("a", 0, 0, 6, 1, 1, "T")]
+
+
+def test_batches_are_worked_on_in_slices(spark):
+    import pyarrow as pa
+
+    from recordmill.functions import batches as B
+
+    texts = pa.array(["x" * 300_000, None, "", *["y" * 100_000] * 40])
+    given: list[list] = []
+
+    def lengths(xs):
+        given.append(xs)
+        return [None if x is None else len(x) for x in xs]
+
+    assert B.by_slices(texts[1:], pa.int64(), lengths).to_pylist() == [None, 0, *[100_000] * 40]
+    assert len(given) > 3 and max(sum(len(x or "") for x in xs) for xs in given) <= 2 * B.SLICE_BYTES
+    assert B.by_slices(texts[:0], pa.int64(), lengths).to_pylist() == []
+    # one batch of long values leaves a task as several
+    df = spark.createDataFrame([(i, f"<p>{i}</p>" + "z" * 200_000) for i in range(40)], "id long, html string").coalesce(1)
+    sizes = DOC.page_lines(df, "id", "html").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "first": [b.column(0)[0].as_py()]}) for b in bs), "n long, first long")
+    assert sum(r.n for r in DOC.page_lines(df, "id", "html").groupBy().count().selectExpr("count as n").collect()) == 40
+    assert sorted(r.id for r in DOC.page_lines(df, "id", "html").select("id").collect()) == list(range(40)) and sizes.agg({"n": "sum"}).first()[0] == 40
+    words = [[{"start": 0.4 * i, "end": 0.4 * i + 0.4, "text": f"w{k}.", "speaker": "a"} for i in range(3000)] for k in range(60)] + [None, []]
+    spoken = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w array<struct<start:double,end:double,text:string,speaker:string>>").coalesce(1)
+    got = {r.k: r.s for r in spoken.select("k", DOC.sentences_of(F.col("w")).alias("s")).collect()}
+    assert got[60] is None and got[61] == [] and all(len(got[k]) == 3000 and got[k][7]["text"] == f"w{k}." for k in range(60))
