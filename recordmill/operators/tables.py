@@ -130,9 +130,11 @@ def table_cells(df: DataFrame, key: str, html: str) -> DataFrame:
 def grouped_rows(cells: DataFrame, key: str, is_header: Column, header_text: Column) -> DataFrame:
     """key, table_no, row_no, row_id, cells (in order, spanned ones too) and header: the text of the last header row before.
 
-    is_header and header_text are over the columns of table_cells; header rows themselves are left out.
+    is_header and header_text are over the columns of table_cells; header rows themselves are left out.  Cells are dealt out by
+    key once, which serves the rows, their order and whatever follows by key.
     """
-    marked = cells.withColumns({"__head": is_header, "__text": header_text})
+    needed = ["row_id", "col_no", "text", "sup", "href", "cell_class", "spanned"]
+    marked = cells.withColumns({"__head": is_header, "__text": header_text}).select(key, "table_no", "row_no", *needed, "__head", "__text").repartition(F.col(key))
     keys = [key, "table_no", "row_no"]
     rows = marked.groupBy(*keys).agg(
         F.first("row_id").alias("row_id"),

@@ -160,3 +160,11 @@ def test_batches_are_worked_on_in_slices(spark):
     spoken = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w array<struct<start:double,end:double,text:string,speaker:string>>").coalesce(1)
     got = {r.k: r.s for r in spoken.select("k", DOC.sentences_of(F.col("w")).alias("s")).collect()}
     assert got[60] is None and got[61] == [] and all(len(got[k]) == 3000 and got[k][7]["text"] == f"w{k}." for k in range(60))
+
+
+def test_cells_are_shuffled_once(spark):
+    df = spark.createDataFrame([(i % 3, f"<table><tr class=h><td>H{i}<tr id=r><td>a<tr id=rb><td>b</table>") for i in range(3)], "k long, html string")
+    rows = TB.row_pairs(TB.grouped_rows(TB.table_cells(df, "k", "html"), "k", F.col("row_class") == "h", F.col("text")), "k")
+    out = rows.select("k", "header", F.col("cells")[0]["text"].alias("a"), F.col("other")[0]["text"].alias("b")).distinct()
+    assert sorted(map(tuple, out.collect())) == [(i, f"H{i}", "a", "b") for i in range(3)]
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
