@@ -313,6 +313,55 @@ def test_sentencepiece_ids_are_the_models_own(spark):
         assert codec._joined(unit) == codec._joined_by_heap(unit)
 
 
+def test_sentencepiece_joins_the_words_of_a_text_together(monkeypatch):
+    import random
+
+    own, rng, alone = sentencepiece_codec.Codec(sentencepiece_codec.MODEL), random.Random(3), []
+    mark, merged = sentencepiece_codec.MARK, own.merged
+
+    def ids(text):  # every unit by itself
+        out = []
+        for i, part in enumerate(text.split(mark) if text else ()):
+            out += own.mark_bytes if i else ()
+            for unit in re.findall(f"{mark}+[^{mark}]*|[^{mark}]+", (part if i else " " + part).replace(" ", mark)):
+                out += merged(unit)
+        return out
+
+    monkeypatch.setattr(own, "solve", lambda unit: alone.append(unit) or merged(unit))
+    words = ["".join(rng.choice("etaoinsrhldcu") for _ in range(rng.randint(1, 16))) for _ in range(5000)]
+    assert list(own.encode(" ".join(words))) == ids(" ".join(words))
+    assert len(alone) < 1000, len(alone)  # one by one it was every distinct word
+    odd = ["".join(rng.choice(f"abenrst  {mark}\nßé日本\u0000\U0001F600") for _ in range(rng.choice([0, 1, 3, 40, 70, 3000]))) for _ in range(400)]
+    odd += ["".join(rng.choice("anterisß") for _ in range(n)) for n in (8, 9, 16, 17, 32, 33, 63, 64, 65, 66)] + [" " * n + "x" for n in (1, 7, 63, 64, 65, 300)]
+    odd.append(" ".join("".join(rng.choice("anterisß日\U0001F600") for _ in range(rng.randint(1, 66))) for _ in range(30_000)))  # more than one block of each width
+    assert [list(own.encode(t)) for t in odd] == [ids(t) for t in odd]
+
+
+def test_sentencepiece_slices_of_a_column_and_nulls(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sentencepiece_codec, "SLICE_BYTES", 40, raising=False)
+    monkeypatch.setattr(sentencepiece_codec, "SLICE_IDS", 10, raising=False)
+    rows = [None, "", "und die Entwicklung", " ", None, "a▁b  c", "x" * 100, "", "日本語 \U0001F600"]
+    codec = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
+    lists = codec.encode_column(pa.array(rows).slice(1))
+    assert lists.to_pylist() == [None if t is None else list(codec.encode(t)) for t in rows[1:]]
+    assert codec.decode_column(lists).to_pylist() == rows[1:]
+
+
+def test_op5_encodes_a_text_once(spark):
+    df = sentencepiece_codec.op5_sentencepiece(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    calls = re.findall(r"ArrowEvalPython \[(.*?)\], \[", plan)
+    assert len(calls) == 1 and calls[0].count("text#") == 1, calls
+    texts_of = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    codec = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
+    for r in df.limit(30).collect():
+        ids, text = codec.encode(texts_of[r["doc_id"]]), texts_of[r["doc_id"]]
+        assert (r["n_pieces"], r["ids_sha256"], r["lossless"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), True)
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_toxicity_learns_unseen_spellings(spark):
     import random
 
