@@ -67,9 +67,11 @@ def markup_sets(html) -> Column:
 def marked_sets(text) -> Column:
     """As markup_sets, the tie-break marked with ^."""
     form = r"^\s*([0-9]+)(?:\^([0-9]+))?\s*-\s*([0-9]+)(?:\^([0-9]+))?\s*$"
-    part = lambda s, i: F.regexp_extract(s, form, i).try_cast("int")
     sets = F.filter(F.split(F.coalesce(col(text), F.lit("")), ","), lambda s: s.rlike(form))
-    return F.transform(sets, lambda s: F.struct(part(s, 1).alias("a"), part(s, 3).alias("b"), F.coalesce(part(s, 2), part(s, 4)).alias("tiebreak")))
+    parts = F.transform(sets, lambda s: F.split(F.regexp_replace(s, form, "$1,$2,$3,$4"), ","))
+    # a cast that fails costs far more than one that works, so none is tried on a tie-break that is not there
+    part = lambda p, i: F.when(p[i] != "", p[i].try_cast("int"))
+    return F.transform(parts, lambda p: F.struct(p[0].try_cast("int").alias("a"), p[2].try_cast("int").alias("b"), F.coalesce(part(p, 1), part(p, 3)).alias("tiebreak")))
 
 
 def set_over(a: Column, b: Column) -> Column:
@@ -114,21 +116,21 @@ def read_details(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The head of a page says day, time, place and, last, rounds and the surface.  The history under an odd has the newest first, so its last one is where it opened.  Sums of bookmakers are no bookmakers.
     """
-    d = F.get(F.col("__p"), F.lit(0))
-    parts = F.transform(F.split(d["said"], r",\s+"), lambda x: F.trim(x))
+    d, parts, ranking = F.col("__d"), F.col("__parts"), F.col("__ranking")
     day = F.regexp_extract(F.get(parts, F.lit(0)), r"^([0-9]{2}\.[0-9]{2}\.[0-9]{4})$", 1)
     rest = F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0)))
     last = F.when(F.size(rest) > 0, F.element_at(rest, -1))
     surface = surface_of(last)
     rounds = F.array_join(F.when(surface.isNotNull(), F.slice(rest, 1, F.size(rest) - 1)).otherwise(rest), ", ")
-    ranking = F.get(F.filter(d["facts"], lambda f: F.lower(f["name"]).rlike("singles ranking")), F.lit(0))
     rank = lambda i: F.regexp_extract(F.when(i == 0, ranking["first"]).otherwise(ranking["second"]), r"^([0-9]+)\.?$", 1).try_cast("int")
     players = F.transform(d["players"], lambda p, i: F.struct(player_slug(p["href"]).alias("slug"), squash(p["name"]).alias("name"), rank(i).alias("rank")))
     opened = lambda moves: number(F.when(F.size(moves) > 0, F.element_at(moves, -1)))
     name = lambda o: F.coalesce(squash(o["name"]), squash(o["cell"]))
-    listed = F.filter(d["odds"], lambda o: ~F.coalesce(o["class"], F.lit("")).rlike(r"\b(head|average|highest)\b") & name(o).isNotNull() & ~F.lower(name(o)).rlike("^(average|highest)") & (number(o["home"]).isNotNull() | number(o["away"]).isNotNull()))
-    odds = F.transform(listed, lambda o: F.struct(name(o).alias("bookmaker"), number(o["home"]).alias("home"), number(o["away"]).alias("away"), opened(o["home_moves"]).alias("opened_home"), opened(o["away_moves"]).alias("opened_away")))
-    read = pages.withColumn("__p", page_items(F.col(html), DETAIL)).drop(html)
+    single = F.filter(d["odds"], lambda o: ~F.coalesce(o["class"], F.lit("")).rlike(r"\b(head|average|highest)\b"))
+    told = F.transform(single, lambda o: F.struct(name(o).alias("bookmaker"), number(o["home"]).alias("home"), number(o["away"]).alias("away"), opened(o["home_moves"]).alias("opened_home"), opened(o["away_moves"]).alias("opened_away")))
+    odds = F.filter(told, lambda o: o["bookmaker"].isNotNull() & ~F.lower(o["bookmaker"]).rlike("^(average|highest)") & (o["home"].isNotNull() | o["away"].isNotNull()))
+    read = pages.withColumn("__d", F.get(page_items(F.col(html), DETAIL), F.lit(0))).drop(html)
+    read = read.withColumns({"__parts": F.transform(F.split(F.col("__d.said"), r",\s+"), lambda x: F.trim(x)), "__ranking": F.get(F.filter("__d.facts", lambda f: F.lower(f["name"]).rlike("singles ranking")), F.lit(0))})
     return read.withColumns(
         {
             "broken": F.size(F.coalesce(d["players"], F.array())) == 0,
@@ -139,7 +141,7 @@ def read_details(pages: DataFrame, html: str = "html") -> DataFrame:
             "players": players,
             "odds": odds,
         }
-    ).drop("__p")
+    ).drop("__d", "__parts", "__ranking")
 
 
 def with_details(matches: DataFrame, details: DataFrame, key: str) -> DataFrame:
@@ -182,7 +184,7 @@ def read_seasons(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     said = F.lower(F.coalesce(x["score"], F.lit("")))
     out = s.select(
         key, "year", "at", F.nullif(F.regexp_extract(x["link"], r"match-detail/\?id=([0-9]+)", 1), F.lit("")).alias("match_id"), F.try_to_date(F.concat(day, F.col("year").cast("string")), "dd.MM.yyyy").alias("date"),
-        squash(F.when(F.size(above) > 0, F.element_at(above, -1)["text"])).alias("tournament"), "__women", *[squash(F.get(x["names"], F.lit(i))).alias(f"name_{c}") for i, c in enumerate("ab")], *[player_slug(F.get(x["slugs"], F.lit(i))).alias(f"slug_{c}") for i, c in enumerate("ab")],
+        squash(F.try_element_at(above, F.lit(-1))["text"]).alias("tournament"), "__women", *[squash(F.get(x["names"], F.lit(i))).alias(f"name_{c}") for i, c in enumerate("ab")], *[player_slug(F.get(x["slugs"], F.lit(i))).alias(f"slug_{c}") for i, c in enumerate("ab")],
         surface_of(x["surface"]).alias("surface"), round_code(x["round"]).alias("round"), marked_sets(F.regexp_replace(x["score"], r"(?i)[,\s]*\bret\.?.*", "")).alias("sets"), said.rlike(r"w/?o\b|walkover").alias("__walked"), said.rlike(r"\bret").alias("__retired"),
         *[number(F.get(x["odds"], F.lit(i))).alias(f"odds_{c}") for i, c in enumerate("ab")],
     ).where("match_id is not null and date is not null")

@@ -13,7 +13,7 @@ def col(x) -> Column:
 def number(x) -> Column:
     """Finite double or null."""
     v = col(x).try_cast("double")
-    return F.when(F.isnan(v) | v.isin(float("inf"), float("-inf")), None).otherwise(v)
+    return F.when(F.abs(v) < float("inf"), v)  # NaN is beyond all others
 
 
 def whole(x) -> Column:

@@ -181,3 +181,36 @@ def test_posts_and_filings_are_dealt_out(spark, monkeypatch):
         assert posts.count() > 0 and posts._jdf.queryExecution().optimizedPlan().toString().count("Repartition 5, true") >= 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_plain_pages_are_read_without_their_tree(monkeypatch):
+    rng = random.Random(4)
+    places = ["", "p", "li", ".k", "#m", "tr td", "div .x, li", "[href]", "div div", "ul li a"]
+    bits = ["<p>", "</p>", "<div class='x k'>", "</div>", "<ul>", "</ul>", "<li id=m>", "<a href='q?a&amp;b'>", "</a>", "<br>", "<sup>", "</sup>", "<table>", "<tr>", "<td class=k>", "</table>", "<b/>", "one", " \n", "\xa0&amp;", "2 > 1"]
+
+    def some(depth):
+        pick = lambda: PI.Pick(rng.choice(places), attr=rng.choice([None, None, "href"]), which=rng.choice(["first", "last", "all"]), own=rng.random() < 0.2, outside=rng.choice(["", "", *places]), mark=rng.choice(["", "sup"]))
+        return PI.Items(rng.choice(places), {"a": pick(), "b": pick(), **({"sub": some(depth - 1)} if depth else {})}, outside=rng.choice(["", "", *places]))
+
+    cases = [(some(rng.randrange(3)), ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(4)]) for _ in range(100)]
+    cases.append((MA.DETAIL, ["<div id=center><p class=boxBasic>a<sup>1</sup><table class=gDetail>" + "<tr><th>x<td class=tr>1" * n for n in (0, 3)]))
+    want = [[PI.tree_items(page, items) for page in pages] for items, pages in cases]
+    monkeypatch.setattr(PI, "_Tree", None)  # before, every page had a tree made of it
+    for (items, pages), told in zip(cases, want, strict=True):
+        reader = PI.Reader(items)
+        for _ in range(2):  # the second time by layouts that are known
+            assert [PI._as_dicts(PI.rows_of(page, reader), items) for page in pages] == told
+    reader = PI.Reader(PI.Items("li", {"t": PI.Pick(), "href": PI.Pick("a", attr="href")}))
+    reader.LAYOUTS = reader.TAGS = reader.STATES = 2  # what is kept is bounded, and what was given up is worked out again
+    for n in range(30):
+        assert reader.read("<ul>" + "".join(f"<li><a href={i}>{i}" for i in range(n % 7))) == [[str(i), str(i)] for i in range(n % 7)]
+        assert len(reader.layouts) <= 2
+    assert PI.Reader(PI.Items("li")).read("<li>a<!-- c -->") is None and PI.Reader(PI.Items("li")).read("a < b") is None
+
+
+def test_marked_sets_without_and_beyond_numbers(spark):
+    df = spark.createDataFrame([("7-6^4, 6^2-7^9 , 6-0\n, 1-x, 99999999999-6^3, 6^99999999999-7^5",)], "t string")
+    got = df.select(MA.marked_sets("t").alias("s")).first()["s"]
+    assert [tuple(s) for s in got] == [(7, 6, 4), (6, 7, 2), (6, 0, None), (None, 6, 3), (6, 7, 5)]
+    x = spark.createDataFrame([(v,) for v in ("1.5", "NaN", "inf", "-Infinity", "x", None, "-2")], "v string").select(MA.number("v").alias("n")).collect()
+    assert [r.n for r in x] == [1.5, None, None, None, None, None, -2.0]
