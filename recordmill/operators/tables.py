@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from ..functions.batches import slices
+from ..functions.page_items import _ATTRIBUTE, _BETWEEN, _PLAIN_TAG, _RAW
 from ..types import join_keys
 from .documents import per_key
 
@@ -16,34 +23,42 @@ CELL = "table_no int, row_no int, col_no int, text string, sup string, href stri
 
 
 class _Tables(HTMLParser):
-    """Cells of all tables of a page in document order; a nested table is a table of its own, and its text is not that of the cell around it."""
+    """Cells of all tables of a page in document order; a nested table is a table of its own, and its text is not that of the cell around it.
+
+    A cell has the numbers of its texts (-1: a line break) and of the tags that tell its row, its class and its link, so that pages of one layout share their cells.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[dict] = []
         self.cells: list[list] = []
         self.tables = 0
+        self.texts: list[str] = []
+        self.tags: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
-        own = dict(attrs)
+        self.tags.append(dict(attrs))
+        self.begin(tag, len(self.tags) - 1, self.tags[-1])
+
+    def begin(self, tag: str, n: int, own: dict) -> None:
         if tag == "table":
-            self.open.append({"no": self.tables, "row": -1, "col": 0, "down": {}, "cell": None, "id": None, "class": None, "sup": 0})
+            self.open.append({"no": self.tables, "row": -1, "col": 0, "down": {}, "cell": None, "tag": None, "sup": 0})
             self.tables += 1
         elif self.open:
             t = self.open[-1]
             if tag == "tr":
-                self._row(own.get("id"), own.get("class"))
+                self._row(n)
             elif tag in ("td", "th"):
                 if t["row"] < 0 or t["col"] < 0:
-                    self._row(None, None)
-                self._cell(tag == "th", own)
+                    self._row(None)
+                self._cell(tag == "th", n, own)
             elif t["cell"] is not None:
                 if tag == "sup":
                     t["sup"] += 1
                 elif tag == "br":
-                    t["cell"][3] += " "
-                elif tag == "a" and t["cell"][5] is None:
-                    t["cell"][5] = own.get("href")
+                    t["cell"][3].append(-1)
+                elif tag == "a" and t["cell"][5] is None and own.get("href") is not None:
+                    t["cell"][5] = n
 
     def handle_endtag(self, tag):
         if not self.open:
@@ -60,13 +75,23 @@ class _Tables(HTMLParser):
             t["sup"] -= 1
 
     def handle_data(self, data):
+        self.texts.append(data)
+        self.text(len(self.texts) - 1)
+
+    def text(self, n: int) -> None:
         if self.open and (cell := self.open[-1]["cell"]) is not None:
-            cell[4 if self.open[-1]["sup"] else 3] += data
+            cell[4 if self.open[-1]["sup"] else 3].append(n)
+
+    def finish(self) -> list[list]:
+        """Cells by place: table, row and column, texts and raised texts or the cell that spans, link, head, row and cell by number of their tag, spanned."""
+        while self.open:
+            self.handle_endtag("table")
+        return sorted(self.cells, key=lambda c: c[:3])
 
-    def _row(self, row_id, row_class):
+    def _row(self, n):
         self._end_row()
         t = self.open[-1]
-        t["row"], t["col"], t["id"], t["class"] = t["row"] + 1, 0, row_id, row_class
+        t["row"], t["col"], t["tag"] = t["row"] + 1, 0, n
         self._carry()
 
     def _carry(self):
@@ -74,22 +99,22 @@ class _Tables(HTMLParser):
         t = self.open[-1]
         while t["col"] in t["down"]:
             cell, left = t["down"].pop(t["col"])
-            self.cells.append([t["no"], t["row"], t["col"], cell, None, None, cell[6], t["id"], t["class"], cell[9], True])
+            self.cells.append([t["no"], t["row"], t["col"], cell, None, None, cell[6], t["tag"], cell[8], True])
             t["next"] = t.get("next") or {}
             if left > 1:
                 t["next"][t["col"]] = (cell, left - 1)
             t["col"] += 1
 
-    def _cell(self, head, own):
+    def _cell(self, head, n, own):
         t = self.open[-1]
         self._carry()
         span = lambda name, most: min(max(int(own[name]), 1), most) if (own.get(name) or "").strip().isdigit() else 1
         wide, high = span("colspan", MOST_COLUMNS), span("rowspan", 65534)
-        cell = [t["no"], t["row"], t["col"], "", "", None, head, t["id"], t["class"], own.get("class"), False]
+        cell = [t["no"], t["row"], t["col"], [], [], None, head, t["tag"], n, False]
         t["cell"], t["sup"] = cell, 0
         t["next"] = t.get("next") or {}
         for i in range(wide):
-            self.cells.append(cell if i == 0 else [t["no"], t["row"], t["col"], cell, None, None, head, t["id"], t["class"], own.get("class"), True])
+            self.cells.append(cell if i == 0 else [t["no"], t["row"], t["col"], cell, None, None, head, t["tag"], n, True])
             if high > 1:
                 t["next"][t["col"]] = (cell, high - 1)
             t["down"].pop(t["col"], None)
@@ -106,20 +131,120 @@ class _Tables(HTMLParser):
         t["down"], t["next"], t["col"] = t.get("next") or {}, {}, -1
 
 
+class _Reader:
+    """Cells of pages.  Pages repeat their layout: where the cells of a page of plain markup are is worked out once for all pages with the same tags and spans."""
+
+    #: Tags and layouts that are kept at most, the longest tag and layout that is kept.
+    TAGS, LAYOUTS, LONGEST = 10_000, 500, 2000
+
+    def __init__(self) -> None:
+        self.tags: dict[str, tuple] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.layouts: dict[tuple, list] = {}
+
+    def _tag(self, token: str) -> tuple | None:
+        """(its number in layouts, attributes, name, "b" for one that begins, "e" for an end, "be" for both), or None when it is no plain tag."""
+        m = _PLAIN_TAG.fullmatch(token)
+        if m is None or _RAW.match(token):
+            return None
+        tag, attrs, closed, ended = m.groups()
+        found = list(_ATTRIBUTE.finditer(attrs or ""))
+        if any("=" not in x[0] for x in found):
+            return None
+        own = {x[1].lower(): unescape(x[2] or x[3] or x[4] or "") for x in found}
+        name, kind = (ended or tag).lower(), "e" if ended else "be" if closed else "b"
+        telling = (name if name in _TELLING else "", kind, "href" in own, own.get("colspan"), own.get("rowspan"))
+        return self.numbers.setdefault(telling, len(self.numbers)), own, name, kind
+
+    def _told(self, token: str) -> tuple | None:
+        told = self.tags.get(token)
+        if told is not None:
+            return told
+        parts = token.split('"')  # a tag with one attribute is told by the same one without its value
+        frame = parts[0] + '""' + parts[2] if len(parts) == 3 else token
+        told = self.tags.get(frame) if frame != token else None
+        if told is None:
+            told = self._tag(frame)
+            if told is None:
+                return None
+            if len(self.tags) >= self.TAGS:
+                self.tags = {}
+            if len(frame) <= self.LONGEST:
+                self.tags[frame] = told
+        if frame == token:
+            return told
+        if len(told[1]) != 1 or "colspan" in told[1] or "rowspan" in told[1]:
+            told = self._tag(token)
+            if told is not None and len(token) <= self.LONGEST:
+                self.tags[token] = told
+            return told
+        (name,) = told[1]
+        return told[0], {name: unescape(parts[1])}, told[2], told[3]
+
+    def read(self, html: str | None) -> tuple[list[list], list[str], list[dict]]:
+        """Cells by place (as `finish` says), texts and attributes of tags."""
+        html = html or ""
+        pieces = _BETWEEN.split(html)
+        texts, tokens = pieces[::2], pieces[1::2]
+        told = list(map(self.tags.get, tokens))
+        if None in told:
+            told = [one or self._told(token) for one, token in zip(told, tokens)]
+        if None in told or "<" in texts[-1]:
+            page = _Tables()
+            page.feed(html)
+            page.close()
+            return page.finish(), page.texts, page.tags
+        if "&" in html:
+            texts = [unescape(x) if "&" in x else x for x in texts]
+        layout = tuple([x[0] for x in told])
+        cells = self.layouts.get(layout)
+        if cells is None:
+            page = _Tables()
+            for n, (_, own, name, kind) in enumerate(told):  # text n stands ahead of tag n
+                page.text(n)
+                if "b" in kind:
+                    page.begin(name, n, own)
+                if "e" in kind:
+                    page.handle_endtag(name)
+            page.text(len(told))
+            cells = page.finish()
+            if len(self.layouts) >= self.LAYOUTS:
+                self.layouts.pop(next(iter(self.layouts)))
+            if len(layout) <= self.LONGEST:
+                self.layouts[layout] = cells
+        return cells, texts, [x[1] for x in told]
+
+
+_TELLING = frozenset(("table", "tr", "td", "th", "sup", "br", "a"))
+
+
+def _joined(numbers: list[int], texts: list[str]) -> str:
+    """Texts with white space collapsed; a number below 0 is a line break."""
+    text = texts[numbers[0]] if len(numbers) == 1 and numbers[0] >= 0 else "".join([texts[n] if n >= 0 else " " for n in numbers])
+    return " ".join(text.split())
+
+
+def _values(read: tuple[list[list], list[str], list[dict]]) -> list[tuple]:
+    """(table, row, column, text, raised text, link, head, number of the row's tag, class, spanned) of each cell."""
+    cells, texts, tags = read
+    known: dict[int, tuple] = {}  # by the cell that spans
+    out = []
+    for cell in cells:
+        no, row, col, text, sup, href, head, row_tag, tag, spanned = cell
+        if spanned:
+            told = known[id(text)]
+        else:
+            told = (_joined(text, texts), sup and _joined(sup, texts) or None, None if href is None else tags[href]["href"])
+            known[id(cell)] = told
+        out.append((no, row, col, *told, head, row_tag, tags[tag].get("class"), spanned))
+    return out
+
+
 def cells_of(html: str | None) -> list[tuple]:
     """Cells in document order, as CELL says; a place that is covered by a span repeats the cell's text, spanned."""
-    page = _Tables()
-    page.feed(html or "")
-    page.close()
-    while page.open:
-        page.handle_endtag("table")
-    tidy = lambda x: " ".join(x.split())
-    out = []
-    for no, row, col, text, sup, href, head, row_id, row_class, cell_class, spanned in page.cells:
-        if spanned:  # `text` is the cell that spans
-            text, sup, href = text[3], text[4], text[5]
-        out.append((no, row, col, tidy(text), tidy(sup) or None, href, head, row_id, row_class, cell_class, spanned))
-    return sorted(out, key=lambda c: c[:3])
+    read = _Reader().read(html)
+    of = lambda n, name: None if n is None else read[2][n].get(name)
+    return [(*c[:7], of(c[7], "id"), of(c[7], "class"), *c[8:]) for c in _values(read)]
 
 
 def table_cells(df: DataFrame, key: str, html: str) -> DataFrame:
@@ -127,6 +252,71 @@ def table_cells(df: DataFrame, key: str, html: str) -> DataFrame:
     return per_key(df, key, html, CELL, cells_of)
 
 
+_CELL = [("col_no", IntegerType()), ("text", StringType()), ("sup", StringType()), ("href", StringType()), ("head", BooleanType()), ("cell_class", StringType()), ("spanned", BooleanType())]
+_ROW = [("table_no", IntegerType()), ("row_no", IntegerType()), ("row_id", StringType()), ("row_class", StringType()), ("cells", ArrayType(StructType([StructField(*f) for f in _CELL])))]
+_KIND = ArrayType(StructType([StructField(*f) for f in _ROW]))
+
+
+def _column(pages: Iterable[str | None], reader: _Reader, kind: pa.DataType) -> pa.Array:
+    """Rows of pages with their cells, column by column."""
+    rows: tuple = ([], [], [], [])
+    cells: tuple = ([], [], [], [], [], [], [])
+    ends, row_ends = [0], [0]
+    for html in pages:
+        read = reader.read(html)
+        at = None
+        for no, row, col, text, sup, href, head, row_tag, cell_class, spanned in _values(read):
+            if (no, row) != at:
+                at = no, row
+                own = {} if row_tag is None else read[2][row_tag]
+                for values, value in zip(rows, (no, row, own.get("id"), own.get("class"))):
+                    values.append(value)
+                row_ends.append(row_ends[-1])
+            row_ends[-1] += 1
+            for values, value in zip(cells, (col, text, sup, href, head, cell_class, spanned)):
+                values.append(value)
+        ends.append(len(rows[0]))
+    inner = kind.value_type.field("cells").type
+    struct = lambda of, columns: pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, of)], fields=list(of))
+    lists = pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), struct(inner.value_type, cells), type=inner)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct(kind.value_type, [*rows, lists]), type=kind)
+
+
+def page_rows(html: Column) -> Column:
+    """Rows of all tables of a page that have cells, in order: array of struct(table_no, row_no, row_id, row_class, cells in order with what CELL says of them)."""
+    arrow = to_arrow_type(_KIND)
+
+    @F.arrow_udf(_KIND)
+    def rows(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = _Reader()
+        for batch in pages:
+            yield pa.chunked_array([_column(part.to_pylist(), reader, arrow) for part in slices(batch)], type=arrow).combine_chunks()
+
+    return rows.asNondeterministic()(html)  # else a filter on the rows would be moved ahead with a reading of its own
+
+
+def headed_rows(rows: Column, is_header: Callable[[Column], Column], header_text: Callable[[Column], Column]) -> Column:
+    """Of the rows of a page: array of struct(row, header), header being the text of the last header row before in the table that has one; header rows are left out.
+
+    As grouped_rows, where all rows of a page are together: a page is cut at its headers, nothing is shuffled or sorted.
+    """
+    told = F.transform(rows, lambda r, i: F.struct(i.alias("at"), r["table_no"].alias("no"), F.coalesce(is_header(r), F.lit(False)).alias("head")))
+    first = lambda x: (x["at"] == 0) | (F.get(rows, x["at"] - 1)["table_no"] != x["no"])
+    cuts = F.transform(told, lambda x: F.struct(x["at"].alias("at"), first(x).alias("first"), F.when(x["head"], header_text(F.get(rows, x["at"]))).alias("text")))
+    cuts = F.filter(cuts, lambda x: x["first"] | x["text"].isNotNull())
+    ends = F.concat(F.slice(F.transform(cuts, lambda x: x["at"]), 2, F.greatest(F.size(cuts) - 1, F.lit(0))), F.array(F.size(rows)))
+    parts = F.transform(F.arrays_zip(cuts.alias("cut"), ends.alias("end")), lambda z: F.transform(F.slice(rows, z["cut"]["at"] + 1, z["end"] - z["cut"]["at"]), lambda r: F.struct(r.alias("row"), z["cut"]["text"].alias("header"))))
+    return F.filter(F.flatten(parts), lambda x: ~F.coalesce(is_header(x["row"]), F.lit(False)))
+
+
+def paired_rows(headed: Column, suffix: str = "b") -> Column:
+    """Of the headed rows of a page: array of struct(row, header, other), other being the cells of the row that follows in the table when its id is theirs with a suffix; as row_pairs."""
+    n = F.greatest(F.size(headed) - 1, F.lit(0))
+    both = F.arrays_zip(F.slice(headed, 1, n).alias("a"), F.slice(headed, 2, n).alias("b"))
+    fits = F.filter(both, lambda z: (z["a"]["row"]["table_no"] == z["b"]["row"]["table_no"]) & (z["b"]["row"]["row_id"] == F.concat(z["a"]["row"]["row_id"], F.lit(suffix))))
+    return F.transform(fits, lambda z: F.struct(z["a"]["row"].alias("row"), z["a"]["header"].alias("header"), z["b"]["row"]["cells"].alias("other")))
+
+
 def grouped_rows(cells: DataFrame, key: str, is_header: Column, header_text: Column) -> DataFrame:
     """key, table_no, row_no, row_id, cells (in order, spanned ones too) and header: the text of the last header row before.
 

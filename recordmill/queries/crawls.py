@@ -147,14 +147,16 @@ def _result_pages(spark: SparkSession, d: str) -> DataFrame:
   q || '-7(' || dc || ') ' || tx || '-' || dc AS score, CASE WHEN (q > 7) = (tx > dc) AND q <> 7 AND tx <> dc THEN CASE WHEN q > 7 THEN 1 ELSE 2 END END AS winner FROM m""")
 def result_rows(spark: SparkSession, d: str) -> DataFrame:
     """Result rows out of grouped tables: carried headers, cells over two rows, scores with tie-breaks set high."""
-    cells = TB.table_cells(_result_pages(spark, d), "o_orderkey", "html")
-    rows = TB.row_pairs(TB.grouped_rows(cells, "o_orderkey", F.col("row_class") == "head", F.when(F.col("cell_class") == "t-name", F.col("text"))), "o_orderkey")
     of = lambda cells, name: F.filter(cells, lambda x: x["cell_class"] == name)
-    sets = TB.scored(of("cells", "score"), of("other", "score"))
+    first = lambda cells, name: F.get(of(cells, name), F.lit(0))
+    read = _result_pages(spark, d).select("o_orderkey", TB.page_rows(F.col("html")).alias("rows"))
+    headed = read.select("o_orderkey", TB.headed_rows(F.col("rows"), lambda r: r["row_class"] == "head", lambda r: first(r["cells"], "t-name")["text"]).alias("headed"))
+    rows = headed.select("o_orderkey", F.explode(TB.paired_rows(F.col("headed"))).alias("r")).select("o_orderkey", "r.header", F.col("r.row.cells").alias("cells"), "r.other")
+    rows = rows.withColumn("sets", TB.scored(of("cells", "score"), of("other", "score")))
+    sets = F.col("sets")
     shown = F.array_join(F.transform(sets, lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"), F.when(s["tiebreak"].isNotNull(), F.concat(F.lit("("), s["tiebreak"].cast("string"), F.lit(")"))).otherwise(""))), " ")
     won = lambda f: F.size(F.filter(sets, f))
     winner = F.when(won(lambda s: s["a"] > s["b"]) == F.size(sets), 1).when(won(lambda s: s["a"] < s["b"]) == F.size(sets), 2)
-    first = lambda cells, name: F.get(of(cells, name), F.lit(0))
     out = rows.select("o_orderkey", "header", first("cells", "time")["text"].alias("day"), first("cells", "t-name")["text"].alias("player1"), first("cells", "t-name")["href"].alias("href"), first("other", "t-name")["text"].alias("player2"), shown.alias("score"), winner.alias("winner"))
     return out.distinct()
 

@@ -168,3 +168,40 @@ def test_cells_are_shuffled_once(spark):
     out = rows.select("k", "header", F.col("cells")[0]["text"].alias("a"), F.col("other")[0]["text"].alias("b")).distinct()
     assert sorted(map(tuple, out.collect())) == [(i, f"H{i}", "a", "b") for i in range(3)]
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_a_page_as_shuffled_cells_give_them(spark):
+    rng = random.Random(5)
+    bits = ["<tr class=head><td class=n>H1", "<tr class=head><td>no name", "<tr class='head'><td class=n>H2</td><td class=n>later", "<tr id=r1><td>a", "<tr id=r1b><td>b<sup>2</sup>", "<tr id=r2><td rowspan=2>c<td colspan=2><a href='x'>d</a>", "<tr id=r2b><td>e", "<tr></tr>", "<table>", "</table>", "<tr id=r1><td>in<table><tr id=q><td>deep<tr id=qb><td>er</table>"]
+    pages = [(i, "<table>" + "".join(rng.choices(bits, k=rng.randrange(14))) + ("<!-- -->" if i % 5 == 0 else "")) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(pages, "k long, html string").coalesce(1)
+    cells = TB.table_cells(df, "k", "html")
+    grouped = TB.grouped_rows(cells, "k", F.col("row_class") == "head", F.when(F.col("cell_class") == "n", F.col("text")))
+    shown = lambda cells: F.transform(cells, lambda c: F.concat_ws("|", c["col_no"], c["text"], c["sup"], c["href"], c["cell_class"], c["spanned"]))
+    name = lambda r: F.get(F.filter(r["cells"], lambda c: c["cell_class"] == "n"), F.lit(0))["text"]
+    read = df.select("k", TB.page_rows(F.col("html")).alias("rows"))
+    headed = read.select("k", TB.headed_rows(F.col("rows"), lambda r: r["row_class"] == "head", name).alias("headed"))
+    flat = headed.select("k", F.explode("headed").alias("r")).select("k", "r.row.table_no", "r.row.row_no", "r.row.row_id", "r.header", shown(F.col("r.row.cells")).alias("c"))
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    want = order(grouped.select("k", "table_no", "row_no", "row_id", "header", shown(F.col("cells")).alias("c")).collect())
+    assert order(flat.collect()) == want and len({r[4] for r in want}) == 3 and {r[1] for r in want} > {0, 1}
+    pairs = headed.select("k", F.explode(TB.paired_rows(F.col("headed"))).alias("r")).select("k", "r.row.row_id", "r.header", shown(F.col("r.row.cells")).alias("c"), shown(F.col("r.other")).alias("o"))
+    want = order(TB.row_pairs(grouped, "k").select("k", "row_id", "header", shown(F.col("cells")).alias("c"), shown(F.col("other")).alias("o")).collect())
+    assert order(pairs.collect()) == want and len(want) > 20
+    # before, every cell was shuffled, and each page was taken apart anew whatever its layout
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_layouts_of_tables_are_worked_out_once(monkeypatch):
+    page = lambda i: f"<table><tr id=r{i} class=\"c{i}\"><td class='k{i}'>x{i} &amp;<br>y<sup>{i}</sup><a href=\"/q{i}?a&amp;b\">z</a><td colspan=2 rowspan=2>w<tr><td>v</table>"
+    want = [TB.cells_of("<!-- no plain markup -->" + page(i)) for i in range(9)]
+    made = []
+    monkeypatch.setattr(TB, "_Tables", lambda own=TB._Tables: made.append(1) or own())
+    reader = TB._Reader()
+    reader.TAGS = 4
+    for i in range(9):
+        read = reader.read(page(i))
+        told = [(*c[:7], None if c[7] is None else read[2][c[7]].get("id"), None if c[7] is None else read[2][c[7]].get("class"), *c[8:]) for c in TB._values(read)]
+        assert told == want[i] and told[0][3:6] == (f"x{i} & yz", str(i), f"/q{i}?a&b")
+    assert len(made) == 1 and [c[:3] for c in TB.cells_of("<table><tr><td colspan=\"3\">a<td colspan='2'>b</table>")] == [(0, 0, i) for i in range(5)]
